@@ -127,7 +127,7 @@ def bootstrap_by_resampling(
     source = indexed.select(*by, "position", value)
     resampled = null_safe_join(drawn, source, [*by, "position"])
     probabilities = F.array(*[F.lit(float(p)) for p in percentiles.values()])
-    statistics = resampled.groupBy(*by, "_b").agg(F.percentile(value, probabilities, "_times").alias("_stats"))
+    statistics = resampled.groupBy(*by, "_b").agg(F.percentile(value, probabilities, F.col("_times")).alias("_stats"))
     named = statistics.select(
         *by, F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in percentiles]), "_stats")).alias("statistic", "value")
     )

@@ -101,7 +101,8 @@ def price_models(
     """Cost, cost per request and tokens per request of every row of `model_totals(model, requests, ...)`.
 
     With `exact` the mode is still negotiated over all rows of `model_totals` (both sides of a comparison
-    when it holds both), through a scalar subquery.
+    when it holds both), through a scalar subquery. The totals are therefore read twice: hand in a stored
+    table (`session.cut_lineage`) when there are raw rows behind them.
     """
     mode = ttl_mode(model_totals, tokens).scalar() if exact else F.lit("flat")
     priced = with_prices(model_totals, prices, model, card).withColumn("ttl_mode", mode)

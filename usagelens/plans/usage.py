@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import TOKENS, TokenColumns, total_tokens
 from ..operators import comparing, distribution, findings, merging, pricing, requests, significance, tools
+from ..session import cut_lineage
 
 REPORT_TABLES = ("totals", "models", "agents", "tiers", "distributions", "intervals", "samples",
                  "compactions", "tool_payload", "attachments")
@@ -92,7 +93,13 @@ def compare_totals(
     compactions: DataFrame,
     tokens: TokenColumns = TOKENS,
 ) -> dict[str, DataFrame]:
-    """The part of a comparison that only needs totals with a `side`: saved reports are enough."""
+    """The part of a comparison that only needs totals with a `side`: saved reports are enough.
+
+    The totals are written once, because every table below reads them: the raw rows behind them must not be
+    read again for each.
+    """
+    model_totals, agent_totals = cut_lineage(model_totals, "model-totals"), cut_lineage(agent_totals, "agent-totals")
+    tool_payload, compactions = cut_lineage(tool_payload, "tool-payload"), cut_lineage(compactions, "compactions")
     priced = pricing.price_models(model_totals, prices, tokens=tokens)
     models = comparing.models_by_side(priced, tokens=tokens)
     agents = comparing.agents_by_side(agent_totals, tokens=tokens)

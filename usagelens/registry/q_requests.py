@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, tokens
 from ..operators import pricing, requests
 from ..operators.merging import share_of_total
+from ..session import cut_lineage
 from .core import register
 from .sql_views import TOKEN_COLUMNS, TOKEN_SUMS
 from .views import CUT, DEDUP_ORDER, Views
@@ -37,7 +38,7 @@ def _(v: Views) -> DataFrame:
 
 @register("ag03_totals_by_model", "SELECT * FROM v_model_totals", ["v_model_totals"])
 def _(v: Views) -> DataFrame:
-    return v.model_totals
+    return requests.totals_by_key(v.dedup, "model", "model")
 
 
 @register("tk03_models_ranked", """
@@ -154,7 +155,8 @@ def _(v: Views) -> DataFrame:
 @register("prj07_cost_exact_split", f"SELECT {PRICED} FROM v_priced_split", ["v_priced_split"], doubles=PRICED_DOUBLES)
 def _(v: Views) -> DataFrame:
     rows = requests.keep_largest(v.request_columns(full_split=True), order=DEDUP_ORDER)
-    return pricing.price_models(requests.totals_by_key(rows, "model", "model"), v.prices).select(*PRICED.split(", "))
+    totals = cut_lineage(requests.totals_by_key(rows, "model", "model"), "model-totals")
+    return pricing.price_models(totals, v.prices).select(*PRICED.split(", "))
 
 
 @register("ag29_cost_totals", """

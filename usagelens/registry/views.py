@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import total_tokens
 from ..operators import pricing, requests, tools
 from ..plans import usage
+from ..session import cut_lineage
 from ..sources import transcripts
 
 CUT = "1998-06-30"
@@ -30,7 +31,8 @@ class Views:
 
     def request_columns(self, full_split: bool = False) -> DataFrame:
         """Line items as usage snapshots; orders and parts give session, agent type and model."""
-        discount = F.round(F.col("l_discount") * 100).cast("bigint")
+        cents = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("bigint")
+        discount = cents("l_discount")
         reported = F.lit(True) if full_split else F.col("l_linestatus") == "F"
         tier = F.when(F.col("l_returnflag") == "N", "main").when(F.col("l_returnflag") == "R", "subagent").otherwise("workflow-agent")
         joined = (
@@ -46,7 +48,7 @@ class Views:
             F.when(F.col("l_returnflag") != "N", F.col("o_orderpriority")).alias("agent_type"),
             F.col("p_brand").alias("model"),
             F.col("l_quantity").cast("bigint").alias("input_tokens"),
-            (F.round(F.col("l_tax") * 100).cast("bigint") * 7).alias("output_tokens"),
+            (cents("l_tax") * 7).alias("output_tokens"),
             (discount * 50).alias("cache_creation_tokens"),
             F.when(reported, discount * 40).alias("cache_creation_5m_tokens"),
             F.when(reported, discount * 10).alias("cache_creation_1h_tokens"),
@@ -86,11 +88,11 @@ class Views:
 
     @cached_property
     def model_totals(self) -> DataFrame:
-        return requests.totals_by_key(self.dedup, "model", "model")
+        return cut_lineage(requests.totals_by_key(self.dedup, "model", "model"), "model-totals")
 
     @cached_property
     def sided_models(self) -> DataFrame:
-        return requests.totals_by_key(self.sided, "model", "model", ["side"])
+        return cut_lineage(requests.totals_by_key(self.sided, "model", "model", ["side"]), "model-totals")
 
     @cached_property
     def sided_priced(self) -> DataFrame:
@@ -98,7 +100,7 @@ class Views:
 
     @cached_property
     def sided_agents(self) -> DataFrame:
-        return requests.totals_by_agent_type(self.sided, by=["side"])
+        return cut_lineage(requests.totals_by_agent_type(self.sided, by=["side"]), "agent-totals")
 
     @cached_property
     def request_sources(self) -> DataFrame:
@@ -216,7 +218,7 @@ class Views:
     def tool_payload(self) -> DataFrame:
         """Payload totals per window: even conversations are the baseline, odd ones the compare window."""
         side = F.when(F.col("conv_id") % 2 == 0, "baseline").otherwise("compare")
-        return tools.tool_payload_table(self.paired_turns.withColumn("side", side), ["side"])
+        return cut_lineage(tools.tool_payload_table(self.paired_turns.withColumn("side", side), ["side"]), "tool-payload")
 
     @cached_property
     def compaction_events(self) -> DataFrame:
