@@ -61,7 +61,7 @@ def _(v: Views) -> DataFrame:
   SELECT CASE k % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' WHEN 2 THEN 'Edit' ELSE 'Write' END AS tool, count(*) AS calls
   FROM v_lines WHERE event_type = 'click' GROUP BY 1""", ["v_lines"])
 def _(v: Views) -> DataFrame:
-    return tools.tool_use_counts(transcripts.tool_calls(transcripts.block_rows(v.parsed), None))
+    return tools.tool_use_counts(transcripts.tool_calls(transcripts.block_rows(v.parsed, synthetic=True), None))
 
 
 @register("ag35_tool_use_counters", """
@@ -72,7 +72,7 @@ def _(v: Views) -> DataFrame:
     0::BIGINT AS worktrees_created, 0::BIGINT AS worktrees_entered, 0::BIGINT AS worktree_names
   FROM v_lines WHERE event_type = 'click' GROUP BY tier""", ["v_lines"])
 def _(v: Views) -> DataFrame:
-    return tools.tool_use_counters(transcripts.tool_calls(transcripts.block_rows(v.parsed), None), ["tier"])
+    return tools.tool_use_counters(transcripts.tool_calls(transcripts.block_rows(v.parsed, synthetic=True), None), ["tier"])
 
 
 @register("ag35_corpus_counters", """
@@ -119,8 +119,7 @@ def _(v: Views) -> DataFrame:
 
 
 @register("sc08_09_remote_addresses", """
-  SELECT page_id, concat(host, path) AS remote, CASE WHEN path LIKE '/%/%' THEN array_to_string(list_filter(string_split(concat(host, path), '/'), x -> x <> '')[-2:], '/')
-      ELSE array_to_string(list_filter(string_split(concat(host, path), '/'), x -> x <> '')[-2:], '/') END AS owner_repo,
+  SELECT page_id, concat(host, path) AS remote, array_to_string(string_split(trim(concat(host, regexp_replace(path, '/+', '/', 'g')), '/'), '/')[-2:], '/') AS owner_repo,
     concat(host, '/', 'team/', page_id) AS scp_remote
   FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host,
       regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '[.]git$', '') AS path FROM pages)""")

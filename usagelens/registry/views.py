@@ -131,7 +131,7 @@ class Views:
         message_id = F.when(~((kind == "click") & (k % 10 == 2)), F.concat(F.lit("m"), F.floor(e / 3).cast("string")))
         tool = F.element_at(F.array(*[F.lit(t) for t in ("Read", "Bash", "Edit", "Write")]), (k % 4 + 1).cast("int"))
         tool_input = F.struct(
-            F.when(k % 4 == 1, F.when(k % 3 == 0, "git -C x commit -m y").when(k % 3 == 1, "git push").otherwise("ls"))
+            F.when(k % 4 == 1, F.when(k % 3 == 0, "git --no-pager commit -m y").when(k % 3 == 1, "git push").otherwise("ls"))
             .alias("command"),
             F.when(k % 4 == 3, F.repeat(F.lit("row\n"), (k % 5).cast("int"))).alias("content"),
             F.when(k % 4 == 2, "a\nb").alias("new_string"),
@@ -173,7 +173,7 @@ class Views:
             .otherwise(F.concat(base, F.lit("/subagents/workflows/wf_"), (u % 4).cast("string"), F.lit("/agent-a"),
                                 u.cast("string"), F.lit(".jsonl")))
         )
-        raw = self.events.select(path.alias("file_path"), e.alias("line_no"), line.alias("line"))
+        raw = self.events.select(path.alias("file_path"), e.alias("line_no"), F.inline(F.array(F.struct(line.alias("line")))))
         return transcripts.describe_path(raw)
 
     @cached_property

@@ -120,29 +120,49 @@ def transcript_files(lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # parsing
 
-
-def _get(path: str, kind: str = "string", variant: str = "v") -> Column:
-    return F.try_variant_get(F.col(variant), path, kind)
+# The fields of a line that any operator reads. Taken from the variant in one step: a missing field, or one
+# of another type, is null without affecting its neighbours. Text-or-array fields stay variants.
+LINE_TYPE = """struct<
+  type:string, subtype:string, timestamp:string, requestId:string, sessionId:string, agentId:string, effort:string,
+  isSidechain:boolean, isMeta:boolean, promptSource:string, version:string, cwd:string,
+  message:struct<id:string, model:string, content:variant, usage:struct<
+    input_tokens:bigint, output_tokens:bigint, cache_creation_input_tokens:bigint, cache_read_input_tokens:bigint,
+    cache_creation:struct<ephemeral_5m_input_tokens:bigint, ephemeral_1h_input_tokens:bigint>,
+    service_tier:string, speed:string, inference_geo:string>>,
+  attachment:struct<type:string, path:string, skills:array<struct<name:string, path:string, content:variant>>,
+    content:struct<path:string, content:variant>>,
+  compactMetadata:struct<trigger:string, preTokens:bigint, postTokens:bigint, cumulativeDroppedTokens:bigint, durationMs:bigint>
+>"""
+BLOCK_TYPE = """array<struct<
+  type:string, id:string, name:string, tool_use_id:string, is_error:boolean, content:variant,
+  input:struct<command:string, content:string, new_string:string, old_string:string, name:string, path:string>
+>>"""
+PARTS_TYPE = "array<struct<text:variant>>"
+
+
+def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column through a generator, which filters and projections are not pushed through.
+
+    Parsing is far dearer than anything after it; without this the optimizer would copy the parse into every
+    filter on a parsed field.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Add the variant `v`, the timestamp `ts`, and `kind`: corrupt, other, synthetic or record.
-
-    Text that is not a JSON object counts as corrupt.
-    """
-    parsed = lines.withColumn("v", F.try_parse_json(line))
-    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
-    usage = F.try_variant_get(F.col("v"), "$.message.usage", "variant")
-    has_usage = usage.isNotNull() & ~F.is_variant_null(usage)
+    """Replace the text by its typed fields `h`, and add `ts`, `line_type` and `kind`: corrupt, other,
+    synthetic or record. Text that is not a JSON object counts as corrupt (`h` is null)."""
+    parsed = _computed_once(lines, "h", F.try_variant_get(F.try_parse_json(line), "$", LINE_TYPE)).drop(line)
     kind = (
-        F.when(F.col("v").isNull() | ~is_object, "corrupt")
-        .when(~F.coalesce(_get("$.type") == "assistant", F.lit(False)) | ~F.coalesce(has_usage, F.lit(False)), "other")
-        .when(_get("$.message.model") == SYNTHETIC_MODEL, "synthetic")
-        .when(F.coalesce(_get("$.message.id"), F.lit("")) == "", "other")
+        F.when(F.col("h").isNull(), "corrupt")
+        .when(~F.coalesce(F.col("h.type") == "assistant", F.lit(False)) | F.col("h.message.usage").isNull(), "other")
+        .when(F.col("h.message.model") == SYNTHETIC_MODEL, "synthetic")
+        .when(F.coalesce(F.col("h.message.id"), F.lit("")) == "", "other")
         .otherwise("record")
     )
-    ts = F.try_to_timestamp(_get("$.timestamp"))
-    return parsed.withColumns({"kind": kind, "ts": ts, "line_type": _get("$.type")})
+    return parsed.withColumns({
+        "kind": kind, "ts": F.try_to_timestamp(F.col("h.timestamp")), "line_type": F.col("h.type"),
+    })
 
 
 def request_rows(parsed: DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -158,55 +178,62 @@ def request_rows(parsed: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     else:
         none = F.lit(None).cast("string")
         records = records.withColumns({"_agent_type": none, "_model": none})
-    count = lambda name: F.coalesce(_get(f"$.message.usage.{name}", "bigint"), F.lit(0))
+    usage = "h.message.usage"
+    count = lambda name: F.coalesce(F.col(f"{usage}.{name}"), F.lit(0))
     return records.select(
-        _get("$.message.id").alias("message_id"),
+        F.col("h.message.id").alias("message_id"),
         "ts",
-        _get("$.requestId").alias("request_id"),
-        F.coalesce(_get("$.sessionId"), "file_session_id").alias("session_id"),
+        F.col("h.requestId").alias("request_id"),
+        F.coalesce("h.sessionId", "file_session_id").alias("session_id"),
         "project",
         "tier",
-        F.coalesce(_get("$.agentId"), "file_agent_id").alias("agent_id"),
+        F.coalesce("h.agentId", "file_agent_id").alias("agent_id"),
         F.col("_agent_type").alias("agent_type"),
-        F.coalesce(_get("$.message.model"), "_model").alias("model"),
-        _get("$.effort").alias("effort"),
-        F.coalesce(_get("$.isSidechain", "boolean"), F.col("tier") != "main").alias("is_sidechain"),
-        _get("$.version").alias("version"),
+        F.coalesce("h.message.model", "_model").alias("model"),
+        F.col("h.effort").alias("effort"),
+        F.coalesce("h.isSidechain", F.col("tier") != "main").alias("is_sidechain"),
+        F.col("h.version").alias("version"),
         count("input_tokens").alias("input_tokens"),
         count("output_tokens").alias("output_tokens"),
         count("cache_creation_input_tokens").alias("cache_creation_tokens"),
-        _get("$.message.usage.cache_creation.ephemeral_5m_input_tokens", "bigint").alias("cache_creation_5m_tokens"),
-        _get("$.message.usage.cache_creation.ephemeral_1h_input_tokens", "bigint").alias("cache_creation_1h_tokens"),
+        F.col(f"{usage}.cache_creation.ephemeral_5m_input_tokens").alias("cache_creation_5m_tokens"),
+        F.col(f"{usage}.cache_creation.ephemeral_1h_input_tokens").alias("cache_creation_1h_tokens"),
         count("cache_read_input_tokens").alias("cache_read_tokens"),
-        _get("$.message.usage.service_tier").alias("service_tier"),
-        _get("$.message.usage.speed").alias("speed"),
-        _get("$.message.usage.inference_geo").alias("inference_geo"),
+        F.col(f"{usage}.service_tier").alias("service_tier"),
+        F.col(f"{usage}.speed").alias("speed"),
+        F.col(f"{usage}.inference_geo").alias("inference_geo"),
         "file_path",
         "line_no",
     )
 
 
+def _is_text(variant: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(variant) == "STRING", F.lit(False))
+
+
+def _text(variant: Column) -> Column:
+    return F.when(_is_text(variant), F.try_variant_get(variant, "$", "string"))
+
+
 def is_synthetic_user(prefixes: Sequence[str] = SYNTHETIC_PREFIXES) -> Column:
     """Whether a user-side line was injected rather than typed.
 
     In order: the meta flag, a system or sdk source, any other stated source, then the opening of the text.
     """
-    source = F.try_variant_get(F.col("v"), "$.promptSource", "string")
-    text = F.ltrim(F.try_variant_get(F.col("v"), "$.message.content", "string"))
-    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("v"), "$.message.content", "variant")) == "STRING",
-                         F.lit(False))
+    source = F.col("h.promptSource")
+    text = F.ltrim(_text(F.col("h.message.content")))
     opening = reduce(or_, [F.startswith(text, F.lit(p)) for p in prefixes])
     return (
-        F.when(F.try_variant_get(F.col("v"), "$.isMeta", "boolean"), True)
+        F.when(F.col("h.isMeta"), True)
         .when(source.isin("system", "sdk"), True)
         .when(source.isNotNull(), False)
-        .otherwise(is_text & F.coalesce(opening, F.lit(False)))
+        .otherwise(F.coalesce(opening, F.lit(False)))
     )
 
 
-def _blocks() -> Column:
-    """The content blocks of a line as an array of variants; null when the content is text or missing."""
-    return F.try_variant_get(F.col("v"), "$.message.content", "array<variant>")
+def _with_blocks(parsed: DataFrame) -> DataFrame:
+    """Add the content blocks of a line; null when the content is text or missing."""
+    return _computed_once(parsed, "blocks", F.try_variant_get("h.message.content", "$", BLOCK_TYPE))
 
 
 def activity_rows(parsed: DataFrame, prefixes: Sequence[str] = SYNTHETIC_PREFIXES) -> DataFrame:
@@ -215,22 +242,18 @@ def activity_rows(parsed: DataFrame, prefixes: Sequence[str] = SYNTHETIC_PREFIXE
     Assistant lines and tool results count as work in every tier; a user line counts as a prompt only in the
     main tier and when a person typed it.
     """
-    blocks = _blocks()
-    block_type = lambda b: F.try_variant_get(b, "$.type", "string")
-    has_result = F.coalesce(F.exists(blocks, lambda b: block_type(b) == "tool_result"), F.lit(False))
-    calls = F.coalesce(F.size(F.filter(
-        blocks, lambda b: (block_type(b) == "tool_use") & (F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("")) != "")
-    )), F.lit(0))
+    has_result = F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
+    calls = F.size(F.filter("blocks", lambda b: (b["type"] == "tool_use") & (b["name"] != "")))
     series = (
         F.when(F.col("line_type") == "assistant", WORKING)
         .when((F.col("line_type") == "user") & has_result, WORKING)
         .when((F.col("line_type") == "user") & (F.col("tier") == "main") & ~is_synthetic_user(prefixes), PROMPT)
     )
-    return parsed.filter(F.col("kind") != "corrupt").select(
+    return _with_blocks(parsed.filter(F.col("kind") != "corrupt")).select(
         "file_path", "line_no", "project", "tier", "run_id", F.col("file_session_id").alias("session_id"), "ts",
         F.when(F.col("ts").isNotNull(), series).alias("series"),
         F.when(calls > 0, calls).otherwise(F.lit(0)).cast("bigint").alias("tool_calls"),
-        F.try_variant_get(F.col("v"), "$.cwd", "string").alias("cwd"),
+        F.col("h.cwd").alias("cwd"),
     )
 
 
@@ -238,81 +261,79 @@ def activity_rows(parsed: DataFrame, prefixes: Sequence[str] = SYNTHETIC_PREFIXE
 # blocks, attachments, compactions
 
 
-def block_rows(parsed: DataFrame) -> DataFrame:
-    """One row per content block of the readable lines, synthetic-model lines left out."""
-    usable = parsed.filter(~F.col("kind").isin("corrupt", "synthetic"))
-    return usable.withColumn("_blocks", _blocks()).filter(F.col("_blocks").isNotNull()).select(
+def _signal_lines(parsed: DataFrame) -> DataFrame:
+    """Lines secondary signals are read from: neither corrupt nor of the synthetic model."""
+    return parsed.filter(~F.col("kind").isin("corrupt", "synthetic"))
+
+
+def block_rows(parsed: DataFrame, synthetic: bool = False) -> DataFrame:
+    """One row per content block. Payload and attachment reports leave synthetic-model lines out; the
+    activity counters keep them (`synthetic=True`)."""
+    lines = parsed.filter(F.col("kind") != "corrupt") if synthetic else _signal_lines(parsed)
+    return lines.select(
         "file_path", "project", "tier", F.col("file_session_id").alias("session_id"), "line_no", "line_type", "ts",
-        F.posexplode("_blocks").alias("block_no", "block"),
-    ).withColumn("block_type", _get("$.type", variant="block"))
+        F.posexplode(F.try_variant_get("h.message.content", "$", BLOCK_TYPE)).alias("block_no", "block"),
+    )
 
 
 def tool_calls(blocks: DataFrame, tracked: Sequence[str] | None = TRACKED_TOOLS) -> DataFrame:
     """Tool calls with the input fields that counters need; `tracked=None` keeps every tool."""
-    calls = blocks.filter(F.col("block_type") == "tool_use").select(
+    calls = blocks.filter((F.col("block.type") == "tool_use") & (F.col("block.name") != "")).select(
         "file_path", "line_no", "ts", "session_id", "tier",
-        _get("$.id", variant="block").alias("tool_use_id"),
-        _get("$.name", variant="block").alias("tool"),
-        _get("$.input.command", variant="block").alias("command"),
-        _get("$.input.content", variant="block").alias("content"),
-        _get("$.input.new_string", variant="block").alias("new_text"),
-        _get("$.input.old_string", variant="block").alias("old_text"),
-        _get("$.input.name", variant="block").alias("worktree_name"),
-        _get("$.input.path", variant="block").alias("worktree_path"),
-    ).filter(F.col("tool") != "")
+        F.col("block.id").alias("tool_use_id"),
+        F.col("block.name").alias("tool"),
+        F.col("block.input.command").alias("command"),
+        F.col("block.input.content").alias("content"),
+        F.col("block.input.new_string").alias("new_text"),
+        F.col("block.input.old_string").alias("old_text"),
+        F.col("block.input.name").alias("worktree_name"),
+        F.col("block.input.path").alias("worktree_path"),
+    )
     return calls if tracked is None else calls.filter(F.col("tool").isin(*tracked))
 
 
 def tool_results(blocks: DataFrame) -> DataFrame:
     """Tool results of user lines with their size: the text, or the sum over text parts."""
-    payload = F.try_variant_get(F.col("block"), "$.content", "variant")
-    is_text = F.coalesce(F.schema_of_variant(payload) == "STRING", F.lit(False))
-    parts = F.try_variant_get(F.col("block"), "$.content", "array<variant>")
-    text_part = lambda p: F.when(
-        F.schema_of_variant(F.try_variant_get(p, "$.text", "variant")) == "STRING",
-        utf16_length(F.try_variant_get(p, "$.text", "string")),
+    payload = F.col("block.content")
+    zero = F.lit(0).cast("bigint")
+    parts = F.aggregate(
+        F.try_variant_get(payload, "$", PARTS_TYPE), zero,
+        lambda size, part: size + F.coalesce(utf16_length(_text(part["text"])), zero),
     )
-    part_sum = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, p: acc + F.coalesce(text_part(p), F.lit(0).cast("bigint")))
-    size = F.when(is_text, utf16_length(_get("$.content", variant="block"))).otherwise(F.coalesce(part_sum, F.lit(0)))
-    return blocks.filter((F.col("block_type") == "tool_result") & (F.col("line_type") == "user")).select(
+    return blocks.filter((F.col("block.type") == "tool_result") & (F.col("line_type") == "user")).select(
         "file_path", "line_no",
-        _get("$.tool_use_id", variant="block").alias("tool_use_id"),
+        F.col("block.tool_use_id").alias("tool_use_id"),
         F.col("ts").alias("result_ts"),
-        size.cast("bigint").alias("bytes"),
-        F.coalesce(_get("$.is_error", "boolean", "block"), F.lit(False)).alias("is_error"),
+        F.coalesce(utf16_length(_text(payload)), parts, zero).alias("bytes"),
+        F.coalesce("block.is_error", F.lit(False)).alias("is_error"),
     )
 
 
-def _text_size(path: str, variant: str) -> Column:
-    value = F.try_variant_get(F.col(variant), path, "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", utf16_length(_get(path, variant=variant))).otherwise(F.lit(0)).cast("bigint")
-
-
 def attachment_rows(parsed: DataFrame) -> DataFrame:
-    """Injected skills (one row each) and nested memory files: `(kind, key, path, bytes)`."""
-    usable = parsed.filter(~F.col("kind").isin("corrupt", "synthetic"))
+    """Injected skills (one row each) and nested memory files: `(attachment, key, path, bytes)`."""
+    size = lambda variant: F.coalesce(utf16_length(_text(variant)), F.lit(0).cast("bigint")).alias("bytes")
     base = ["file_path", "line_no", "ts", "project", F.col("file_session_id").alias("session_id")]
-    skills = usable.filter(_get("$.attachment.type") == "invoked_skills").select(
-        *base, F.explode(F.try_variant_get(F.col("v"), "$.attachment.skills", "array<variant>")).alias("s")
+    lines = _signal_lines(parsed)
+    skills = lines.filter(F.col("h.attachment.type") == "invoked_skills").select(
+        *base, F.explode("h.attachment.skills").alias("s")
     ).select(
         "file_path", "line_no", "ts", "project", "session_id", F.lit("skill").alias("attachment"),
-        _get("$.name", variant="s").alias("key"), _get("$.path", variant="s").alias("path"),
-        _text_size("$.content", "s").alias("bytes"),
+        F.col("s.name").alias("key"), F.col("s.path").alias("path"), size(F.col("s.content")),
     )
-    path = F.coalesce(_get("$.attachment.path"), _get("$.attachment.content.path"))
-    memory = usable.filter(_get("$.attachment.type") == "nested_memory").select(
+    path = F.coalesce("h.attachment.path", "h.attachment.content.path")
+    memory = lines.filter(F.col("h.attachment.type") == "nested_memory").select(
         *base, F.lit("memory").alias("attachment"), path.alias("key"), path.alias("path"),
-        _text_size("$.attachment.content.content", "v").alias("bytes"),
+        size(F.col("h.attachment.content.content")),
     )
     return skills.unionByName(memory)
 
 
 def compaction_rows(parsed: DataFrame) -> DataFrame:
-    usable = parsed.filter(~F.col("kind").isin("corrupt", "synthetic"))
-    number = lambda name: _get(f"$.compactMetadata.{name}", "bigint")
-    return usable.filter((F.col("line_type") == "system") & (_get("$.subtype") == "compact_boundary")).select(
+    meta = "h.compactMetadata"
+    events = _signal_lines(parsed).filter((F.col("line_type") == "system") & (F.col("h.subtype") == "compact_boundary"))
+    return events.select(
         "file_path", "line_no", "ts", "project", F.col("file_session_id").alias("session_id"),
-        F.coalesce(_get("$.compactMetadata.trigger"), F.lit("unknown")).alias("trigger"),
-        number("preTokens").alias("pre_tokens"), number("postTokens").alias("post_tokens"),
-        number("cumulativeDroppedTokens").alias("dropped_tokens"), number("durationMs").alias("duration_ms"),
+        F.coalesce(f"{meta}.trigger", F.lit("unknown")).alias("trigger"),
+        F.col(f"{meta}.preTokens").alias("pre_tokens"), F.col(f"{meta}.postTokens").alias("post_tokens"),
+        F.col(f"{meta}.cumulativeDroppedTokens").alias("dropped_tokens"), F.col(f"{meta}.durationMs").alias("duration_ms"),
     )
