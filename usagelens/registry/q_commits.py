@@ -1 +1,152 @@
-"""Placeholder."""
+"""Commit logs and repository identity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import commits, identity, merging
+from .core import register
+from .views import Views
+
+FIGURES = """insertions - deletions AS net_lines, attributed_commits::DOUBLE / nullif(authored_commits, 0) * 100 AS attributed_pct,
+  greatest(1, floor(epoch(strptime(last_commit_at[:10], '%Y-%m-%d') - strptime(first_commit_at[:10], '%Y-%m-%d')) / 86400 + 0.5))::BIGINT AS span_days"""
+
+
+@register("flt08_attributed_commits", """
+  SELECT hash, repo, is_marked AS attributed, o_orderstatus = 'P' AS is_merge FROM v_commits""", ["v_commits"])
+def _(v: Views) -> DataFrame:
+    rows = commits.classify_commits(v.commits, v.identities, ["PRIORITY: 1-", "priority: 2-"])
+    return rows.select("hash", "repo", "attributed", "is_merge")
+
+
+@register("src08_numstat", """
+  SELECT o_custkey % 40 AS repo, l_orderkey AS hash, coalesce(sum(l_quantity::BIGINT) FILTER (WHERE l_returnflag <> 'R'), 0)::BIGINT AS insertions,
+    coalesce(sum(l_linenumber) FILTER (WHERE l_returnflag <> 'R'), 0)::BIGINT AS deletions, count(*) AS files_changed, count(*) FILTER (WHERE l_returnflag = 'R') AS binary_files
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
+def _(v: Views) -> DataFrame:
+    return commits.numstat(v.commit_files)
+
+
+@register("ag36_commit_rollup", f"SELECT *, {FIGURES} FROM v_commit_rollup", ["v_commit_rollup"], doubles=["attributed_pct"])
+def _(v: Views) -> DataFrame:
+    return commits.commit_rollup(v.classified)
+
+
+@register("flt10_contributing_repos", "SELECT repo, attributed_commits FROM v_commit_rollup WHERE attributed_commits > 0", ["v_commit_rollup"])
+def _(v: Views) -> DataFrame:
+    return commits.contributing(commits.commit_rollup(v.classified)).select("repo", "attributed_commits")
+
+
+@register("ag36_commit_totals", f"""
+  SELECT *, {FIGURES} FROM (
+    SELECT sum(attributed_commits)::BIGINT AS attributed_commits, sum(authored_commits)::BIGINT AS authored_commits, sum(attributed_merges)::BIGINT AS attributed_merges,
+      sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions, sum(files_changed)::BIGINT AS files_changed, sum(binary_files)::BIGINT AS binary_files,
+      min(first_commit_at) AS first_commit_at, max(last_commit_at) AS last_commit_at, count(*) AS repos, count(*) FILTER (WHERE attributed_commits > 0) AS contributing_repos
+    FROM v_commit_rollup)""", ["v_commit_rollup"], doubles=["attributed_pct"])
+def _(v: Views) -> DataFrame:
+    return commits.overall_rollup(commits.commit_rollup(v.classified))
+
+
+DAILY = """SELECT author_date[:10] AS date, count(*) AS commits, sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions
+  FROM v_commit_stats WHERE counted GROUP BY 1"""
+
+
+@register("ag37_commit_daily", DAILY, ["v_commit_stats"])
+def _(v: Views) -> DataFrame:
+    return commits.commit_daily(v.classified)
+
+
+@register("ag37_commit_monthly", f"""
+  SELECT date[:7] AS month, sum(commits)::BIGINT AS commits, sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions FROM ({DAILY}) GROUP BY 1""", ["v_commit_stats"])
+def _(v: Views) -> DataFrame:
+    return commits.commit_monthly(commits.commit_daily(v.classified))
+
+
+COMPONENTS = """
+  WITH RECURSIVE pairs AS (
+    SELECT c_custkey AS entry, concat('a:', c_custkey // 3) AS key FROM customer UNION ALL SELECT c_custkey, concat('b:', c_custkey // 5) FROM customer WHERE c_custkey % 5 < 2),
+  linked AS (SELECT DISTINCT a.entry AS x, b.entry AS y FROM pairs a JOIN pairs b USING (key)),
+  reach(x, y) AS (SELECT x, y FROM linked UNION SELECT r.x, l.y FROM reach r JOIN linked l ON r.y = l.x)
+  SELECT x AS entry, min(y) AS component FROM reach GROUP BY x"""
+
+
+@register("jn12_repo_components", COMPONENTS)
+def _(v: Views) -> DataFrame:
+    return identity.shared_key_components(v.repo_keys)
+
+
+def _candidates(v: Views) -> DataFrame:
+    """Customers as candidate checkouts: some share a history key, the rest only their folder."""
+    c = F.col("c_custkey")
+    return v.table("customer").select(
+        F.concat(F.lit("/src/"), F.lpad(c.cast("string"), 8, "0")).alias("path"), F.col("c_name").alias("name"),
+        F.when(c % 4 != 0, F.concat(F.lit("root-"), (c % 100).cast("string"))).alias("root_key"),
+        F.concat(F.lit("dir-"), F.floor(c / 2).cast("string")).alias("common_dir"),
+        F.when(c % 11 == 0, "not a repository").alias("skip_reason"),
+    )
+
+
+CANDIDATES = """
+  SELECT concat('/src/', lpad(c_custkey::VARCHAR, 8, '0')) AS path, c_name AS name, c_custkey % 11 = 0 AS skipped,
+    CASE WHEN c_custkey % 4 <> 0 THEN concat('root-', c_custkey % 100) ELSE concat('dir-', c_custkey // 2) END AS history FROM customer"""
+
+
+@register("jn13_collapsed_candidates", f"""
+  SELECT history, min(path) AS owner_path, first(name ORDER BY path) AS name, count(*) - 1 AS aliases FROM ({CANDIDATES}) WHERE NOT skipped GROUP BY history""")
+def _(v: Views) -> DataFrame:
+    return commits.collapse_candidates(_candidates(v).filter(F.col("skip_reason").isNull()))
+
+
+@register("jn13_skip_reasons", f"""
+  SELECT 'not a repository' AS reason, count(*) FILTER (WHERE skipped) AS candidates FROM ({CANDIDATES})
+  UNION ALL SELECT 'shares history with another path', (count(*) - count(DISTINCT history))::BIGINT FROM ({CANDIDATES}) WHERE NOT skipped""")
+def _(v: Views) -> DataFrame:
+    everything = _candidates(v)
+    usable = everything.filter(F.col("skip_reason").isNull())
+    aliases = commits.candidate_aliases(usable, commits.collapse_candidates(usable))
+    return commits.skip_reasons(everything, aliases)
+
+
+# -- merging commit reports -----------------------------------------------------------------
+
+
+def _repo_rows(v: Views) -> DataFrame:
+    """Customers as saved repository rows of several machines, with figures from their orders."""
+    o = v.table("orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("authored_commits"), F.count_if(F.col("o_orderstatus") == "F").alias("attributed_commits"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("attributed_merges"), F.floor(F.sum("o_totalprice")).alias("insertions"),
+        F.floor(F.min("o_totalprice")).alias("deletions"), F.count(F.lit(1)).alias("files_changed"), F.lit(1).cast("bigint").alias("binary_files"),
+        F.date_format(F.min("o_orderdate"), "yyyy-MM-dd'T'00:00:00'Z'").alias("first_commit_at"),
+        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd'T'00:00:00'Z'").alias("last_commit_at"),
+    )
+    return o.withColumnRenamed("o_custkey", "entry")
+
+
+@register("mg11_folded_repos", f"""
+  SELECT *, {FIGURES} FROM (
+    SELECT component, max(attributed_commits) AS attributed_commits, max(authored_commits) AS authored_commits, max(attributed_merges) AS attributed_merges,
+      max(insertions)::BIGINT AS insertions, max(deletions)::BIGINT AS deletions, max(files_changed) AS files_changed, max(binary_files)::BIGINT AS binary_files,
+      min(first_commit_at) AS first_commit_at, max(last_commit_at) AS last_commit_at, count(*) AS entries
+    FROM (SELECT o_custkey AS entry, count(*) AS authored_commits, count(*) FILTER (WHERE o_orderstatus = 'F') AS attributed_commits, count(*) FILTER (WHERE o_orderstatus = 'P') AS attributed_merges,
+        floor(sum(o_totalprice)) AS insertions, floor(min(o_totalprice)) AS deletions, count(*) AS files_changed, 1 AS binary_files,
+        strftime(min(o_orderdate), '%Y-%m-%dT00:00:00Z') AS first_commit_at, strftime(max(o_orderdate), '%Y-%m-%dT00:00:00Z') AS last_commit_at
+      FROM orders GROUP BY o_custkey) JOIN ({COMPONENTS}) USING (entry) GROUP BY component)""", doubles=["attributed_pct"])
+def _(v: Views) -> DataFrame:
+    return merging.fold_repos(merging.label_repos(_repo_rows(v), v.repo_keys))
+
+
+@register("mg12_commit_daily_max", """
+  SELECT date, source, commits, insertions, deletions FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY commits DESC, source) AS rn FROM (
+    SELECT repo % 3 AS source, author_date[:10] AS date, count(*) AS commits, sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions
+    FROM v_commit_stats WHERE counted GROUP BY ALL)) WHERE rn = 1""", ["v_commit_stats"])
+def _(v: Views) -> DataFrame:
+    saved = commits.commit_daily(v.classified.withColumn("source", F.col("repo") % 3), ["source"])
+    return merging.merge_commit_daily(saved)
+
+
+@register("mg12_commit_daily_by_repo", DAILY, ["v_commit_stats"])
+def _(v: Views) -> DataFrame:
+    """Two machines hold every repository: the series per repository counts each commit once."""
+    per_repo = commits.commit_daily(v.classified, ["repo"]).withColumnRenamed("repo", "component")
+    return merging.merge_commit_daily_by_repo(per_repo.unionByName(per_repo))

@@ -1 +1,112 @@
-"""Placeholder."""
+"""Streaming jobs over the event table, run to the end and compared with the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import requests
+from ..session import shared_path
+from ..sources import transcripts
+from ..streaming import jobs
+from .core import register
+from .sql_views import TOKEN_SUMS
+from .views import Views
+
+
+class StreamViews(Views):
+    """The same views with the tables read as streams."""
+
+    def table(self, name: str) -> DataFrame:
+        schema = super().table(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+
+
+def _run(v: Views, build, write=None, mode: str = "append") -> str:
+    out = shared_path(v.spark, "stream-out")
+    stream = build(StreamViews(v.spark, v.sf_dir))
+    jobs.run_available(stream, write(out) if write else jobs.batch_writer(out), shared_path(v.spark, "stream-state"), mode)
+    return out
+
+
+@register("st01_incremental_ingest", """
+  SELECT kind, count(*) AS lines, count(DISTINCT user_id) AS files FROM v_lines GROUP BY kind""", ["v_lines"])
+def _(v: Views) -> DataFrame:
+    """Readable and corrupt lines land in two tables; both together are all lines."""
+    build = lambda s: s.parsed.select("file_path", "line_no", "kind", "ts")
+    out = _run(v, build, lambda o: jobs.split_writer(f"{o}/good", f"{o}/bad", F.col("kind") == "corrupt"))
+    both = jobs.read_batches(v.spark, f"{out}/good").unionByName(jobs.read_batches(v.spark, f"{out}/bad"))
+    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("file_path").alias("files"))
+
+
+LINE_TOKENS = """
+  SELECT concat('m', event_id // 3) AS message_id, concat('model-', k % 5) AS model, line_ts AS ts, user_id, line_no, file_rank,
+    k AS input_tokens, event_id % 100 AS output_tokens, 0::BIGINT AS cache_creation_tokens, NULL::BIGINT AS cache_creation_5m_tokens,
+    NULL::BIGINT AS cache_creation_1h_tokens, CASE WHEN k % 4 <> 3 THEN k * 10 ELSE 0 END AS cache_read_tokens,
+    k + event_id % 100 + CASE WHEN k % 4 <> 3 THEN k * 10 ELSE 0 END AS total_tokens
+  FROM (SELECT *, concat('/logs/projects/p', user_id % 10, '/s', user_id, CASE user_id % 3 WHEN 0 THEN '.jsonl'
+      WHEN 1 THEN concat('/subagents/agent-a', user_id, '.jsonl') ELSE concat('/subagents/workflows/wf_', user_id % 4, '/agent-a', user_id, '.jsonl') END) AS file_rank
+    FROM v_lines WHERE kind = 'record')"""
+BEST_LINES = f"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY total_tokens DESC, file_rank COLLATE C, line_no) AS rn FROM ({LINE_TOKENS})) WHERE rn = 1""".replace(" COLLATE C", "")
+
+
+@register("st02_streaming_max_wins", f"SELECT model, count(*) AS requests, {TOKEN_SUMS} FROM ({BEST_LINES}) GROUP BY model", ["v_lines"])
+def _(v: Views) -> DataFrame:
+    out = _run(v, lambda s: transcripts.request_rows(s.parsed))
+    log = jobs.read_batches(v.spark, out)
+    return requests.totals_by_key(jobs.current_requests(log), "model", "model")
+
+
+@register("st02_running_largest", f"SELECT message_id, model, total_tokens FROM ({BEST_LINES})", ["v_lines"])
+def _(v: Views) -> DataFrame:
+    columns = ["message_id", "file_path", "line_no", "model", "input_tokens", "output_tokens", "cache_creation_tokens",
+               "cache_creation_5m_tokens", "cache_creation_1h_tokens", "cache_read_tokens"]
+    out = _run(v, lambda s: jobs.running_largest(transcripts.request_rows(s.parsed).select(*columns)), mode="update")
+    best = jobs.latest_updates(jobs.read_batches(v.spark, out), ["message_id"])
+    return v.totals(best).select("message_id", "model", "total_tokens")
+
+
+@register("st03_hourly_windows", """
+  SELECT date_trunc('hour', ts) AS start, count(*) AS events, sum(k)::BIGINT AS tokens FROM v_events GROUP BY 1""", ["v_events"], texts=["start"])
+def _(v: Views) -> DataFrame:
+    build = lambda s: jobs.windowed_totals(
+        s.events.withColumn("ts", F.col("ts").cast("timestamp")), {"events": F.count(F.lit(1)), "tokens": F.sum("k")})
+    out = _run(v, build, mode="update")
+    return jobs.latest_updates(jobs.read_batches(v.spark, out), ["start"])
+
+
+@register("st03_daily_windows", """
+  SELECT date_trunc('day', ts) AS start, series, count(*) AS events FROM v_series GROUP BY ALL""", ["v_series"], texts=["start"])
+def _(v: Views) -> DataFrame:
+    build = lambda s: jobs.windowed_totals(
+        s.event_series.withColumn("ts", F.col("ts").cast("timestamp")), {"events": F.count(F.lit(1))}, width="1 day", by=["series"])
+    out = _run(v, build, mode="update")
+    rows = jobs.latest_updates(jobs.read_batches(v.spark, out), ["start", "series"])
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("st04_stream_pairing", """
+  SELECT c.event_id // 2 AS call_id, c.event_id AS call_event, r.event_id AS result_event FROM events c JOIN events r
+    ON c.event_id // 2 = r.event_id // 2 AND c.event_type IN ('click', 'view') AND r.event_type = 'purchase' AND r.ts >= c.ts AND r.ts <= c.ts + INTERVAL 1 DAY""")
+def _(v: Views) -> DataFrame:
+    def build(s: StreamViews) -> DataFrame:
+        e = s.events.select(F.floor(F.col("event_id") / 2).alias("call_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+        calls = e.filter(F.col("event_type").isin("click", "view")).select("call_id", F.col("event_id").alias("call_event"), F.col("ts").alias("call_ts"))
+        results = e.filter(F.col("event_type") == "purchase").select("call_id", F.col("event_id").alias("result_event"), F.col("ts").alias("result_ts"))
+        return jobs.pair_streams(calls, results, ["call_id"])
+
+    out = _run(v, build)
+    pairs = jobs.first_result(jobs.read_batches(v.spark, out), ["call_id"])
+    return pairs.select("call_id", "call_event", "result_event")
+
+
+@register("st05_repeatable_window", f"""
+  SELECT model, count(*) AS requests, {TOKEN_SUMS} FROM (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY total_tokens DESC, file_rank, line_no) AS rn FROM ({LINE_TOKENS}) WHERE ts > TIMESTAMP '2024-01-15') WHERE rn = 1)
+  GROUP BY model""", ["v_lines"])
+def _(v: Views) -> DataFrame:
+    """A batch query over the streamed table: the window is content time, so asking again consumes nothing."""
+    log = jobs.read_batches(v.spark, _run(v, lambda s: transcripts.request_rows(s.parsed)))
+    since = F.lit("2024-01-15").cast("timestamp_ntz").cast("timestamp")
+    return requests.totals_by_key(jobs.current_requests(requests.in_window(log, "ts", since)), "model", "model")
