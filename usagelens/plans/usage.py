@@ -26,9 +26,12 @@ def usage_tables(
 ) -> dict[str, DataFrame]:
     """The tables of one window of deduplicated requests.
 
-    The attachment table is kept whole; top lists are cut when they are shown, so merges stay exact.
+    The deduplicated rows and the metric values are written once: every table below reads one of them, and
+    none of them repeats the deduplication shuffle. The attachment table is kept whole; top lists are cut
+    when they are shown, so merges stay exact.
     """
-    metrics = requests.request_metrics(rows, tokens=tokens)
+    rows = cut_lineage(rows, "requests")
+    metrics = cut_lineage(requests.request_metrics(rows, tokens=tokens), "metrics")
     summary = distribution.distribution_summary(metrics, "value", ["metric"])
     samples = distribution.hashed_sample(metrics, ["row_key"], sample_size, ["metric"])
     tables = {
@@ -73,8 +76,9 @@ def compare_tables(
     """Everything a comparison reports, from requests deduplicated per side.
 
     `tool_payload(side, tool, calls, errors, total_bytes)` and `compactions(side, compactions)` are totals.
-    Raw rows are read for the totals and for the distributions; all the rest works on totals.
+    The rows are written once and read for the totals and for the distributions; all the rest works on totals.
     """
+    sided_rows = cut_lineage(sided_rows, "requests")
     model_totals = requests.totals_by_key(sided_rows, "model", "model", ["side"], tokens)
     agent_totals = requests.totals_by_agent_type(sided_rows, by=["side"], tokens=tokens)
     metrics = requests.request_metrics(sided_rows, ["side"], tokens=tokens)
@@ -131,10 +135,11 @@ def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) ->
     """
     by = list(by)
     merged = {
-        "totals": merging.merge_totals(tables["totals"], by),
         "models": merging.merge_keyed_totals(tables["models"], "model", by),
         "agents": merging.merge_keyed_totals(tables["agents"], "agent_type", by),
     }
+    if "totals" in tables:
+        merged["totals"] = merging.merge_totals(tables["totals"], by)
     if "distributions" in tables:
         merged["distributions"] = distribution.merge_summaries(
             tables["distributions"], tables["samples"], ["row_key"], "report_id", [*by, "metric"]

@@ -11,42 +11,52 @@ PREVIEW_CHARS = 200
 RECORD_SEPARATOR, FIELD_SEPARATOR = "\x1e", "\x1f"
 
 
-def _variant_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """One parsed JSON document per file; files that do not parse are left out."""
+def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """Small files as `(file_path, content)`, one row per file."""
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true")
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("v"))
-        .filter(F.col("v").isNotNull())
+        .text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
     )
 
 
+def _documents(texts: DataFrame, content: str) -> DataFrame:
+    """Parsed JSON objects `v`; texts that do not parse to an object are left out."""
+    parsed = texts.withColumn("v", F.try_parse_json(content))
+    return parsed.filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+
+
 def _get(path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col("v"), path, kind)
 
 
-def read_agent_meta(spark: SparkSession, root: str) -> DataFrame:
-    """`agent-*.meta.json` files as `(meta_path, agent_type, model)`."""
-    files = _variant_files(spark, root, "agent-*.meta.json")
-    return files.select(
-        F.col("file_path").alias("meta_path"), _get("$.agentType").alias("agent_type"), _get("$.model").alias("model")
+def parse_agent_meta(texts: DataFrame, content: str = "content", path: str = "file_path") -> DataFrame:
+    """`(meta_path, agent_type, model)` of agent side files."""
+    return _documents(texts, content).select(
+        F.col(path).alias("meta_path"), _get("$.agentType").alias("agent_type"), _get("$.model").alias("model")
     )
 
 
-def read_workflow_definitions(spark: SparkSession, root: str) -> DataFrame:
-    """`wf_*.json` definitions: their fields without the script, its byte length and a short preview."""
-    files = _variant_files(spark, root, "wf_*.json")
+def read_agent_meta(spark: SparkSession, root: str) -> DataFrame:
+    return parse_agent_meta(read_texts(spark, root, "agent-*.meta.json"))
+
+
+def parse_workflow_definitions(texts: DataFrame, content: str = "content", path: str = "file_path") -> DataFrame:
+    """Definitions with all their fields but the script, its byte length and a short preview."""
     script = _get("$.script")
     is_text = F.coalesce(F.schema_of_variant(_get("$.script", "variant")) == "STRING", F.lit(False))
     fields = F.map_filter(_get("$", "map<string,variant>"), lambda key, _: key != "script")
-    return files.select(
-        "file_path",
+    return _documents(texts, content).select(
+        path,
         F.to_json(fields).alias("fields"),
         F.when(is_text, utf8_length(script)).otherwise(F.lit(0).cast("bigint")).alias("script_bytes"),
         F.when(is_text, F.substring(script, 1, PREVIEW_CHARS)).alias("script_preview"),
     )
 
 
+def read_workflow_definitions(spark: SparkSession, root: str) -> DataFrame:
+    return parse_workflow_definitions(read_texts(spark, root, "wf_*.json"))
+
+
 def workflow_totals(definitions: DataFrame) -> DataFrame:
     return definitions.agg(
         F.count(F.lit(1)).alias("definitions"), F.coalesce(F.sum("script_bytes"), F.lit(0)).alias("script_bytes")
@@ -54,13 +64,17 @@ def workflow_totals(definitions: DataFrame) -> DataFrame:
 
 
 def read_usage_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The all-time usage cache as one typed row; no row when the file does not parse to an object."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("v"))
+    """The usage cache file; no row when it is corrupt. A missing file is an empty table for the caller."""
+    texts = spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "content")
+    return parse_usage_cache(texts)
+
+
+def parse_usage_cache(texts: DataFrame, content: str = "content") -> DataFrame:
+    """The all-time usage cache as one typed row per document."""
     daily = "array<struct<date:string,messageCount:bigint,sessionCount:bigint,toolCallCount:bigint>>"
     usage = "map<string,struct<inputTokens:bigint,outputTokens:bigint,cacheReadInputTokens:bigint,cacheCreationInputTokens:bigint>>"
     longest = "struct<sessionId:string,duration:bigint,messageCount:bigint,timestamp:string>"
-    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
-    return raw.filter(F.col("v").isNotNull() & is_object).select(
+    return _documents(texts, content).select(
         F.to_date(_get("$.lastComputedDate")).alias("last_computed_date"),
         _get("$.dailyActivity", daily).alias("daily"),
         _get("$.modelUsage", usage).alias("model_usage"),
