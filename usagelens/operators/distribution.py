@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .ranks import (
     null_safe_join,
     percentile_aggregates,
@@ -111,7 +112,7 @@ def bootstrap_by_resampling(
     """
     percentiles = percentiles or {"p50": 0.5, "p85": 0.85}
     by = list(by)
-    running = running_counts(value_counts(df, value, by), value, by)
+    running = cut_lineage(running_counts(value_counts(df, value, by), value, by), "ranks")  # read twice
     indexed = running.select(
         *by, value, "total_n",
         F.explode(F.sequence(F.col("below_n"), F.col("below_n") + F.col("n") - 1)).alias("position"),
@@ -169,7 +170,7 @@ def bootstrap_by_order_statistics(
     """
     percentiles = percentiles or {"p50": 0.5, "p85": 0.85}
     by = list(by)
-    running = running_counts(value_counts(df, value, by), value, by)
+    running = cut_lineage(running_counts(value_counts(df, value, by), value, by), "ranks")  # read three times
     sizes = running.groupBy(*by).agg(F.max("total_n").alias("_n")).filter(F.col("_n") > 0)
     names = F.map_from_arrays(F.array(*[F.lit(k) for k in percentiles]),
                               F.array(*[F.lit(float(p)) for p in percentiles.values()]))
@@ -317,7 +318,7 @@ def clipped_histogram(
     than two values are left out.
     """
     counts = value_counts(df, value, [series])
-    running = running_counts(counts, value, [series]).filter(F.col("total_n") >= 2)
+    running = cut_lineage(running_counts(counts, value, [series]).filter(F.col("total_n") >= 2), "ranks")
     aggregates, results = percentile_aggregates({"p50": 0.5, "p95": 0.95, "_clip": clip}, value)
     markers = running.groupBy(series).agg(*aggregates, F.max("total_n").alias("series_n")).select(
         series, "series_n", *results

@@ -153,11 +153,20 @@ def totals_by_key(df: DataFrame, key: ColumnOrName, alias: str = "key", by: Sequ
     return request_totals(keyed, [*by, alias], tokens, requests)
 
 
-def totals_by_agent_type(df: DataFrame, tier: str = "tier", agent_type: str = "agent_type",
-                         by: Sequence[str] = (), tokens: TokenColumns = TOKENS) -> DataFrame:
+def totals_by_agent_type(df: DataFrame, tier: str = "tier", agent_type: str = "agent_type", by: Sequence[str] = (),
+                         tokens: TokenColumns = TOKENS, requests: Column | None = None) -> DataFrame:
     """Totals of everything outside the main tier, keyed by agent type, else by tier."""
     agents = df.filter(~F.col(tier).eqNullSafe("main"))
-    return totals_by_key(agents, F.coalesce(F.col(agent_type), F.col(tier)), agent_type, by, tokens)
+    return totals_by_key(agents, F.coalesce(F.col(agent_type), F.col(tier)), agent_type, by, tokens, requests)
+
+
+def usage_cube(df: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = ("tier", "agent_type", "model"),
+               tokens: TokenColumns = TOKENS) -> DataFrame:
+    """Totals per tier, agent type and model: one pass over the rows, from which every other total follows.
+
+    Hand it to the `totals_by_*` functions with `requests=F.col("requests")`.
+    """
+    return request_totals(df, [*by, *keys], tokens)
 
 
 def totals_by_tier(df: DataFrame, tier: str = "tier", tiers: Sequence[str] = TIERS,

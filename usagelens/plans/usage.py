@@ -32,13 +32,14 @@ def usage_tables(
     """
     rows = cut_lineage(rows, "requests")
     metrics = cut_lineage(requests.request_metrics(rows, tokens=tokens), "metrics")
+    cube, counted = cut_lineage(requests.usage_cube(rows, tokens=tokens), "cube"), F.col("requests")
     summary = distribution.distribution_summary(metrics, "value", ["metric"])
     samples = distribution.hashed_sample(metrics, ["row_key"], sample_size, ["metric"])
     tables = {
-        "totals": requests.request_totals(rows, tokens=tokens),
-        "models": requests.totals_by_key(rows, "model", "model", tokens=tokens),
-        "agents": requests.totals_by_agent_type(rows, tokens=tokens),
-        "tiers": requests.totals_by_tier(rows, tokens=tokens),
+        "totals": requests.request_totals(cube, tokens=tokens, requests=counted),
+        "models": requests.totals_by_key(cube, "model", "model", tokens=tokens, requests=counted),
+        "agents": requests.totals_by_agent_type(cube, tokens=tokens, requests=counted),
+        "tiers": requests.totals_by_tier(cube, tokens=tokens, requests=counted),
         "distributions": summary.withColumn("sampled", F.col("n") > sample_size),
         "intervals": distribution.bootstrap_ci(metrics, resamples=resamples),
         "samples": samples,
@@ -79,8 +80,9 @@ def compare_tables(
     The rows are written once and read for the totals and for the distributions; all the rest works on totals.
     """
     sided_rows = cut_lineage(sided_rows, "requests")
-    model_totals = requests.totals_by_key(sided_rows, "model", "model", ["side"], tokens)
-    agent_totals = requests.totals_by_agent_type(sided_rows, by=["side"], tokens=tokens)
+    cube, counted = cut_lineage(requests.usage_cube(sided_rows, ["side"], tokens=tokens), "cube"), F.col("requests")
+    model_totals = requests.totals_by_key(cube, "model", "model", ["side"], tokens, counted)
+    agent_totals = requests.totals_by_agent_type(cube, by=["side"], tokens=tokens, requests=counted)
     metrics = requests.request_metrics(sided_rows, ["side"], tokens=tokens)
     distributions = significance.compare_distributions(metrics, "value", "side", ["metric"], min_n)
     return {**compare_totals(model_totals, agent_totals, prices, tool_payload, compactions, tokens),

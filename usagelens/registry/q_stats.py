@@ -20,7 +20,7 @@ SUMMARY_DOUBLES = ["sum", "mean", "stdev", *P, "min", "max"]
 
 @register("ag08_distribution_summary", f"SELECT metric, {SUMMARY} FROM v_metrics GROUP BY metric", ["v_metrics"], doubles=SUMMARY_DOUBLES)
 def _(v: Views) -> DataFrame:
-    return distribution.distribution_summary(requests.request_metrics(v.dedup), "value", ["metric"])
+    return distribution.distribution_summary(v.metrics, "value", ["metric"])
 
 
 @register("ag08_distribution_by_user", f"SELECT user_id, {SUMMARY} FROM (SELECT user_id, floor(value * 100 + 0.5) AS value FROM events) GROUP BY user_id", doubles=SUMMARY_DOUBLES)
@@ -61,7 +61,7 @@ def _(v: Views) -> DataFrame:
     SELECT *, row_number() OVER (PARTITION BY metric ORDER BY md5(concat(row_key, ':', '0')), row_key) AS rn FROM v_metrics)
   WHERE rn <= 5000""", ["v_metrics"], doubles=["value"])
 def _(v: Views) -> DataFrame:
-    return distribution.hashed_sample(requests.request_metrics(v.dedup), ["row_key"], 5000, ["metric"])
+    return distribution.hashed_sample(v.metrics, ["row_key"], 5000, ["metric"])
 
 
 @register("ag13_clipped_histogram", """
@@ -84,7 +84,7 @@ def _(v: Views) -> DataFrame:
 
 @register("ag14_mann_whitney", "SELECT * FROM v_rank_test", ["v_rank_test"], doubles=["u1", "u2", "z", "p_value", "rank_biserial"])
 def _(v: Views) -> DataFrame:
-    return significance.mann_whitney(requests.request_metrics(v.sided, ["side"]), by=["metric"])
+    return significance.mann_whitney(v.sided_metrics, by=["metric"])
 
 
 @register("ag14_mann_whitney_small_groups", """
@@ -170,7 +170,7 @@ COMPARE_DOUBLES = [*[f"{s}_{p}" for s in ("base", "comp") for p in P], *[f"{p}_p
 
 
 def _comparison(v: Views) -> DataFrame:
-    return significance.compare_distributions(requests.request_metrics(v.sided, ["side"]))
+    return significance.compare_distributions(v.sided_metrics)
 
 
 @register("ag17_compare_distributions", COMPARE_SQL, ["v_summary_sided", "v_rank_test"], doubles=COMPARE_DOUBLES)

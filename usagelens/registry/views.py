@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import total_tokens
+from ..functions.tokens import TOKENS, total_tokens
 from ..operators import pricing, requests, tools
 from ..plans import usage
 from ..session import cut_lineage
@@ -90,9 +90,14 @@ class Views:
     def model_totals(self) -> DataFrame:
         return cut_lineage(requests.totals_by_key(self.dedup, "model", "model"), "model-totals")
 
+    @cached_property
+    def sided_cube(self) -> DataFrame:
+        """One pass over the requests of both windows; all totals of the comparison come from it."""
+        return cut_lineage(requests.usage_cube(self.sided, ["side"]), "cube")
+
     @cached_property
     def sided_models(self) -> DataFrame:
-        return cut_lineage(requests.totals_by_key(self.sided, "model", "model", ["side"]), "model-totals")
+        return cut_lineage(requests.totals_by_key(self.sided_cube, "model", "model", ["side"], requests=F.col("requests")), "models")
 
     @cached_property
     def sided_priced(self) -> DataFrame:
@@ -100,7 +105,20 @@ class Views:
 
     @cached_property
     def sided_agents(self) -> DataFrame:
-        return cut_lineage(requests.totals_by_agent_type(self.sided, by=["side"]), "agent-totals")
+        return requests.totals_by_agent_type(self.sided_cube, by=["side"], requests=F.col("requests"))
+
+    def _metrics(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """The three distributions; the few columns they need are written once, after deduplication."""
+        narrow = cut_lineage(rows.select(*by, "message_id", "session_id", "ts", *TOKENS.counts), "requests")
+        return requests.request_metrics(narrow, by)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return self._metrics(self.dedup, [])
+
+    @cached_property
+    def sided_metrics(self) -> DataFrame:
+        return self._metrics(self.sided, ["side"])
 
     @cached_property
     def request_sources(self) -> DataFrame:
