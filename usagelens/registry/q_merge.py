@@ -234,7 +234,7 @@ def _(v: Views) -> DataFrame:
 
 def _source_metrics(v: Views) -> tuple[DataFrame, DataFrame]:
     """Summary and stored sample (5,000 at most) per source and metric."""
-    metrics = cut_lineage(v._metrics(v.request_sources, ["source"]), "metrics")
+    metrics = v._metrics(v.request_sources, ["source"])
     summary = distribution.distribution_summary(metrics, "value", ["metric", "source"]).withColumn("sampled", F.col("n") > 5000)
     return summary, distribution.hashed_sample(metrics, ["row_key"], 5000, ["metric", "source"])
 
