@@ -118,12 +118,14 @@ def _(v: Views) -> DataFrame:
     coalesce(sum(l_linenumber) FILTER (WHERE l_returnflag <> 'R'), 0)::BIGINT AS deletions, count(*) AS files_changed, count(*) FILTER (WHERE l_returnflag = 'R') AS binary_files
   FROM lineitem GROUP BY l_orderkey""")
 def _(v: Views) -> DataFrame:
-    """Log text per commit from the changed files, parsed back into rows."""
-    f = v.commit_files
-    text = f.groupBy("repo", "hash").agg(F.concat_ws("\n", F.collect_list(F.concat_ws("\t", "added", "removed", F.col("path").cast("string")))).alias("body"))
-    logs = text.select("repo", F.concat(
-        F.lit(sidecars.RECORD_SEPARATOR), F.col("hash").cast("string"), F.lit(sidecars.FIELD_SEPARATOR), F.lit("2024-01-01T00:00:00+02:00"),
-        F.lit(sidecars.FIELD_SEPARATOR), F.lit("A@b.example"), F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("value"))
+    """Log records written from the changed files and parsed back into rows.
+
+    One record per file rather than per commit: nothing is gathered, and counts per commit stay the same.
+    """
+    entry = F.concat_ws("\t", "added", "removed", F.col("path").cast("string"))
+    head = F.concat_ws(sidecars.FIELD_SEPARATOR, F.col("hash").cast("string"), F.lit("2024-01-01T00:00:00+02:00"), F.lit("A@b.example"))
+    record = F.concat(F.lit(sidecars.RECORD_SEPARATOR), head, F.lit("\n\n"), entry, F.lit("\n"))
+    logs = v.commit_files.select("repo", record.alias("value"))
     _, files = sidecars.parse_numstat_log(logs)
     return commits.numstat(files, ["hash"])
 

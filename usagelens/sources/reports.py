@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def latest_baseline(spark: SparkSession, root: str) -> str:
     """Id of the last explicit baseline. Comparing never moves it."""
     try:
         index = load_table(spark, root, "reports")
-    except Exception as error:  # no index written yet
+    except AnalysisException as error:  # no index written yet
         raise NoBaselineError("no baseline found: save one first") from error
     row = index.filter(F.col("mode") == "baseline").agg(F.max_by("report_id", "generated_at").alias("id")).first()
     if row is None or row["id"] is None:
