@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash, toxicity
+from . import decontaminate, mixing, paragraph_sketch, repeats, sharding, simhash, toxicity, url_rules, warc
 from .common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc_salvage")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    found, _ = warc.read(spark, path, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(rule, verdict, rule_host, rule_path) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+  ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+judged AS (
+  SELECT page_id, host, path,
+    (SELECT arg_max(struct_pack(rule := rule, verdict := verdict), length(rule)) FROM rules
+     WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)) AS best
+  FROM parts p)
+SELECT page_id, host, path, best.rule AS rule,
+  coalesce(best.verdict, CASE WHEN contains(host || path, '/login/') OR contains(host || path, '/ads/') OR contains(host || path, '/cart/')
+    OR contains(host || path, '/wp-admin/') OR regexp_matches(host || path, '(?s)/tag/.*/feed/') THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged
+"""
+
+
+@query("op2_url_rules", URL_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op3_benchmark_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -80,6 +112,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op8_paragraph_sketch")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_sketch.compare_versions(table(spark, sf_dir, "documents"))
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 4, 2)
@@ -88,6 +125,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op10_repeated_strings")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
