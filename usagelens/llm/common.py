@@ -28,8 +28,3 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def input_bytes(df) -> int:
-    """Size of a frame by the optimizer's statistics: the files' size for a scanned table."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -67,11 +67,12 @@ def text_key(text: str) -> Column:
 
 def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(t, item_id, word_start, n_words, similarity): the best window for each text (by its md5) and item with one."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
+    # equal items are one, named by the md5 of their text
+    items = benchmark.select(text_key("text").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0).dropDuplicates(["item"]).withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
     elements = cut_lineage(
-        items.withColumn("h", F.explode(shingles_by_size("w", "k"))).groupBy("item_id", "k", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")), "leak-items"
+        items.withColumn("h", F.explode(shingles_by_size("w", "k"))).groupBy("item", "k", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")), "leak-items"
     )
-    sizes = cut_lineage(elements.groupBy("item_id", "k").agg(F.sum("weight").alias("n")).select("k", "n").distinct(), "leak-sizes")
+    sizes = cut_lineage(elements.groupBy("item", "k").agg(F.sum("weight").alias("n")).select("k", "n").distinct(), "leak-sizes")
     known = cut_lineage(elements.select("k", "h").distinct(), "leak-known")
     lengths = [r[0] for r in known.select("k").distinct().collect()]  # of 1 to SHINGLE
     texts = docs.select(text_key(text).alias("t"), words(F.col(text)).alias("w"))
@@ -97,18 +98,19 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     windows = cut_lineage(windows, "leak-elements")
     prints = _fingerprints(windows, ["t", "k", "pos", "n"])
     block = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("v")) for i in range(BLOCKS)]))
-    item_prints = cut_lineage(_fingerprints(elements, ["item_id", "k"]).withColumnRenamed("size", "n"), "leak-item-prints")
+    item_prints = cut_lineage(_fingerprints(elements, ["item", "k"]).withColumnRenamed("size", "n"), "leak-item-prints")
     theirs = [F.col(f"b{i}").alias(f"c{i}") for i in range(BLOCKS)]
-    index = item_prints.select("item_id", "k", "n", *theirs, block.alias("x")).select("item_id", "k", "n", *[f"c{i}" for i in range(BLOCKS)], F.col("x.i").alias("i"), F.explode(F.transform(_near_values(), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
+    index = item_prints.select("item", "k", "n", *theirs, block.alias("x")).select("item", "k", "n", *[f"c{i}" for i in range(BLOCKS)], F.col("x.i").alias("i"), F.explode(F.transform(_near_values(), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
     asked = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *[f"b{i}" for i in range(BLOCKS)], block.alias("x")).select("*", F.col("x.i").alias("i"), F.col("x.v").alias("v")).drop("x")
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(1, BLOCKS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
-    found = asked.join(index, ["k", "n", "i", "v"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item_id").distinct()
-    theirs = elements.select("item_id", "k", "h", F.col("weight").alias("of_item"))
-    shared = found.join(windows, ["t", "k", "pos", "n"]).join(theirs, ["item_id", "k", "h"]).groupBy("t", "k", "pos", "n", "m", "item_id").agg(F.sum(F.least("weight", "of_item")).alias("common"))
+    found = asked.join(index, ["k", "n", "i", "v"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item").distinct()
+    theirs = elements.select("item", "k", "h", F.col("weight").alias("of_item"))
+    shared = found.join(windows, ["t", "k", "pos", "n"]).join(theirs, ["item", "k", "h"]).groupBy("t", "k", "pos", "n", "m", "item").agg(F.sum(F.least("weight", "of_item")).alias("common"))
     alike = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
     passed = shared.withColumn("similarity", alike).where(F.col("similarity") >= similarity)
-    best = passed.groupBy("t", "item_id").agg(F.max_by(F.struct("pos", "m", "k", "similarity"), F.struct("similarity", -F.col("pos"))).alias("x"))
-    best = best.select("t", "item_id", F.col("x.pos").cast("long").alias("word_start"), (F.col("x.m") + F.col("x.k") - 1).cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"))
+    best = passed.groupBy("t", "item").agg(F.max_by(F.struct("pos", "m", "k", "similarity"), F.struct("similarity", -F.col("pos"))).alias("x"))
+    named = benchmark.select("item_id", text_key("text").alias("item"))
+    best = best.join(named, "item").select("t", "item_id", F.col("x.pos").cast("long").alias("word_start"), (F.col("x.m") + F.col("x.k") - 1).cast("long").alias("n_words"), F.col("x.similarity").alias("similarity"))
     return cut_lineage(best, "leak-best")
 
 

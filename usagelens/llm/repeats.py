@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, utf8, width
+from .common import utf8, width
 
 GRAM, LENGTH, SEED = 24, 50, 42
 #: Longest stretch in bytes: suffixes are compared whole.
@@ -316,7 +316,8 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, text_id, start, end) over `docs` (key not null, data): bytes covered by strings of smaller keys."""
-    ranges = max(width(docs.sparkSession), input_bytes(docs) // RANGE_BYTES)
+    total = docs.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+    ranges = max(width(docs.sparkSession), total // RANGE_BYTES)
     ids = docs.select("key", F.md5("data").alias("t"), F.xxhash64("data").alias("text_id"), F.octet_length("data").cast("long").alias("n")).where(F.col("n") >= length)
     owners = ids.groupBy("t").agg(F.min("key").alias("key"), F.first("text_id").alias("text_id"))
     copies = ids.join(owners.select("t", F.col("key").alias("owner")), "t").where("key > owner")
