@@ -92,8 +92,13 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         dense.append(F.when(here >= max(1, _ceil(similarity * n)), F.lit(int(n))))
     starts = hits.select("t", "k", "pos", F.array_compact(F.array(*dense)).alias("fits")).where(F.size("fits") > 0)
     starts = cut_lineage(starts.select("t", "k", "pos", F.explode("fits").alias("n")), "leak-windows")
-    hashes = texts.join(starts.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
-    cut = hashes.join(starts, "t").withColumn("h", F.explode(F.slice(shingles_by_size("w", "k"), F.col("pos") + 1, F.col("n").cast("int"))))
+    # shingles are hashed once per text, and all its windows cut from them
+    asked = cut_lineage(starts.groupBy("t", "k").agg(F.collect_list(F.struct("pos", "n")).alias("cuts")), "leak-cuts")
+    cut = None
+    for k in lengths:
+        hashed = texts.join(asked.where(F.col("k") == k), "t").dropDuplicates(["t"]).select("t", "k", "cuts", shingles(F.col("w"), k).alias("hashes"))
+        cut = hashed if cut is None else cut.unionByName(hashed)
+    cut = cut.select("t", "k", "hashes", F.inline("cuts")).select("t", "k", "pos", "n", F.explode(F.slice("hashes", F.col("pos") + 1, F.col("n"))).alias("h"))
     windows = cut.groupBy("t", "k", "pos", "n", "h").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     windows = cut_lineage(windows, "leak-elements")
     prints = _fingerprints(windows, ["t", "k", "pos", "n"])
@@ -101,9 +106,9 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     item_prints = cut_lineage(_fingerprints(elements, ["item", "k"]).withColumnRenamed("size", "n"), "leak-item-prints")
     theirs = [F.col(f"b{i}").alias(f"c{i}") for i in range(BLOCKS)]
     index = item_prints.select("item", "k", "n", *theirs, block.alias("x")).select("item", "k", "n", *[f"c{i}" for i in range(BLOCKS)], F.col("x.i").alias("i"), F.explode(F.transform(_near_values(), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
-    asked = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *[f"b{i}" for i in range(BLOCKS)], block.alias("x")).select("*", F.col("x.i").alias("i"), F.col("x.v").alias("v")).drop("x")
+    wanted = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *[f"b{i}" for i in range(BLOCKS)], block.alias("x")).select("*", F.col("x.i").alias("i"), F.col("x.v").alias("v")).drop("x")
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(1, BLOCKS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
-    found = asked.join(index, ["k", "n", "i", "v"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item").distinct()
+    found = wanted.join(index, ["k", "n", "i", "v"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item").distinct()
     theirs = elements.select("item", "k", "h", F.col("weight").alias("of_item"))
     shared = found.join(windows, ["t", "k", "pos", "n"]).join(theirs, ["item", "k", "h"]).groupBy("t", "k", "pos", "n", "m", "item").agg(F.sum(F.least("weight", "of_item")).alias("common"))
     alike = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
