@@ -4,9 +4,9 @@ Words are runs of other bytes than white space, lower-cased. An item of L words
 it (an item with fewer words: itself). A document window has the same number of shingles, so it is item-sized.
 
 1. A window can reach the similarity only if it shares most shingles with an item. So document shingles are looked up
-   in the set of all benchmark shingles, and windows start at such a shingle, and are cut only where enough of their
-   positions are benchmark shingles. (Moving a window to its first benchmark shingle drops only others, so its
-   similarity does not fall, and no window that would pass is lost.)
+   among those of all items, and a window starts at a shingle of some item of its size, and is cut only where
+   enough of its places have such shingles. (Moving a window to the first shingle it shares with an item drops
+   only others, so its similarity does not fall, and no window that would pass is lost.)
 2. Windows and items get 64-bit SimHash fingerprints over their shingles, repeats weighing as often as they occur.
 3. Fingerprints are cut into BLOCKS blocks. If two differ in RADIUS bits at most, some block differs in
    RADIUS // BLOCKS at most. Each item is entered under all block values that near, so an equality join finds
@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, RADIUS = 4, 19
-BLOCK_BITS = 64 // BLOCKS
+WHITE = " \t\n\x0b\x0c\r"
+BLOCKS, RADIUS = 5, 19
+#: First bit of each block, and the end.
+EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 
 
 def words(text: Column) -> Column:
     """Lower-case words; null and empty texts have none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    inner = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(WHITE))
+    return F.when(inner != "", F.split(inner, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
 def shingles(w: Column, k: int) -> Column:
@@ -43,9 +46,9 @@ def shingles(w: Column, k: int) -> Column:
 
 
 def _blocks(counts: list[Column], total: Column) -> list[Column]:
-    """Fingerprint as BLOCKS numbers of BLOCK_BITS bits, from the weight of each bit."""
-    bit = lambda b: F.when(counts[b] * 2 > total, 1 << (b % BLOCK_BITS)).otherwise(0)
-    return [sum((bit(b) for b in range(k * BLOCK_BITS + 1, (k + 1) * BLOCK_BITS)), bit(k * BLOCK_BITS)).alias(f"b{k}") for k in range(BLOCKS)]
+    """Fingerprint as BLOCKS numbers, from the weight of each bit."""
+    bit = lambda b, low: F.when(counts[b] * 2 > total, 1 << (b - low)).otherwise(0)
+    return [sum((bit(b, low) for b in range(low + 1, high)), bit(low, low)).alias(f"b{k}") for k, (low, high) in enumerate(zip(EDGES, EDGES[1:]))]
 
 
 def _fingerprints(elements: DataFrame, by: list[str]) -> DataFrame:
@@ -56,9 +59,10 @@ def _fingerprints(elements: DataFrame, by: list[str]) -> DataFrame:
     return summed.select(*by, "size", *_blocks([F.col(f"s{b}") for b in range(64)], F.col("size")))
 
 
-def _near_values() -> Column:
-    """Bit patterns of one block with RADIUS // BLOCKS bits at most."""
-    return F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
+def _near_values(value: Column, bits: int) -> Column:
+    """Values of one block that differ from `value` in RADIUS // BLOCKS bits at most."""
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
+    return F.transform(masks, lambda m: value.bitwiseXOR(m))
 
 
 def text_key(text: str) -> Column:
@@ -72,9 +76,11 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     elements = cut_lineage(
         items.withColumn("h", F.explode(shingles_by_size("w", "k"))).groupBy("item", "k", "h").agg(F.count(F.lit(1)).cast("int").alias("weight")), "leak-items"
     )
-    sizes = cut_lineage(elements.groupBy("item", "k").agg(F.sum("weight").alias("n")).select("k", "n").distinct(), "leak-sizes")
-    known = cut_lineage(elements.select("k", "h").distinct(), "leak-known")
-    lengths = [r[0] for r in known.select("k").distinct().collect()]  # of 1 to SHINGLE
+    sizes = elements.groupBy("item", "k").agg(F.sum("weight").cast("int").alias("n"))
+    # each shingle with the sizes of the items that have it
+    known = cut_lineage(elements.join(sizes, ["item", "k"]).select("k", "h", "n").distinct(), "leak-known")
+    classes = sorted(tuple(r) for r in known.select("k", "n").distinct().collect())  # as many as items have lengths
+    lengths = sorted({k for k, _ in classes})  # of 1 to SHINGLE
     texts = docs.select(text_key(text).alias("t"), words(F.col(text)).alias("w"))
     # every document shingle is looked up in the benchmark's
     each = [texts.select("t", F.lit(k).alias("k"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "h")) for k in lengths]
@@ -84,14 +90,13 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     if hits is None:
         return docs.sparkSession.createDataFrame([], "t string, item_id long, word_start long, n_words long, similarity double")
     # copies of a text have the same hits: one of them is kept
-    hits = cut_lineage(hits.join(known, ["k", "h"]).select("t", "k", "pos").distinct(), "leak-hits")
-    dense = []
-    for k, n in sorted(tuple(r) for r in sizes.collect()):  # at most the number of distinct item lengths
-        inside = Window.partitionBy("t", "k").orderBy("pos").rangeBetween(0, int(n) - 1)
-        here = F.when(F.col("k") == k, F.count(F.lit(1)).over(inside)).otherwise(0)
-        dense.append(F.when(here >= max(1, _ceil(similarity * n)), F.lit(int(n))))
-    starts = hits.select("t", "k", "pos", F.array_compact(F.array(*dense)).alias("fits")).where(F.size("fits") > 0)
-    starts = cut_lineage(starts.select("t", "k", "pos", F.explode("fits").alias("n")), "leak-windows")
+    hits = cut_lineage(hits.join(known, ["k", "h"]).select("t", "k", "n", "pos").distinct(), "leak-hits")
+    # a window starts at a shingle of an item of its size, and most of its places are such shingles
+    dense = F.lit(False)
+    for k, n in classes:
+        inside = Window.partitionBy("t", "k", "n").orderBy("pos").rangeBetween(0, n - 1)
+        dense = dense | ((F.col("k") == k) & (F.col("n") == n) & (F.count(F.lit(1)).over(inside) >= max(1, _ceil(similarity * n))))
+    starts = cut_lineage(hits.withColumn("dense", dense).where("dense").drop("dense"), "leak-windows")
     # shingles are hashed once per text, and all its windows cut from them
     asked = cut_lineage(starts.groupBy("t", "k").agg(F.collect_list(F.struct("pos", "n")).alias("cuts")), "leak-cuts")
     cut = None
@@ -104,11 +109,15 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     prints = _fingerprints(windows, ["t", "k", "pos", "n"])
     block = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("v")) for i in range(BLOCKS)]))
     item_prints = cut_lineage(_fingerprints(elements, ["item", "k"]).withColumnRenamed("size", "n"), "leak-item-prints")
-    theirs = [F.col(f"b{i}").alias(f"c{i}") for i in range(BLOCKS)]
-    index = item_prints.select("item", "k", "n", *theirs, block.alias("x")).select("item", "k", "n", *[f"c{i}" for i in range(BLOCKS)], F.col("x.i").alias("i"), F.explode(F.transform(_near_values(), lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
-    wanted = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *[f"b{i}" for i in range(BLOCKS)], block.alias("x")).select("*", F.col("x.i").alias("i"), F.col("x.v").alias("v")).drop("x")
+    entered = F.array(*[F.struct(F.lit(i).alias("i"), _near_values(F.col(f"b{i}"), EDGES[i + 1] - EDGES[i]).alias("vs")) for i in range(BLOCKS)])
+    index = item_prints.select("item", "k", "n", F.explode(entered).alias("x")).select("item", "k", "n", F.col("x.i").alias("i"), F.explode("x.vs").alias("v"))
+    asked = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *[f"b{i}" for i in range(BLOCKS)], block.alias("x"))
+    asked = asked.select("*", F.col("x.i").alias("i"), F.col("x.v").alias("v")).drop("x")
+    # the index is hundreds of times as large as the items it comes from: it is not to be broadcast by their size
+    near = asked.join(index.hint("merge"), ["k", "n", "i", "v"]).drop("i", "v").distinct()
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(1, BLOCKS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
-    found = wanted.join(index, ["k", "n", "i", "v"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item").distinct()
+    theirs = item_prints.select("item", "k", *[F.col(f"b{i}").alias(f"c{i}") for i in range(BLOCKS)])
+    found = near.join(theirs, ["item", "k"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item")
     theirs = elements.select("item", "k", "h", F.col("weight").alias("of_item"))
     shared = found.join(windows, ["t", "k", "pos", "n"]).join(theirs, ["item", "k", "h"]).groupBy("t", "k", "pos", "n", "m", "item").agg(F.sum(F.least("weight", "of_item")).alias("common"))
     alike = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
