@@ -219,3 +219,36 @@ def test_plans_end_to_end(spark, parsed):
     kept = requests.keep_largest(transcripts.request_rows(parsed))
     report = usage.usage_tables(kept, resamples=20)
     assert rows(report["totals"])[0]["requests"] == 7 and report["intervals"].count() == 6
+
+
+def test_long_strings_and_repeated_keys(spark):
+    long = '{"type":"user","message":{"content":"' + "x" * 25_000_000 + '"}}'
+    twice = '{"type":"user","type":"assistant"}'
+    df = spark.createDataFrame([(long,), (twice,), ("[1]",), ("{broken",), ("7",)], "line string")
+    got = [(r["kind"], r["line_type"]) for r in transcripts.parse_lines(df).select("kind", "line_type").collect()]
+    assert got == [("other", "user"), ("other", "assistant"), ("corrupt", None), ("corrupt", None), ("corrupt", None)]
+
+
+def test_named_folders_and_open_tails(spark, tmp_path):
+    folder = tmp_path / "logs" / "projects" / "my proj+é 100%"
+    folder.mkdir(parents=True)
+    (folder / "closed.jsonl").write_bytes(b'{"a":1}\n\n{"a":2}\n')
+    (folder / "open.jsonl").write_bytes(b'{"a":3}\n{"a":4')
+    lines = transcripts.read_lines(spark, str(tmp_path / "logs"))
+    got = sorted((r["project"], r["file_session_id"], r["line"]) for r in lines.collect())
+    assert got == [("my proj+é 100%", "closed", '{"a":1}'), ("my proj+é 100%", "closed", '{"a":2}'), ("my proj+é 100%", "open", '{"a":3}')]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_numbers_that_are_no_time(spark):
+    df = spark.createDataFrame([('{"display":"a","timestamp":1e300}',), ('{"display":"b","timestamp":1000}',)], "line string")
+    got = {r["display"]: r["ts"] for r in sidecars.parse_prompt_log(df).collect()}
+    assert got["a"] is None and got["b"] is not None
+
+
+def test_commit_log_from_a_file(spark, tmp_path):
+    (tmp_path / "log.txt").write_bytes(b"\x1eh1\x1f2024-01-01\x1fA@B.c\n1\t2\tx.py\n\x1eh2\x1f2024-01-02\x1f\n-\t-\tpic\n")
+    commits, files = sidecars.read_numstat_log(spark, str(tmp_path / "log.txt"), "r")
+    assert sorted((r["hash"], r["email"]) for r in commits.collect()) == [("h1", "a@b.c"), ("h2", "")]
+    assert sorted((r["hash"], r["added"], r["path"]) for r in files.collect()) == [("h1", "1", "x.py"), ("h2", "-", "pic")]

@@ -124,9 +124,9 @@ def test_bootstrap_methods_agree(spark):
             assert got["ci_high"] == pytest.approx(want[1], abs=0.25 * width)
 
 
-def test_bootstrap_splits_by_size(spark):
+def test_bootstrap_of_any_size(spark):
     df = values(spark, [("one", 7.0)] + [("big", float(i)) for i in range(100)])
-    out = {(r["metric"], r["statistic"]): r for r in rows(distribution.bootstrap_ci(df, resamples=50, resample_up_to=10))}
+    out = {(r["metric"], r["statistic"]): r for r in rows(distribution.bootstrap_ci(df, resamples=50))}
     assert len(out) == 4
     assert (out["one", "p50"]["ci_low"], out["one", "p50"]["ci_high"]) == (7.0, 7.0)
     assert out["big", "p50"]["ci_low"] < 50 < out["big", "p50"]["ci_high"]
@@ -175,3 +175,18 @@ def test_histogram_counts_everything(spark):
         mine = [r for r in out if r["series"] == s]
         assert len(mine) == 44 and sum(r["n"] for r in mine) + mine[0]["clipped"] == n
     assert not [r for r in out if r["series"] == "c"]
+
+
+def test_no_bucket_is_hot(spark):
+    n = 60_000
+    df = spark.range(n).select((F.col("id") * 7 % n + 1_700_000_000).cast("double").alias("value"))
+    running = ranks.running_counts(ranks.value_counts(df))
+    sizes = [r[0] for r in running.groupBy("_bucket").count().select("count").collect()]
+    assert max(sizes) <= 2 * ranks.BUCKET_ROWS and sum(sizes) == n
+    assert running.where(F.col("below_n") != F.col("value") - 1_700_000_000).count() == 0
+
+
+def test_infinite_values(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("-inf"),), (0.0,), (5.0,), (float("nan"),), (None,)], "value double")
+    got = {r["value"]: r["below_n"] for r in ranks.running_counts(ranks.value_counts(df)).collect()}
+    assert got == {float("-inf"): 0, 0.0: 1, 5.0: 2, float("inf"): 3}

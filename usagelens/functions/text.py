@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .numeric import ColumnOrName, col
@@ -11,6 +11,21 @@ from .numeric import ColumnOrName, col
 WORKTREE_PROJECT_PATTERN = r"-claude-worktrees-([^/]+)$"
 
 
+#: Longest JSON string that is read: the longest that a row can hold.
+MAX_JSON_STRING = 2_000_000_000
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def json_variant(text: ColumnOrName) -> Column:
+    """JSON text as a variant, null if it is none. Strings of any length; of repeated keys the last counts.
+
+    The setting for repeated keys belongs to the session, so it is made here too: sources work in sessions
+    that others have built.
+    """
+    SparkSession.active().conf.set(_REPEATED_KEYS, "true")
+    return F.from_json(col(text), "variant", {"maxStringLen": str(MAX_JSON_STRING)})
+
+
 def utf16_length(text: ColumnOrName) -> Column:
     """Length in UTF-16 code units (`length` counts code points and differs beyond the BMP)."""
     return (F.octet_length(F.encode(col(text), "UTF-16BE")) / 2).cast("bigint")

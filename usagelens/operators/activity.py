@@ -20,7 +20,6 @@ from ..functions.tokens import TOKENS, TokenColumns, total_tokens
 from .requests import keep_largest
 
 WORKING, PROMPT = "working", "prompt"
-MAX_SPAN_DAYS = 20_000
 
 
 # ---------------------------------------------------------------------------
@@ -96,15 +95,15 @@ def series_spans(events: DataFrame, ts: str = "ts", tz: str = "UTC", series: str
     return events.groupBy(series).agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"))
 
 
-def weekday_occurrences(spans: DataFrame, by: Sequence[str] = ("series",), max_days: int = MAX_SPAN_DAYS) -> DataFrame:
-    """How often each weekday occurred in the span of each row; nothing for inverted or implausible spans.
+def weekday_occurrences(spans: DataFrame, by: Sequence[str] = ("series",)) -> DataFrame:
+    """How often each weekday occurred in the span of each row; nothing for inverted spans.
 
     Counted arithmetically: full weeks plus the days of the remainder, so a span is never expanded.
     """
     days = cal.inclusive_days("first_date", "last_date")
     first_day = F.dayofweek("first_date") - 1
     weekday = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("slot")
-    usable = spans.filter((F.col("last_date") >= F.col("first_date")) & (days < max_days))
+    usable = spans.filter(F.col("last_date") >= F.col("first_date"))
     offset = F.pmod(F.col("slot") - F.col("_start"), F.lit(7))
     return usable.select(*by, days.alias("_days"), first_day.alias("_start"), weekday).select(
         *by, "slot",
@@ -351,7 +350,8 @@ def corpus_counters(files: DataFrame, project: str = "project", tier: str = "tie
                     file: str = "file_path") -> DataFrame:
     """Distinct projects, working-copy labels, workflow runs and agent files of a corpus."""
     of = lambda t, c: F.countDistinct(F.when(F.col(tier) == t, F.col(c)))
-    return files.agg(
+    # lines of a file say the same: one row per file before the distinct counts multiply the rows
+    return files.select(project, tier, run, file).distinct().agg(
         F.countDistinct(project).alias("projects"),
         F.countDistinct(worktree_label(project)).alias("worktree_labels"),
         of("workflow-agent", run).alias("workflow_runs"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +36,17 @@ def distribution_summary(
     The deviation is the two-pass one (around the group mean, which travels with the running counts); it is
     null below two values. Without groups an empty input still gives one row with n 0 and sum 0.
     """
-    running = running_counts(value_counts(df, value, by), value, by)
+    return summarize_counts(value_counts(df, value, by), value, by, percentiles)
+
+
+def summarize_counts(
+    counts: DataFrame,
+    value: str = "value",
+    by: Sequence[str] = (),
+    percentiles: dict[str, float] = PERCENTILES,
+) -> DataFrame:
+    """The same summary from distinct values and how often each occurs (`n`), as saved reports hold them."""
+    running = running_counts(counts, value, by)
     aggregates, results = percentile_aggregates(percentiles, value)
     v, n = F.col(value), F.col("n")
     mean = F.col("group_sum") / F.col("total_n")
@@ -107,8 +116,7 @@ def bootstrap_by_resampling(
     """Percentile bootstrap interval by explicit resampling with replacement; `resamples` x n rows.
 
     Draw j of resample b is the value at sorted position `floor(u * n)` with a seeded hash `u`, so the
-    result is reproducible. Meant for groups of at most a few thousand values; `bootstrap_ci` sends larger
-    ones to `bootstrap_by_order_statistics`.
+    result is reproducible. Only for few, small groups: `bootstrap_ci` does not use it.
     """
     percentiles = percentiles or {"p50": 0.5, "p85": 0.85}
     by = list(by)
@@ -135,22 +143,29 @@ def bootstrap_by_resampling(
     return _interval(named, by, resamples, level)
 
 
-def _order_statistic_positions(n: pd.Series, p: pd.Series, b: pd.Series, seed: int) -> pd.DataFrame:
+def _gamma(shape: Column, normal: Column) -> Column:
+    """A gamma variate from a normal one (Wilson-Hilferty); zero for shape zero."""
+    root = 1 - 1 / (9 * shape) + normal / (3 * F.sqrt(shape))
+    return F.when(shape > 0, shape * F.greatest(root, F.lit(0.0)) * F.greatest(root, F.lit(0.0)) * F.greatest(root, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def _order_statistic_positions(n: Column, p: Column, b: Column, seed: int) -> tuple[Column, Column, Column]:
     """Sorted positions of the two resample order statistics around percentile p, and the fraction between.
 
-    A resample of size n with replacement is n uniform positions, so its k-th order statistic is
-    floor(n * U) with U ~ Beta(k, n - k + 1), and the next one follows from the minimum of the
-    n - k uniforms above it. Two draws replace n.
+    A resample of size n with replacement is n uniform positions; its k-th and next order statistics are the
+    shares A / (A + E + C) and (A + E) / (A + E + C) of a gamma(k), an exponential and a gamma(n - k) variate. They
+    come from seeded hashes by column functions that any SQL engine has.
     """
-    out = np.empty((len(n), 3))
-    for i, (size, prob, draw) in enumerate(zip(n.to_numpy(), p.to_numpy(), b.to_numpy())):
-        rng = np.random.default_rng([seed, int(draw), int(round(prob * 1e6)), int(size)])
-        spot = prob * (size - 1)
-        k = int(np.floor(spot)) + 1
-        u = rng.beta(k, size - k + 1)
-        above = u + (1 - u) * rng.beta(1, size - k) if k < size else u
-        out[i] = (min(np.floor(u * size), size - 1), min(np.floor(above * size), size - 1), spot - np.floor(spot))
-    return pd.DataFrame({"lo": out[:, 0].astype("int64"), "hi": out[:, 1].astype("int64"), "fraction": out[:, 2]})
+    spot = p * (n - 1)
+    k = F.floor(spot) + 1
+    uniform = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", *[x.cast("string") for x in (b, F.round(p * 1000000).cast("bigint"), n, F.lit(seed), F.lit(i))])), 1, 8), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(2**32))
+    radius, angle = F.sqrt(-2 * F.ln(uniform(1))), F.lit(2 * math.pi) * uniform(2)
+    below, above = _gamma(k.cast("double"), radius * F.cos(angle)), _gamma((n - k).cast("double"), radius * F.sin(angle))
+    step = F.when(k < n, -F.ln(uniform(3))).otherwise(F.lit(0.0))
+    # the largest of n uniforms has one gap above it
+    total = below + step + F.when(k < n, above).otherwise(-F.ln(uniform(3)))
+    at = lambda x: F.least(F.floor(x / total * n), n - 1).cast("bigint")
+    return at(below), at(below + step), spot - F.floor(spot)
 
 
 def bootstrap_by_order_statistics(
@@ -168,22 +183,33 @@ def bootstrap_by_order_statistics(
     two order statistics of a resample are drawn directly and looked up. Same law as explicit resampling,
     and the work on the data is one rank pass: billions of values cost no more draws than thousands.
     """
+    return bootstrap_of_counts(value_counts(df, value, by), value, by, percentiles, resamples, level, seed)
+
+
+def bootstrap_of_counts(
+    counts: DataFrame,
+    value: str = "value",
+    by: Sequence[str] = (),
+    percentiles: dict[str, float] | None = None,
+    resamples: int = RESAMPLES,
+    level: float = CI_LEVEL,
+    seed: int = 0,
+) -> DataFrame:
+    """The interval from distinct values and how often each occurs (`n`)."""
     percentiles = percentiles or {"p50": 0.5, "p85": 0.85}
     by = list(by)
-    running = cut_lineage(running_counts(value_counts(df, value, by), value, by), "ranks")  # read three times
+    running = cut_lineage(running_counts(counts, value, by), "ranks")  # read three times
     sizes = running.groupBy(*by).agg(F.max("total_n").alias("_n")).filter(F.col("_n") > 0)
     names = F.map_from_arrays(F.array(*[F.lit(k) for k in percentiles]),
                               F.array(*[F.lit(float(p)) for p in percentiles.values()]))
     plan = sizes.select(*by, "_n", F.explode(names).alias("statistic", "_p")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")
     )
-    positions_udf = F.pandas_udf(
-        lambda n, p, b: _order_statistic_positions(n, p, b, seed), "lo bigint, hi bigint, fraction double"
-    )
-    drawn = plan.withColumn("_at", positions_udf("_n", "_p", "_b"))
+    lo, hi, fraction = _order_statistic_positions(F.col("_n"), F.col("_p"), F.col("_b"), seed)
+    drawn = plan.select(*by, "statistic", "_b", lo.alias("_lo"), hi.alias("_hi"), fraction.alias("fraction"))
     sides = drawn.select(
-        *by, "statistic", "_b", "_at.fraction",
-        F.explode(F.map_from_arrays(F.array(F.lit("lo"), F.lit("hi")), F.array("_at.lo", "_at.hi"))).alias("_side", "position"),
+        *by, "statistic", "_b", "fraction",
+        F.explode(F.map_from_arrays(F.array(F.lit("lo"), F.lit("hi")), F.array("_lo", "_hi"))).alias("_side", "position"),
     )
     found = values_at_positions(running, sides, "position", value, by)
     stats = found.groupBy(*by, "statistic", "_b").agg(
@@ -215,15 +241,9 @@ def bootstrap_ci(
     resamples: int = RESAMPLES,
     level: float = CI_LEVEL,
     seed: int = 0,
-    resample_up_to: int = 2000,
 ) -> DataFrame:
-    """Bootstrap interval per group: explicit resampling for small groups, order statistics beyond."""
-    sizes = df.groupBy(*by).agg(F.count(value).alias("_size"))
-    sized = null_safe_join(df, sizes, list(by))
-    small = sized.filter(F.col("_size") <= resample_up_to)
-    large = sized.filter(F.col("_size") > resample_up_to)
-    args = (value, by, percentiles, resamples, level, seed)
-    return bootstrap_by_resampling(small, *args).unionByName(bootstrap_by_order_statistics(large, *args))
+    """Bootstrap interval per group, by the law of order statistics whatever the size of the group."""
+    return bootstrap_by_order_statistics(df, value, by, percentiles, resamples, level, seed)
 
 
 # ---------------------------------------------------------------------------

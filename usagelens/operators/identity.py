@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def repo_keys(repos: DataFrame, entry: str = "entry", remote: str = "remote", roots: str = "root_commits",
               root_key: str = "root_key", path: str = "path") -> DataFrame:
@@ -24,8 +22,7 @@ def repo_keys(repos: DataFrame, entry: str = "entry", remote: str = "remote", ro
     return repos.select(entry, F.explode(keys).alias("key"))
 
 
-def shared_key_components(keyed: DataFrame, entry: str = "entry", key: str = "key",
-                          max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def shared_key_components(keyed: DataFrame, entry: str = "entry", key: str = "key") -> DataFrame:
     """`(entry, component)`: entries sharing a key, directly or through others, get the lowest entry as label.
 
     Every key becomes a star around its lowest entry, so a key held by a third of all entries adds one edge
@@ -39,7 +36,7 @@ def shared_key_components(keyed: DataFrame, entry: str = "entry", key: str = "ke
     edges = cut_lineage(star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     parents = cut_lineage(pairs.select("v").distinct().withColumn("f", F.col("v")), "labels")
 
-    for _ in range(max_rounds):
+    while True:
         grand = parents.join(
             parents.select(F.col("v").alias("f"), F.col("f").alias("gf")), "f"
         ).select("v", "f", "gf")
@@ -59,6 +56,4 @@ def shared_key_components(keyed: DataFrame, entry: str = "entry", key: str = "ke
         parents = updated
         if done:
             break
-    else:
-        raise RuntimeError(f"labels still changed after {max_rounds} rounds")
     return parents.select(F.col("v").alias(entry), F.col("f").alias("component"))

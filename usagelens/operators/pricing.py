@@ -80,14 +80,16 @@ def bundle_cost(exact: Column, tokens: TokenColumns = TOKENS, card: RateCard = R
     )
 
 
-def ttl_mode(model_totals: DataFrame, tokens: TokenColumns = TOKENS) -> DataFrame:
-    """One row `ttl_mode`: 'exact' when every row of every side has the split and there is a row.
+def ttl_mode(model_totals: DataFrame, tokens: TokenColumns = TOKENS, side: str | None = None,
+             sides: Sequence[str] = ()) -> DataFrame:
+    """One row `ttl_mode`: 'exact' when every row has the split and there is a row (with `sides`: one of each).
 
     Pricing one side exactly and the other flat would report a change in metering as a change in cost.
     """
-    return model_totals.agg(
-        F.when(F.coalesce(F.bool_and(has_ttl_split(tokens)), F.lit(False)), "exact").otherwise("flat").alias("ttl_mode")
-    )
+    exact = F.coalesce(F.bool_and(has_ttl_split(tokens)), F.lit(False))
+    for name in sides:
+        exact = exact & F.coalesce(F.bool_or(F.col(side) == name), F.lit(False))
+    return model_totals.agg(F.when(exact, "exact").otherwise("flat").alias("ttl_mode"))
 
 
 def price_models(
@@ -97,14 +99,16 @@ def price_models(
     tokens: TokenColumns = TOKENS,
     card: RateCard = RATES,
     exact: bool = True,
+    side: str | None = None,
+    sides: Sequence[str] = (),
 ) -> DataFrame:
     """Cost, cost per request and tokens per request of every row of `model_totals(model, requests, ...)`.
 
-    With `exact` the mode is still negotiated over all rows of `model_totals` (both sides of a comparison
-    when it holds both), through a scalar subquery. The totals are therefore read twice: hand in a stored
+    With `exact` the mode is still negotiated over all rows of `model_totals` (each of `sides` must have some,
+    when they are named), through a scalar subquery. The totals are therefore read twice: hand in a stored
     table (`session.cut_lineage`) when there are raw rows behind them.
     """
-    mode = ttl_mode(model_totals, tokens).scalar() if exact else F.lit("flat")
+    mode = ttl_mode(model_totals, tokens, side, sides).scalar() if exact else F.lit("flat")
     priced = with_prices(model_totals, prices, model, card).withColumn("ttl_mode", mode)
     return (
         priced.withColumn("cost", bundle_cost(F.col("ttl_mode") == "exact", tokens, card))

@@ -1,10 +1,10 @@
 """Global order statistics without a global sort.
 
 Values are first folded to `(value, count)`; each value belongs to an order-preserving bucket (about one
-per cent wide), so the running count inside a bucket is a partitioned window, and the counts of the
-buckets themselves - at most a few thousand rows, bounded by the exponent range of a double - give the
-offsets. Percentiles, rank tests and bootstrap look-ups all read from this one shape, and no task ever
-holds a whole group.
+per cent wide). A bucket with more than BUCKET_ROWS distinct values is cut again between its own smallest and
+largest value, so values that lie close together far from zero do not share a bucket. The running count inside a
+bucket is a partitioned window; the counts of the buckets give the offsets. Percentiles, rank tests
+and bootstrap look-ups all read from this one shape. Infinite values have end buckets of their own.
 """
 
 from __future__ import annotations
@@ -18,12 +18,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BUCKETS_PER_OCTAVE = 64
+#: Distinct values of a bucket beyond which it is cut again, and the most parts of one.
+BUCKET_ROWS, MAX_PARTS = 2_000, 1 << 20
+_END_BUCKET = 1 << 30
 
 
 def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     """A bucket number that never decreases as `value` grows."""
     magnitude = lambda v: F.floor((F.log2(v) + 1075) * per_octave).cast("bigint") + 1
-    return F.when(value > 0, magnitude(value)).when(value < 0, -magnitude(-value)).otherwise(F.lit(0))
+    end, infinity = F.lit(_END_BUCKET).cast("bigint"), F.lit(float("inf"))
+    return (
+        F.when(value == infinity, end).when(value == -infinity, -end)
+        .when(value > 0, magnitude(value)).when(value < 0, -magnitude(-value)).otherwise(F.lit(0).cast("bigint"))
+    )
+
+
+def _part(value: Column) -> Column:
+    """Part of a value in its bucket, by the bucket's own range (`_rows`, `_least`, `_most`)."""
+    parts = F.least(F.ceil(F.col("_rows") / BUCKET_ROWS), F.lit(MAX_PARTS))
+    share = (value - F.col("_least")) / (F.col("_most") - F.col("_least"))
+    finer = F.least(F.floor(share * parts), parts - 1)
+    return F.when((F.col("_rows") > BUCKET_ROWS) & (F.col("_most") > F.col("_least")), finer).otherwise(F.lit(0)).cast("bigint")
 
 
 def value_counts(df: DataFrame, value: str = "value", by: Sequence[str] = (), **measures: Column) -> DataFrame:
@@ -41,7 +56,10 @@ def running_counts(
 ) -> DataFrame:
     """Add `below_<m>` (count of strictly smaller values) and `total_<m>` for each measure, and `group_sum`."""
     by = list(by)
-    bucketed = counts.withColumn("_bucket", order_bucket(F.col(value)))
+    coarse = counts.withColumn("_coarse", order_bucket(F.col(value)))
+    ranges = coarse.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_least"), F.max(value).alias("_most"))
+    bucketed = null_safe_join(coarse, ranges, [*by, "_coarse"]).withColumn("_bucket", F.col("_coarse") * F.lit(MAX_PARTS) + _part(F.col(value)))
+    bucketed = bucketed.drop("_coarse", "_rows", "_least", "_most")
     per_bucket = bucketed.groupBy(*by, "_bucket").agg(
         *[F.sum(m).alias(f"_in_{m}") for m in measures],
         F.sum(F.col(value) * F.col(measures[0])).alias("_value_sum"),
@@ -101,15 +119,6 @@ def percentile_aggregates(
     return aggregates, results
 
 
-def exact_percentiles(
-    df: DataFrame, percentiles: dict[str, float], value: str = "value", by: Sequence[str] = ()
-) -> DataFrame:
-    """Exact interpolated percentiles per group, one column per entry of `percentiles`."""
-    running = running_counts(value_counts(df, value, by), value, by)
-    aggregates, results = percentile_aggregates(percentiles, value)
-    return running.groupBy(*by).agg(*aggregates).select(*by, *results)
-
-
 def values_at_positions(
     running: DataFrame,
     positions: DataFrame,

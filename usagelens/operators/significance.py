@@ -18,11 +18,14 @@ BASELINE, COMPARE = "baseline", "compare"
 
 def _running_sides(df: DataFrame, value: str, side: str, sides: tuple[str, str], by: Sequence[str]) -> DataFrame:
     """Distinct values with the counts of both sides (`n_1`, `n_2`, `n`) and the counts below."""
-    used = df.filter(F.col(side).isin(*sides))
-    counts = value_counts(
-        used, value, by, n_1=F.count_if(F.col(side) == sides[0]), n_2=F.count_if(F.col(side) == sides[1])
-    ).withColumn("n", F.col("n_1") + F.col("n_2"))
-    return running_counts(counts, value, by, ("n", "n_1", "n_2"))
+    return _running_counts_of_sides(value_counts(df, value, [*by, side]), value, side, sides, by)
+
+
+def _running_counts_of_sides(counts: DataFrame, value: str, side: str, sides: tuple[str, str], by: Sequence[str]) -> DataFrame:
+    """The same from values that are counted already: `(by..., side, value, n)`."""
+    of = lambda name: F.coalesce(F.sum(F.when(F.col(side) == name, F.col("n"))), F.lit(0))
+    used = counts.filter(F.col(side).isin(*sides)).groupBy(*by, value).agg(of(sides[0]).alias("n_1"), of(sides[1]).alias("n_2"))
+    return running_counts(used.withColumn("n", F.col("n_1") + F.col("n_2")), value, by, ("n", "n_1", "n_2"))
 
 
 def _rank_sums(value: str) -> list[Column]:
@@ -106,7 +109,18 @@ def compare_distributions(
 
     Verdict: `no-activity`, `directional` (too few values to test), `significant` or `not-significant`.
     """
-    running = _running_sides(df, value, side, (BASELINE, COMPARE), by)
+    return compare_counts(value_counts(df, value, [*by, side]), value, side, by, min_n)
+
+
+def compare_counts(
+    counts: DataFrame,
+    value: str = "value",
+    side: str = "side",
+    by: Sequence[str] = ("metric",),
+    min_n: int = MIN_N,
+) -> DataFrame:
+    """The same comparison from counted values `(by..., side, value, n)`: stored distributions are enough."""
+    running = _running_counts_of_sides(counts, value, side, (BASELINE, COMPARE), by)
     aggregates, results = [], []
     for prefix, measure in (("base", "n_1"), ("comp", "n_2")):
         some, named = percentile_aggregates({f"{prefix}_{p}": q for p, q in PERCENTILES.items()}, value, measure)

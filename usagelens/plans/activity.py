@@ -43,8 +43,9 @@ def activity_tables(
     counted = lines.filter(F.col("series").isNotNull())
 
     hours, days = activity.hour_counts(counted, tz=tz), activity.weekday_counts(counted, tz=tz)
-    spans = activity.series_spans(lines.filter(F.col("ts").isNotNull()).withColumn(
-        "series", F.explode(F.array(F.lit(activity.WORKING), F.lit(activity.PROMPT)))), tz=tz)
+    # both series have the span of all lines: found once, then named twice
+    span = activity.series_spans(lines.filter(F.col("ts").isNotNull()).withColumn("series", F.lit("all")), tz=tz)
+    spans = span.withColumn("series", F.explode(F.array(F.lit(activity.WORKING), F.lit(activity.PROMPT))))
     daily = activity.daily_activity(lines)
     tables: dict[str, DataFrame] = {}
     if prompts is not None:
@@ -81,6 +82,7 @@ def activity_tables(
         "weekdays": week,
         "weekday_split": activity.weekday_split(week),
         "daily": uncovered,
+        "live_daily": daily,
         "coverage": activity.calendar_coverage(activity.active_dates(cached_daily, uncovered)),
         "sessions": sessions,
         "session_summary": activity.session_summary(sessions),
@@ -88,9 +90,11 @@ def activity_tables(
         "cost": pricing.cost_totals(priced),
         "tools": tools.tool_use_counts(calls),
         "tool_counters": tools.tool_use_counters(calls),
-        "corpus": activity.corpus_counters(lines),
+        "corpus": activity.corpus_counters(transcripts.transcript_files(lines)),
         "scan": requests.scan_quality(parsed),
     }
+    if cached_daily is not None:
+        tables["cached_daily"] = cached_daily
     if last_computed is not None and as_of is not None:
         tables["staleness"] = activity.cache_staleness(last_computed, daily, as_of)
     if classified_commits is not None:
@@ -113,12 +117,19 @@ def merge_activity_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         for s in (activity.WORKING, activity.PROMPT)
     ])))
     profile = activity.hour_profile(merging.merge_slots(hours))
-    daily = merging.merge_daily(tables["daily"], ["working_events", "human_prompts", "sessions_started"])
+    # cached and live days are merged apart; a day is covered if either has it
+    live = tables["live_daily"] if "live_daily" in tables else tables["daily"]
+    daily = merging.merge_daily(live, ["working_events", "human_prompts", "sessions_started"])
+    cached = None
+    if "cached_daily" in tables:
+        cached = merging.merge_daily(tables["cached_daily"], ["message_count", "session_count", "tool_call_count"])
     return {
         "hours": profile,
         "hour_summary": activity.hour_summary(profile),
         "daily": daily,
-        "coverage": activity.calendar_coverage(activity.active_dates(live_daily=daily)),
+        "coverage": activity.calendar_coverage(activity.active_dates(cached, daily)),
+        **({"cached_daily": cached} if cached is not None else {}),
+        **({"tool_counters": merging.merge_counters(tables["tool_counters"], [c for c, kind in tables["tool_counters"].dtypes if kind == "bigint" and c != "report_id"])} if "tool_counters" in tables else {}),
         "tools": merging.merge_counters(tables["tools"], ["calls"], ["tool"]),
         "models": merging.merge_keyed_totals(tables["models"], "model"),
     }

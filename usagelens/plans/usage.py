@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import TOKENS, TokenColumns, total_tokens
 from ..operators import comparing, distribution, findings, merging, pricing, requests, significance, tools
+from ..operators.ranks import value_counts
 from ..session import cut_lineage
-
-REPORT_TABLES = ("totals", "models", "agents", "tiers", "distributions", "intervals", "samples",
-                 "compactions", "tool_payload", "attachments")
+from ..sources import reports
 
 
 def usage_tables(
@@ -27,13 +26,15 @@ def usage_tables(
     """The tables of one window of deduplicated requests.
 
     The deduplicated rows and the metric values are written once: every table below reads one of them, and
-    none of them repeats the deduplication shuffle. The attachment table is kept whole; top lists are cut
+    none of them repeats the deduplication shuffle. `counts` holds every distinct value of a distribution with
+    its number: merges and tests of saved reports are exact by it; `samples` is the compact alternative. The attachment table is kept whole; top lists are cut
     when they are shown, so merges stay exact.
     """
     rows = cut_lineage(rows, "requests")
     metrics = cut_lineage(requests.request_metrics(rows, tokens=tokens), "metrics")
     cube, counted = cut_lineage(requests.usage_cube(rows, tokens=tokens), "cube"), F.col("requests")
-    summary = distribution.distribution_summary(metrics, "value", ["metric"])
+    counts = cut_lineage(value_counts(metrics, "value", ["metric"]), "counts")
+    summary = distribution.summarize_counts(counts, "value", ["metric"])
     samples = distribution.hashed_sample(metrics, ["row_key"], sample_size, ["metric"])
     tables = {
         "totals": requests.request_totals(cube, tokens=tokens, requests=counted),
@@ -41,7 +42,8 @@ def usage_tables(
         "agents": requests.totals_by_agent_type(cube, tokens=tokens, requests=counted),
         "tiers": requests.totals_by_tier(cube, tokens=tokens, requests=counted),
         "distributions": summary.withColumn("sampled", F.col("n") > sample_size),
-        "intervals": distribution.bootstrap_ci(metrics, resamples=resamples),
+        "intervals": distribution.bootstrap_of_counts(counts, by=["metric"], resamples=resamples),
+        "counts": counts,
         "samples": samples,
     }
     if tool_payload is not None:
@@ -133,7 +135,8 @@ def compare_totals(
 def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Saved tables of several reports (with `report_id`) merged into one window, or one per `by` group.
 
-    Counters are summed, shares, averages and profiles derived again, distributions merged by weighted sample.
+    Counters are summed, shares, averages and profiles derived again. Distributions are exact where the reports hold
+    their counts, with intervals; without them they are merged by weighted sample.
     """
     by = list(by)
     merged = {
@@ -142,7 +145,15 @@ def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) ->
     }
     if "totals" in tables:
         merged["totals"] = merging.merge_totals(tables["totals"], by)
-    if "distributions" in tables:
+    if "tiers" in tables:
+        merged["tiers"] = merging.merge_keyed_totals(tables["tiers"], "tier", by)
+    if "attachments" in tables:
+        merged["attachments"] = merging.merge_counters(tables["attachments"], ["count", "total_bytes"], [*by, "attachment", "key"])
+    if "counts" in tables:
+        merged["counts"] = cut_lineage(merging.merge_counters(tables["counts"], ["n"], [*by, "metric", "value"]), "merged-counts")
+        merged["distributions"] = distribution.summarize_counts(merged["counts"], "value", [*by, "metric"])
+        merged["intervals"] = distribution.bootstrap_of_counts(merged["counts"], "value", [*by, "metric"])
+    elif "distributions" in tables:
         merged["distributions"] = distribution.merge_summaries(
             tables["distributions"], tables["samples"], ["row_key"], "report_id", [*by, "metric"]
         )
@@ -154,9 +165,59 @@ def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) ->
 
 
 def merge_and_compare(tables: dict[str, DataFrame], prices: DataFrame) -> dict[str, DataFrame]:
-    """Saved reports of both modes (`side` column from their mode) merged per side and compared."""
+    """Saved reports of both modes (`side` column from their mode) merged per side and compared.
+
+    The distributions of both sides are tested where the reports hold their counts.
+    """
     merged = merge_usage_tables({k: v for k, v in tables.items() if k not in ("distributions", "samples")}, ["side"])
-    return compare_totals(merged["models"], merged["agents"], prices, merged["tool_payload"], merged["compactions"])
+    compared = compare_totals(merged["models"], merged["agents"], prices, merged["tool_payload"], merged["compactions"])
+    if "counts" in merged:
+        compared |= _tested(merged["counts"])
+    return compared
+
+
+def _tested(counts: DataFrame, min_n: int = significance.MIN_N) -> dict[str, DataFrame]:
+    distributions = cut_lineage(significance.compare_counts(counts, min_n=min_n), "distributions")
+    return {"distributions": distributions, "significance": findings.significance_class(distributions),
+            "percentile_shift": findings.percentile_shift(distributions)}
+
+
+def compare_with_baseline(
+    spark: SparkSession,
+    root: str,
+    rows: DataFrame,
+    prices: DataFrame,
+    tool_payload: DataFrame,
+    compactions: DataFrame,
+    tokens: TokenColumns = TOKENS,
+    order: Sequence[str] = ("file_path", "line_no"),
+) -> dict[str, DataFrame]:
+    """The window after the latest saved baseline, compared with that baseline's stored tables.
+
+    `rows` are request rows of any time; those after the baseline was made are deduplicated and totalled.
+    `tool_payload` and `compactions` are the window's own totals, without a side. Nothing older than the window is read
+    again: the rank test of the distributions runs on stored counts.
+    """
+    baseline = reports.latest_baseline(spark, root)
+    made = reports.load_table(spark, root, "reports", [baseline]).select(F.col("generated_at").cast("timestamp_ntz")).first()[0]
+    window = rows.filter(F.col("ts") > F.lit(made))
+    window = cut_lineage(requests.keep_largest(window, ["message_id"], total_tokens(tokens), order), "window")
+    cube, counted = cut_lineage(requests.usage_cube(window, tokens=tokens), "cube"), F.col("requests")
+    now = {
+        "models": requests.totals_by_key(cube, "model", "model", tokens=tokens, requests=counted),
+        "agents": requests.totals_by_agent_type(cube, tokens=tokens, requests=counted),
+        "counts": value_counts(requests.request_metrics(window, tokens=tokens), "value", ["metric"]),
+        "tool_payload": tool_payload,
+        "compactions": compactions,
+    }
+
+    def both(name: str) -> DataFrame:
+        stored = reports.load_table(spark, root, name, [baseline]).drop("report_id")
+        sides = (stored.withColumn("side", F.lit(significance.BASELINE)), now[name].withColumn("side", F.lit(significance.COMPARE)))
+        return sides[0].unionByName(sides[1], allowMissingColumns=True)
+
+    compared = compare_totals(both("models"), both("agents"), prices, both("tool_payload"), both("compactions"), tokens)
+    return compared | _tested(both("counts"))
 
 
 def dedup_per_side(rows: DataFrame, order: Sequence[str] = ("file_path", "line_no"), tokens: TokenColumns = TOKENS) -> DataFrame:

@@ -192,6 +192,24 @@ def _(v: Views) -> DataFrame:
     return modes[0].unionByName(modes[1])
 
 
+@register("flt06_ttl_mode_two_sides", """
+  SELECT pair, CASE WHEN count(*) = count(cache_creation_5m_tokens) AND count(*) = count(cache_creation_1h_tokens)
+    AND count(*) FILTER (WHERE side = 'baseline') > 0 AND count(*) FILTER (WHERE side = 'compare') > 0 THEN 'exact' ELSE 'flat' END AS ttl_mode
+  FROM (SELECT 'both full' AS pair, 'baseline' AS side, * FROM v_model_totals_split UNION ALL SELECT 'both full', 'compare', * FROM v_model_totals_split
+    UNION ALL SELECT 'one partial', 'baseline', * FROM v_model_totals_split UNION ALL SELECT 'one partial', 'compare', * FROM v_model_totals
+    UNION ALL SELECT 'one empty', 'baseline', * FROM v_model_totals_split) GROUP BY pair""", ["v_model_totals", "v_model_totals_split"])
+def _(v: Views) -> DataFrame:
+    """Both sides full, one partial, one empty."""
+    full = requests.totals_by_key(requests.keep_largest(v.request_columns(full_split=True), order=DEDUP_ORDER), "model", "model")
+    pairs = (("both full", full, full), ("one partial", full, v.model_totals), ("one empty", full, full.limit(0)))
+    modes = [
+        pricing.ttl_mode(a.withColumn("side", F.lit("baseline")).unionByName(b.withColumn("side", F.lit("compare"))), side="side", sides=("baseline", "compare"))
+        .select(F.lit(name).alias("pair"), "ttl_mode")
+        for name, a, b in pairs
+    ]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
 # -- windows -------------------------------------------------------------------------
 
 

@@ -166,11 +166,12 @@ def _(v: Views) -> DataFrame:
   SELECT 'models' AS report_table, count(*) AS rows FROM (SELECT DISTINCT model FROM v_dedup)
   UNION ALL SELECT 'agents', count(DISTINCT coalesce(agent_type, tier)) FROM v_dedup WHERE tier <> 'main'
   UNION ALL SELECT 'tiers', 3 UNION ALL SELECT 'totals', 1 UNION ALL SELECT 'distributions', 3 UNION ALL SELECT 'intervals', 6
+  UNION ALL SELECT 'counts', count(*) FROM (SELECT DISTINCT metric, value FROM v_metrics)
   UNION ALL SELECT 'samples', sum(least(n, 5000))::BIGINT FROM (SELECT metric, count(*) AS n FROM v_metrics GROUP BY metric)""", ["v_dedup", "v_metrics"])
 def _(v: Views) -> DataFrame:
     """The whole baseline report saved and read back: row count of every table."""
     root = shared_path(v.spark, "reports")
-    tables = usage.usage_tables(v.dedup, resamples=100)
+    tables = usage.usage_tables(v.dedup)
     reports.save_report(tables, root, "baseline-1", "baseline", "2002-01-01T00:00:00Z")
     counted = [reports.load_table(v.spark, root, name).agg(F.lit(name).alias("report_table"), F.count(F.lit(1)).alias("rows")) for name in tables]
     out = counted[0]

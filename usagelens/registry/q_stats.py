@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import distribution, findings, ranks, requests, significance
+from ..operators import distribution, findings, merging, ranks, requests, significance, tools
+from ..plans import usage
+from ..session import shared_path
+from ..sources import reports
 from .core import register
 from .sql_views import two_proportion
-from .views import Views
+from .views import CUT, DEDUP_ORDER, Views
 
 P = "p50, p75, p85, p95".split(", ")
 SUMMARY = """count(*) AS n, coalesce(sum(value), 0)::DOUBLE AS sum, avg(value) AS mean, stddev_samp(value) AS stdev,
@@ -37,25 +40,56 @@ _UNIFORM = "(concat('0x', substr(md5(concat({parts})), 1, 8))::BIGINT / 42949672
 
 
 @register("ag09_bootstrap_ci_active_hours", f"""
-  SELECT statistic, quantile_cont(value, 0.05) AS ci_low, quantile_cont(value, 0.95) AS ci_high, 0.9 AS level, 300 AS resamples FROM (
+  SELECT statistic, quantile_cont(value, 0.05) AS ci_low, quantile_cont(value, 0.95) AS ci_high, 0.9 AS level, 1500 AS resamples FROM (
     SELECT b, 'p50' AS statistic, quantile_cont(value, 0.5) AS value FROM _draws GROUP BY b
     UNION ALL SELECT b, 'p85', quantile_cont(value, 0.85) FROM _draws GROUP BY b) GROUP BY statistic""".replace("_draws", f"""(
       SELECT d.b, s.value FROM (
         SELECT b, floor({_UNIFORM.format(parts="b, ':', j, ':', 0")} * n)::BIGINT AS position
         FROM (SELECT b, j, (SELECT count(*) FROM v_metrics WHERE metric = 'tokens per active hour') AS n
-              FROM range(300) r1(b), range((SELECT count(*) FROM v_metrics WHERE metric = 'tokens per active hour')) r2(j))) d
+              FROM range(1500) r1(b), range((SELECT count(*) FROM v_metrics WHERE metric = 'tokens per active hour')) r2(j))) d
       JOIN (SELECT row_number() OVER (ORDER BY value) - 1 AS position, value FROM v_metrics WHERE metric = 'tokens per active hour') s USING (position))"""),
           ["v_metrics"], doubles=["ci_low", "ci_high", "level"], ints=["resamples"])
 def _(v: Views) -> DataFrame:
-    return distribution.bootstrap_by_resampling(requests.tokens_per_active_hour(v.dedup), resamples=300)
-
-
-@register("ag09_bootstrap_ci_requests")
+    return distribution.bootstrap_by_resampling(requests.tokens_per_active_hour(v.dedup), resamples=1500)
+
+
+_METRIC = "SELECT value FROM v_metrics WHERE metric = 'tokens per request'"
+_GAMMA = "CASE WHEN {a} > 0 THEN {a} * greatest({r}, 0) * greatest({r}, 0) * greatest({r}, 0) ELSE 0 END"
+_ROOT = "(1 - 1 / (9 * {a}::DOUBLE) + {z} / (3 * sqrt({a}::DOUBLE)))"
+_DRAW = "((concat('0x', substr(md5(concat_ws(':', b, round(p * 1000000)::BIGINT, n, 0, {i})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+@register("ag09_bootstrap_ci_requests", f"""
+  SELECT d.statistic, quantile_cont(l.value + d.fraction * (h.value - l.value), 0.05) AS ci_low,
+    quantile_cont(l.value + d.fraction * (h.value - l.value), 0.95) AS ci_high, 0.9 AS level, 1500 AS resamples
+  FROM (SELECT statistic, spot - floor(spot) AS fraction, least(floor(below / total * n), n - 1)::BIGINT AS lo,
+          least(floor((below + step) / total * n), n - 1)::BIGINT AS hi
+        FROM (SELECT *, below + step + CASE WHEN k < n THEN above ELSE -ln(u3) END AS total
+              FROM (SELECT *, {_GAMMA.format(a="k", r=_ROOT.format(a="k", z="sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)"))} AS below,
+                      {_GAMMA.format(a="(n - k)", r=_ROOT.format(a="(n - k)", z="sqrt(-2 * ln(u1)) * sin(2 * pi() * u2)"))} AS above,
+                      CASE WHEN k < n THEN -ln(u3) ELSE 0 END AS step
+                    FROM (SELECT *, p * (n - 1) AS spot, floor(p * (n - 1))::BIGINT + 1 AS k, {", ".join(f"{_DRAW.format(i=i)} AS u{i}" for i in (1, 2, 3))}
+                          FROM (SELECT count(*) AS n FROM ({_METRIC})), (VALUES ('p50', 0.5::DOUBLE), ('p85', 0.85::DOUBLE)) t(statistic, p), range(1500) r(b))))) d
+  JOIN (SELECT row_number() OVER (ORDER BY value) - 1 AS position, value FROM ({_METRIC})) l ON l.position = d.lo
+  JOIN (SELECT row_number() OVER (ORDER BY value) - 1 AS position, value FROM ({_METRIC})) h ON h.position = d.hi
+  GROUP BY d.statistic""", ["v_metrics"], doubles=["ci_low", "ci_high", "level"], ints=["resamples"])
 def _(v: Views) -> DataFrame:
     """All request values by order statistics: 1500 resamples whatever their number."""
     return distribution.bootstrap_by_order_statistics(requests.tokens_per_request(v.dedup))
 
 
+@register("ag08_values_in_a_narrow_range", f"SELECT {SUMMARY} FROM (SELECT floor(o_totalprice) + 1e9::DOUBLE AS value FROM orders)", doubles=SUMMARY_DOUBLES)
+def _(v: Views) -> DataFrame:
+    """Prices far above zero: one coarse bucket, cut again by its own range."""
+    return distribution.distribution_summary(v.table("orders").select((F.floor("o_totalprice") + 1e9).alias("value")))
+
+
+@register("ag08_order_times", f"SELECT {SUMMARY} FROM (SELECT epoch(o_orderdate)::DOUBLE AS value FROM orders)", doubles=SUMMARY_DOUBLES)
+def _(v: Views) -> DataFrame:
+    """Order dates as seconds."""
+    return distribution.distribution_summary(v.table("orders").select(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("value")))
+
+
 @register("ag10_hashed_sample", """
   SELECT metric, row_key, value FROM (
     SELECT *, row_number() OVER (PARTITION BY metric ORDER BY md5(concat(row_key, ':', '0')), row_key) AS rn FROM v_metrics)
@@ -194,3 +228,29 @@ def _(v: Views) -> DataFrame:
           ["v_summary_sided", "v_rank_test"], doubles=["p50_pct_change", "p95_pct_change"])
 def _(v: Views) -> DataFrame:
     return findings.percentile_shift(_comparison(v))
+
+
+@register("snk02_compare_with_stored_baseline", COMPARE_SQL, ["v_summary_sided", "v_rank_test"], doubles=COMPARE_DOUBLES)
+def _(v: Views) -> DataFrame:
+    """A baseline saved at the cut, loaded again, and the window after it tested against its stored counts."""
+    root = shared_path(v.spark, "baseline")
+    older = v.sided.filter(F.col("side") == "baseline")
+    payload, compactions = tools.tool_payload_table(v.paired_turns), tools.compaction_summary(v.compaction_events)
+    reports.save_report({**usage.usage_tables(older), "tool_payload": payload, "compactions": compactions}, root, "baseline-1", "baseline", f"{CUT}T00:00:00Z", sources=["test"])
+    return usage.compare_with_baseline(v.spark, root, v.requests, v.prices, payload, compactions, order=DEDUP_ORDER)["distributions"]
+
+
+@register("mg06_merged_distributions", COMPARE_SQL, ["v_summary_sided", "v_rank_test"], doubles=COMPARE_DOUBLES)
+def _(v: Views) -> DataFrame:
+    """Counts of three machines per window, merged and tested: the same as on all rows."""
+    sided = v.sided_metrics.withColumn("report_id", F.pmod(F.xxhash64("row_key"), F.lit(3)))
+    counts = ranks.value_counts(sided, "value", ["report_id", "side", "metric"])
+    merged = merging.merge_counters(counts, ["n"], ["side", "metric", "value"])
+    return significance.compare_counts(merged)
+
+
+@register("mg05_merged_summaries_by_counts", f"SELECT metric, {SUMMARY} FROM v_metrics GROUP BY metric", ["v_metrics"], doubles=SUMMARY_DOUBLES)
+def _(v: Views) -> DataFrame:
+    """Summaries of three machines merged from their counts: exact."""
+    counts = ranks.value_counts(v.metrics.withColumn("report_id", F.pmod(F.xxhash64("row_key"), F.lit(3))), "value", ["report_id", "metric"])
+    return distribution.summarize_counts(merging.merge_counters(counts, ["n"], ["metric", "value"]), "value", ["metric"])

@@ -42,10 +42,10 @@ def _(v: Views) -> DataFrame:
 
 @register("tk02_top_tools_by_bytes", """
   SELECT tool, total_bytes FROM (SELECT tool, sum(bytes)::BIGINT AS total_bytes FROM v_calls GROUP BY tool)
-  ORDER BY total_bytes DESC, tool LIMIT 3""", ["v_calls"])
+  ORDER BY total_bytes DESC, tool LIMIT 8""", ["v_calls"])
 def _(v: Views) -> DataFrame:
     table = tools.tool_payload_table(v.paired_turns).select("tool", "total_bytes")
-    return table.orderBy(F.col("total_bytes").desc(), "tool").limit(3)
+    return table.orderBy(F.col("total_bytes").desc(), "tool").limit(8)
 
 
 @register("flt05_tracked_tools", """

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import utf8_length
+from ..functions.text import json_variant, utf8_length
+from .transcripts import decoded_path
 
 PREVIEW_CHARS = 200
 RECORD_SEPARATOR, FIELD_SEPARATOR = "\x1e", "\x1f"
+# Milliseconds from 1970 that a time value of the log's own format can hold, either way (fixed value).
+MAX_MILLIS = 8.64e15
 
 
 def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Small files as `(file_path, content)`, one row per file."""
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true")
-        .text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
+        .text(root).select(decoded_path(F.col("_metadata.file_path")).alias("file_path"), F.col("value").alias("content"))
     )
 
 
 def _documents(texts: DataFrame, content: str) -> DataFrame:
     """Parsed JSON objects `v`; texts that do not parse to an object are left out."""
-    parsed = texts.withColumn("v", F.try_parse_json(content))
+    parsed = texts.withColumn("v", json_variant(content))
     return parsed.filter(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
 
 
@@ -104,10 +107,11 @@ def cached_model_usage(cache: DataFrame) -> DataFrame:
 
 def parse_prompt_log(lines: DataFrame, line: str = "line") -> DataFrame:
     """Typed prompts; `ts` is null on malformed lines (no JSON, or no numeric timestamp)."""
-    parsed = lines.select(F.try_parse_json(line).alias("v"))
+    parsed = lines.select(json_variant(line).alias("v"))
     stamp = F.try_variant_get(F.col("v"), "$.timestamp", "variant")
     numeric = F.schema_of_variant(stamp).isin("BIGINT", "DOUBLE") | F.startswith(F.schema_of_variant(stamp), F.lit("DECIMAL"))
-    millis = F.when(numeric, _get("$.timestamp", "double")).cast("bigint")
+    number = F.when(numeric, _get("$.timestamp", "double"))
+    millis = F.when(F.abs(number) <= MAX_MILLIS, number.try_cast("bigint"))  # others are no time: malformed
     return parsed.select(
         F.timestamp_millis(millis).alias("ts"),
         _get("$.display").alias("display"),
@@ -122,6 +126,12 @@ def read_prompt_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_prompt_log(lines, "value")
 
 
+def read_numstat_log(spark: SparkSession, path: str, repo: str) -> tuple[DataFrame, DataFrame]:
+    """Commit and file rows of a stored log. A record is a row from the start, so a log of any size is split."""
+    records = spark.read.option("lineSep", RECORD_SEPARATOR).text(path)
+    return parse_numstat_log(records.select(F.lit(repo).alias("repo"), "value"))
+
+
 def parse_numstat_log(logs: DataFrame, text: str = "value", repo: str = "repo") -> tuple[DataFrame, DataFrame]:
     """Commit and file rows of `log --numstat` output: record separator, then hash, author date and address
     divided by the field separator, then `added<TAB>removed<TAB>path` lines."""

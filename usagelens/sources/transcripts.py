@@ -14,9 +14,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import utf16_length
+from ..functions.text import json_variant, utf16_length
 from ..operators.activity import PROMPT, WORKING
 from ..operators.tools import TRACKED_TOOLS
+from ..session import cut_lineage
 
 # Openings of user-side lines that no person typed.
 SYNTHETIC_PREFIXES = (
@@ -62,6 +63,11 @@ def describe_path(df: DataFrame, path: str = "file_path") -> DataFrame:
     )
 
 
+def decoded_path(path: Column) -> Column:
+    """A file's path as it is named: `_metadata.file_path` comes percent-encoded (a `+` is a `+` there)."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 # Splits of one file start at least this far apart (the file-open cost Spark packs by is 4 MiB).
 _SPLIT_GRAIN = 1 << 20
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
@@ -80,7 +86,7 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
         .option("lineSep", "\n").text(root)
         .select(
-            F.col("_metadata.file_path").alias("file_path"),
+            decoded_path(F.col("_metadata.file_path")).alias("file_path"),
             F.col("_metadata.file_size").alias("_size"),
             (F.shiftleft(split_no.cast("bigint"), _ROW_BITS) + row_in_split).alias("line_no"),
             F.col("value").alias("line"),
@@ -93,13 +99,17 @@ def drop_open_tails(lines: DataFrame, file: str = "file_path", order: str = "lin
                     size: str = "_size") -> DataFrame:
     """Leave out the last line of files that do not end in a newline.
 
-    Such a file holds one byte less than its lines with a newline each. Joined back on file and position, so
-    a file with a large part of all lines is spread like any other.
+    Such a file holds one byte less than its lines with a newline each. The sizes are summed first, without the
+    text, and written: what is joined back is one row per open file, of a size the optimizer sees, so the text
+    of closed files does not move. The last line is told by its place among all bytes of its file.
     """
-    open_files = lines.groupBy(file).agg(
-        F.sum(F.octet_length(line) + 1).alias("_bytes"), F.max(size).alias("_file_bytes"), F.max(order).alias(order)
+    sizes = lines.select(file, order, size, F.octet_length(line).alias("_n"))
+    open_files = sizes.groupBy(file).agg(
+        F.sum(F.col("_n") + 1).alias("_bytes"), F.max(size).alias("_file_bytes"), F.max(order).alias("_last")
     ).filter(F.col("_bytes") > F.col("_file_bytes"))
-    return lines.join(open_files.select(file, order), [file, order], "left_anti").drop(size)
+    open_files = cut_lineage(open_files.select(F.col(file).alias("_open"), "_last"), "open-files")
+    tail = (F.col(file) == F.col("_open")) & (F.col(order) == F.col("_last"))
+    return lines.join(open_files, tail, "left_anti").drop(size)
 
 
 def split_lines(texts: DataFrame, content: str = "content") -> DataFrame:
@@ -152,7 +162,7 @@ def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Replace the text by its typed fields `h`, and add `ts`, `line_type` and `kind`: corrupt, other,
     synthetic or record. Text that is not a JSON object counts as corrupt (`h` is null)."""
-    parsed = _computed_once(lines, "h", F.try_variant_get(F.try_parse_json(line), "$", LINE_TYPE)).drop(line)
+    parsed = _computed_once(lines, "h", F.try_variant_get(json_variant(line), "$", LINE_TYPE)).drop(line)
     kind = (
         F.when(F.col("h").isNull(), "corrupt")
         .when(~F.coalesce(F.col("h.type") == "assistant", F.lit(False)) | F.col("h.message.usage").isNull(), "other")
@@ -174,7 +184,9 @@ def request_rows(parsed: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     records = parsed.filter(F.col("kind") == "record")
     if meta is not None:
         side = meta.select("meta_path", F.col("agent_type").alias("_agent_type"), F.col("model").alias("_model"))
-        records = records.join(side, "meta_path", "left")
+        # the main tier has no side file: its rows all have a null key and stay where they are
+        agents = records.filter(F.col("meta_path").isNotNull()).join(side, "meta_path", "left")
+        records = records.filter(F.col("meta_path").isNull()).unionByName(agents, allowMissingColumns=True)
     else:
         none = F.lit(None).cast("string")
         records = records.withColumns({"_agent_type": none, "_model": none})

@@ -15,19 +15,22 @@ from pyspark.sql.window import Window
 
 from ..functions.tokens import TOKENS, TokenColumns, total_tokens
 from ..operators.requests import keep_largest
-from ..sources.transcripts import describe_path
+from ..sources.transcripts import decoded_path, describe_path
 
 
 def stream_lines(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """New transcript chunks below `root` as lines with path columns.
 
     The file source reads a file once: producers land closed, immutable chunks, and a chunk that is still
-    being written must carry another name until it is complete.
+    being written must carry another name until it is complete. A stream has no row numbers, so `line_no` is a hash
+    of the line: ties of the largest-wins rule are decided by content, in every run alike.
     """
     reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("lineSep", "\n")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("line"))
+    lines = reader.text(root).select(
+        decoded_path(F.col("_metadata.file_path")).alias("file_path"), F.xxhash64("value").alias("line_no"), F.col("value").alias("line")
+    )
     return describe_path(lines.filter(F.col("line") != ""))
 
 
@@ -89,13 +92,20 @@ def compact_log(log: DataFrame, target: str, key: str = "message_id", order: Seq
 
 
 def running_largest(stream: DataFrame, key: str = "message_id", order: Sequence[str] = ("file_path", "line_no"),
-                    tokens: TokenColumns = TOKENS) -> DataFrame:
+                    tokens: TokenColumns = TOKENS, ts: str | None = None, keep_for: str = "2 days") -> DataFrame:
     """Low-latency form: state per id, updates out (use output mode `update`).
 
+    With `ts` the state of an id goes once its day is `keep_for` behind the newest time seen, so state is bounded by
+    the ids of that span; snapshots that come later are left out of the updates (the append-only log keeps them), and
+    Spark counts them in the query's progress as rows dropped by watermark.
+
     The smallest struct starting with the negated size is the largest snapshot with the first position.
     """
     rest = [c for c in stream.columns if c not in (key, *order)]
     best = F.min(F.struct((-total_tokens(tokens)).alias("_size"), *order, *rest)).alias("_best")
+    if ts is not None:
+        dated = stream.withWatermark(ts, keep_for)
+        return dated.groupBy(key, F.window(ts, "1 day")).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in (*order, *rest)])
     return stream.groupBy(key).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in (*order, *rest)])
 
 
