@@ -32,8 +32,8 @@ from .common import utf8, width
 
 GRAM, LENGTH, SEED = 24, 50, 42
 #: Longest stretch in bytes: suffixes are compared whole.
-STRETCH, WORDS = 80, 10
-TEXT_AT_ONCE, STRETCHES_AT_ONCE, RANGE_BYTES = 32 << 20, 1 << 16, 64 << 20
+STRETCH, WORDS, ROW = 80, 10, 112
+TEXT_AT_ONCE, STRETCHES_AT_ONCE, RANGE_BYTES = 32 << 20, 1 << 15, 64 << 20
 BORDER = 256
 
 
@@ -175,21 +175,30 @@ def stretches(joined: DataFrame, ranges: int, length: int) -> DataFrame:
 
 
 def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of `length` bytes or more in lexicographic order: text, offset, common prefix with the one before, byte on the left."""
+    """Suffixes in lexicographic order: text, offset, common prefix with the one before, byte on the left.
+
+    Of all suffixes of `length` bytes or more, those whose first `length` bytes start elsewhere too.
+    """
     lens = np.array([len(t) for t in texts])
     n = lens - length + 1
     of = np.repeat(np.arange(len(texts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    flat = np.frombuffer(b"".join(t.ljust(STRETCH, b"\0") for t in texts) + bytes(STRETCH), np.uint8)
-    base = of * STRETCH + at
-    # a suffix as big-endian words; bytes behind its end count as zero, and its length decides between equals
+    # texts stand in rows of ROW bytes, filled up with zeros; eight bytes from each place on as one big-endian word
+    flat = np.frombuffer(b"".join(t.ljust(ROW, b"\0") for t in texts) + bytes(8), np.uint8)
+    eight = flat.astype(np.uint64)
+    for k in (1, 2, 4):
+        eight = (eight[:-k] << np.uint64(8 * k)) | eight[k:]
+    base = of * ROW + at
+    # a suffix without an equal first `length` bytes anywhere is in no interval: only the others are sorted
+    key = np.zeros(len(of), np.uint64)
+    for place in [*range(0, length - 8, 8), length - 8]:
+        key = mixed(key ^ eight[base + place])
+    order = np.argsort(key, kind="stable")
+    same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
+    kept = np.sort(order[same[1:] | same[:-1]])
+    of, at, base = of[kept], at[kept], base[kept]
     left = lens[of] - at
-    words = np.empty((WORDS, len(of)), np.uint64)
-    for w in range(WORDS):
-        v = np.zeros(len(of), np.uint64)
-        for j in range(8):
-            v = (v << np.uint64(8)) | np.where(8 * w + j < left, flat[base + 8 * w + j], 0).astype(np.uint64)
-        words[w] = v
+    words = np.stack([eight[base + 8 * w] for w in range(WORDS)]) if len(of) else np.zeros((WORDS, 0), np.uint64)
     order = np.lexsort((left, *words[::-1]))
     words, left, of, at, base = words[:, order], left[order], of[order], at[order], base[order]
     lcp = np.zeros(len(of), np.int64)
@@ -199,11 +208,13 @@ def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
         for w in range(WORDS):
             x = words[w, 1:] ^ words[w, :-1]
             same = x == 0
-            # leading zero bytes of the first word that differs
-            bits = np.frexp((x >> np.uint64(11)).astype(np.float64))[1] + 11
-            high = np.where(x >> np.uint64(11) == 0, np.frexp(x.astype(np.float64))[1], bits)
-            common += np.where(equal, np.where(same, 8, (64 - high) // 8), 0)
+            # leading zero bytes of the first word that differs: bits below the highest one are set, then counted
+            for k in (1, 2, 4, 8, 16, 32):
+                x |= x >> np.uint64(k)
+            common += np.where(equal, (64 - np.bitwise_count(x).astype(np.int64)) // 8, 0)
             equal &= same
+            if not equal.any():
+                break
         lcp[1:] = np.minimum(common, np.minimum(left[1:], left[:-1]))
     before = np.where(at > 0, flat[base - 1].astype(np.int64), BORDER)
     return of, at, lcp, before
