@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .numeric import ColumnOrName, col
 
 BUSINESS_START, BUSINESS_END = 9, 17  # end exclusive
 LATE_START, LATE_END = 22, 6  # wraps midnight, end exclusive
+# Names of the zone without offset (fixed values), in upper case.
+UTC_NAMES = ("UTC", "UCT", "GMT", "GMT0", "Z", "ZULU", "UNIVERSAL", "GREENWICH", "ETC/UTC", "ETC/UCT", "ETC/GMT", "ETC/GMT0", "ETC/ZULU", "ETC/UNIVERSAL", "ETC/GREENWICH", "+00:00", "UTC+00:00", "GMT+00:00")
+
+
+def utc_wall(ts: ColumnOrName) -> Column:
+    """UTC wall-clock time, as TIMESTAMP_NTZ. A session in another zone would shift instants, so it is refused."""
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in UTC_NAMES:
+        raise ValueError(f"set spark.sql.session.timeZone to UTC (it is {zone}): calendar keys would be of another zone")
+    return col(ts).cast("timestamp_ntz")
 
 
 def local_timestamp(ts: ColumnOrName, tz: str) -> Column:
     """Wall-clock time in `tz` of a UTC wall-clock TIMESTAMP_NTZ (daylight saving applied per row)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), col(ts).cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall(ts))
 
 
 def local_hour(ts: ColumnOrName, tz: str = "UTC") -> Column:
@@ -26,11 +36,11 @@ def local_weekday(ts: ColumnOrName, tz: str = "UTC") -> Column:
 
 
 def utc_date(ts: ColumnOrName) -> Column:
-    return F.to_date(col(ts))
+    return F.to_date(utc_wall(ts))
 
 
 def utc_month(ts: ColumnOrName) -> Column:
-    return F.date_format(col(ts), "yyyy-MM")
+    return F.date_format(utc_wall(ts), "yyyy-MM")
 
 
 def inclusive_days(first: ColumnOrName, last: ColumnOrName) -> Column:

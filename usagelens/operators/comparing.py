@@ -213,7 +213,7 @@ def tool_failure_comparison(tools: DataFrame, tool: str = "tool", side: str = "s
     """
     both = sided(tools, ["calls", "errors", "total_bytes"], [tool], side)
     both = both.filter(F.col("base_calls").isNotNull() & F.col("comp_calls").isNotNull())
-    return _with_test(both.select(tool, "base_errors", "base_calls", "comp_errors", "comp_calls"), min_count)
+    return with_test(both.select(tool, "base_errors", "base_calls", "comp_errors", "comp_calls"), min_count)
 
 
 def overall_failure_rate(tools: DataFrame, side: str = "side", min_count: int = 30) -> DataFrame:
@@ -223,10 +223,10 @@ def overall_failure_rate(tools: DataFrame, side: str = "side", min_count: int =
         pick("baseline", "errors").alias("base_errors"), pick("baseline", "calls").alias("base_calls"),
         pick("compare", "errors").alias("comp_errors"), pick("compare", "calls").alias("comp_calls"),
     )
-    return _with_test(sums, min_count)
+    return with_test(sums, min_count)
 
 
-def _with_test(df: DataFrame, min_count: int) -> DataFrame:
+def with_test(df: DataFrame, min_count: int) -> DataFrame:
     test = two_proportion_test("base_errors", "base_calls", "comp_errors", "comp_calls", min_count)
     regressed = F.coalesce(test["significant"] & (test["direction"] == "up"), F.lit(False))
     return df.select("*", *[c.alias(name) for name, c in test.items()], regressed.alias("regressed"))

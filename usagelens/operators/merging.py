@@ -12,6 +12,7 @@ from ..functions.numeric import pct, ratio
 from ..functions.tokens import TOKENS, TokenColumns, token_share
 from .commits import derive_commit_figures
 from .identity import shared_key_components
+from .ranks import null_safe_join
 from .requests import TIERS, request_totals, totals_by_key, totals_by_tier
 from .tools import top_by_bytes, with_compaction_averages
 
@@ -209,5 +210,8 @@ def merge_commit_daily_by_repo(rows: DataFrame, component: str = "component", da
 
 
 def share_of_total(rows: DataFrame, part: str, alias: str, by: Sequence[str] = ()) -> DataFrame:
-    """A share-of-own-total column; the partition is the slots or tiers of one series."""
-    return rows.withColumn(alias, pct(part, F.sum(part).over(Window.partitionBy(*by))))
+    """A share-of-own-total column. Totals are summed first and come back by scalar subquery or join: any size of `rows`."""
+    if not by:
+        return rows.withColumn(alias, pct(part, rows.agg(F.sum(part)).scalar()))
+    totals = rows.groupBy(*by).agg(F.sum(part).alias("_total"))
+    return null_safe_join(rows, totals, list(by)).withColumn(alias, pct(part, F.col("_total"))).drop("_total")

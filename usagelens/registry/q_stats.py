@@ -150,7 +150,7 @@ def _(v: Views) -> DataFrame:
       count(*) FILTER (WHERE side = 'compare' AND cache_creation_tokens = 0) AS comp_errors, count(*) FILTER (WHERE side = 'compare') AS comp_calls
     FROM v_sided GROUP BY model)"""), ["v_sided"], doubles=["rate_1", "rate_2", "z", "p_value", "ci_low", "ci_high"])
 def _(v: Views) -> DataFrame:
-    from ..operators.comparing import _with_test
+    from ..operators.comparing import with_test
 
     of = lambda side, c: F.count_if((F.col("side") == side) & c)
     failed = F.col("cache_creation_tokens") == 0
@@ -158,7 +158,7 @@ def _(v: Views) -> DataFrame:
         of("baseline", failed).alias("base_errors"), of("baseline", F.lit(True)).alias("base_calls"),
         of("compare", failed).alias("comp_errors"), of("compare", F.lit(True)).alias("comp_calls"),
     )
-    return _with_test(counts, 30)
+    return with_test(counts, 30)
 
 
 @register("ag16_wilson_interval", """
