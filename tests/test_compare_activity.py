@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import date
 
 import pytest
 from conftest import rows
@@ -111,7 +112,8 @@ def test_weekday_occurrences(spark):
     got = {}
     for r in rows(activity.weekday_occurrences(df)):
         got.setdefault(r["series"], {})[r["slot"]] = r["occurrences"]
-    assert set(got) == {"one", "week", "more"}
+    assert set(got) == {"one", "week", "more", "long"}
+    assert sum(got["long"].values()) == (date(2024, 3, 1) - date(1900, 1, 1)).days + 1 and max(got["long"].values()) - min(got["long"].values()) <= 1
     assert got["one"] == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0}
     assert set(got["week"].values()) == {1}
     days = [r["d"] for r in spark.sql("SELECT dayofweek(x) - 1 AS d FROM (SELECT explode(sequence(DATE'2024-02-28', DATE'2024-03-15')) AS x)").collect()]
@@ -231,7 +233,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     from usagelens.sources import transcripts
 
     def run():
-        stream = jobs.stream_lines(spark, str(tmp_path / "in"), 1).withColumn("line_no", F.lit(0).cast("bigint"))
+        stream = jobs.stream_lines(spark, str(tmp_path / "in"), 1)
         parsed = transcripts.parse_lines(stream).select("file_path", "line_no", "h", "ts", "kind", "tier", "project", "file_session_id", "file_agent_id", "meta_path")
         jobs.run_available(transcripts.request_rows(parsed), jobs.batch_writer(str(tmp_path / "log")), str(tmp_path / "state"))
         return {r["message_id"]: r["input_tokens"] for r in rows(jobs.current_requests(jobs.read_batches(spark, str(tmp_path / "log"))))}
