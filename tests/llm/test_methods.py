@@ -33,10 +33,10 @@ def result(spark, sf, name):
     return entry.queries()[name](spark, sf).collect()
 
 
-@pytest.mark.parametrize("name", ["op2_url_rules", "op5_mixing"])
+@pytest.mark.parametrize("name", ["op2_url_rules", "op3_benchmark_decontamination", "op5_mixing"])
 def test_equal_to_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in cur.description]

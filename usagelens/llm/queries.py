@@ -60,7 +60,27 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op3_benchmark_decontamination")
+LEAK_SQL = r"""
+WITH docs AS (SELECT doc_id, w, len(w) - 4 AS shingles FROM (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE len(w) >= 5),
+items AS (SELECT item_id, w, len(w) - 4 AS n FROM (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) >= 5),
+theirs AS (SELECT item_id, n, s, count(*) AS c FROM (
+  SELECT item_id, n, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(n)) AS i FROM items)) GROUP BY ALL),
+ours AS (SELECT doc_id, shingles, i, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT *, unnest(range(shingles)) AS i FROM docs)),
+starts AS (SELECT DISTINCT o.doc_id, o.shingles, t.item_id, t.n, o.i FROM ours o JOIN theirs t ON o.s = t.s),
+shared AS (
+  SELECT a.doc_id, a.item_id, a.i, a.n, least(a.n, a.shingles - a.i) AS m, sum(least(a.c, t.c)) AS common FROM (
+    SELECT st.doc_id, st.item_id, st.i, st.n, st.shingles, o.s, count(*) AS c FROM starts st
+    JOIN ours o ON o.doc_id = st.doc_id AND o.i >= st.i AND o.i < st.i + st.n GROUP BY ALL) a
+  JOIN theirs t ON t.item_id = a.item_id AND t.s = a.s GROUP BY ALL),
+alike AS (SELECT *, common::DOUBLE / (n + m - common) AS similarity FROM shared)
+SELECT doc_id, item_id, i AS word_start, m + 4 AS n_words, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, i) AS place FROM alike WHERE similarity >= 0.8) WHERE place = 1
+"""
+
+
+@query("op3_benchmark_decontamination", LEAK_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
