@@ -33,7 +33,7 @@ def result(spark, sf, name):
     return entry.queries()[name](spark, sf).collect()
 
 
-@pytest.mark.parametrize("name", ["op2_url_rules", "op3_benchmark_decontamination", "op5_mixing"])
+@pytest.mark.parametrize("name", ["op1_warc_salvage", "op2_url_rules", "op3_benchmark_decontamination", "op5_mixing", "op6_sharding", "op10_repeated_strings"])
 def test_equal_to_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):

@@ -28,7 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_warc_salvage")
+#: Base32 of a SHA-1: its hexadecimal digits as bits, five at a time.
+WARC_SQL = r"""
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least,
+    array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda d: lpad(bin(instr('0123456789abcdef', d) - 1), 4, '0')), '') AS bits
+  FROM pages)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda j: CASE WHEN substr(bits, 5 * i + j + 1, 1) = '1' THEN 16 >> j ELSE 0 END))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM hashed
+"""
+
+
+@query("op1_warc_salvage", WARC_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"))
     found, _ = warc.read(spark, path, payloads=False)
@@ -125,7 +139,38 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op6_sharding")
+def _nibble_table() -> list[int]:
+    """Remainders of the reflected CRC-32 polynomial (a fixed value) for four bits."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    return table
+
+
+#: The published loop of jump hashing, with the multiplier modulo 2**64; a CRC-32 by half bytes. Slots follow the id
+#: (rows of one cell, which holds up to 80,000 rows in 40 shards).
+SHARD_SQL = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT coalesce(doc_id, 0) AS id FROM documents),
+steps AS (
+  SELECT id, shards, id::HUGEINT & 18446744073709551615::HUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM ids, (VALUES (40), (41)) t(shards)
+  UNION ALL
+  SELECT id, shards, next AS k, j AS b, floor((j + 1) * (2147483648.0::DOUBLE / ((next // 8589934592)::DOUBLE + 1.0)))::BIGINT AS j
+  FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) & 18446744073709551615::HUGEINT AS next FROM steps WHERE j < shards)),
+placed AS (SELECT id, max(b) FILTER (WHERE shards = 40) AS shard, max(b) FILTER (WHERE shards = 41) AS grown_shard FROM steps GROUP BY id),
+digits AS (SELECT doc_id, coalesce(text, '') AS text, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+summed AS (
+  SELECT doc_id, CAST(strlen(text) + 16 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(range(2 * strlen(text)), lambda i: (instr('0123456789ABCDEF', h[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) - 1)::BIGINT),
+      lambda c, d: xor(c >> 4, {_nibble_table()}[(xor(c, d) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM digits)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM summed JOIN placed ON placed.id = coalesce(doc_id, 0)
+"""
+
+
+@query("op6_sharding", SHARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.manifest(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -150,7 +195,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op10_repeated_strings")
+REPEAT_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM docs WHERE n >= 50)),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM windows) WHERE least < doc_id),
+numbered AS (SELECT doc_id, p, sum(start) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS start FROM repeated)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, g),
+before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last FROM spans GROUP BY doc_id),
+heads AS (SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM before JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN gone USING (doc_id) LEFT JOIN heads USING (doc_id)
+"""
+
+
+@query("op10_repeated_strings", REPEAT_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
