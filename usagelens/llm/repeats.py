@@ -145,15 +145,24 @@ def shared_names(packs: DataFrame) -> DataFrame:
     return found.groupBy("text_id").agg(F.flatten(F.collect_list("names")).alias("names"))  # at most one per window of a text
 
 
+CUT = "name long, key long, text_id long, start long, end long, stretch binary"
+
+
 def stretches(joined: DataFrame, ranges: int, length: int) -> DataFrame:
-    """(name, stretch, key, text_id, start, left): the stretches of shared names, and the byte before each (or BORDER)."""
+    """CUT: the stretches of shared names.
+
+    Of equal stretches in one batch, those of the smallest key are sent. The others are covered already: they come
+    without their bytes, under a name spread by their key, and pass through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("name", "key", "text_id", "start")}
-            cut: list[bytes] = []
-            names = b.column("names")
-            for i, (key, data) in enumerate(_columns(b, "key", "data")):
+            out: dict[str, list] = {c: [] for c in ("name", "key", "text_id", "start", "end")}
+            cut: list[bytes | None] = []
+            seen: dict[bytes, int] = {}
+            names, keys, texts = b.column("names"), b.column("key").to_pylist(), b.column("data")
+            for i in sorted(range(len(keys)), key=keys.__getitem__):
+                data, key = texts[i].as_py(), keys[i]
                 first, last, name = runs(window_names(data, length))
                 code = ((((name >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))).astype(np.int64)
                 kept = np.isin(code, names[i].values.to_numpy())
@@ -163,15 +172,19 @@ def stretches(joined: DataFrame, ranges: int, length: int) -> DataFrame:
                 k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 start = np.repeat(first, parts) + k * most
                 end = np.minimum(start + most - 1, np.repeat(last, parts)) + length
-                out["name"].append(np.repeat(code, parts))
-                out["key"].append(np.full(len(start), key, np.int64))
-                out["text_id"].append(np.full(len(start), np.uint64(xxhash.xxh64_intdigest(data, SEED)), np.uint64).view(np.int64))
-                out["start"].append(start.astype(np.int64))
-                cut += [data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                own: list[bytes | None] = [data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+                code = np.repeat(code, parts)
+                spread = int(mixed(np.array([key], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                for j, s in enumerate(own):
+                    if seen.setdefault(s, key) < key:
+                        own[j], code[j] = None, spread
+                cut += own
+                for c, v in (("name", code), ("key", np.full(len(start), key)), ("text_id", signed(np.full(len(start), xxhash.xxh64_intdigest(data, SEED), np.uint64))), ("start", start), ("end", end)):
+                    out[c].append(v.astype(np.int64))
             cols = [pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)) for v in out.values()]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary())], names=[*out, "stretch"])
 
-    return joined.select("key", "data", "names").mapInArrow(run, "name long, key long, text_id long, start long, stretch binary")
+    return joined.select("key", "data", "names").mapInArrow(run, CUT)
 
 
 def suffix_array(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -296,10 +309,13 @@ def cover(cut: DataFrame, length: int) -> DataFrame:
 
         for b in batches:
             out: list[tuple[int, int, int, int]] = []
-            for name, stretch, key, text_id, start in _columns(b, "name", "stretch", "key", "text_id", "start"):
+            for name, stretch, key, text_id, start, end in _columns(b, "name", "stretch", "key", "text_id", "start", "end"):
+                if stretch is None:
+                    out.append((key, text_id, start, end))
+                    continue
                 if last == (name, stretch):
                     if key > rows[-1][0]:
-                        out.append((key, text_id, start, start + len(stretch)))
+                        out.append((key, text_id, start, end))
                     else:  # the same key again: covered by what covers the first
                         texts.append(stretch)
                         rows.append((key, text_id, start))
