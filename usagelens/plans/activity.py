@@ -90,7 +90,8 @@ def activity_tables(
         "cost": pricing.cost_totals(priced),
         "tools": tools.tool_use_counts(calls),
         "tool_counters": tools.tool_use_counters(calls),
-        "corpus": activity.corpus_counters(transcripts.transcript_files(lines)),
+        "corpus": activity.corpus_counters(transcripts.transcript_files(lines)).withColumn(
+            "skills_injected", transcripts.injected_skills(transcripts.attachment_rows(parsed)).scalar()),
         "scan": requests.scan_quality(parsed),
     }
     if cached_daily is not None:

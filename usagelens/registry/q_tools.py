@@ -84,6 +84,36 @@ def _(v: Views) -> DataFrame:
     return activity.corpus_counters(transcripts.transcript_files(v.lines))
 
 
+def _attachment_lines(v: Views) -> DataFrame:
+    """Documents as lines that inject: two skills for each third, a memory file for the others."""
+    d, skill = v.table("documents"), lambda name, path: F.struct(F.col(name).alias("name"), F.col(path).alias("path"), F.col("lang").alias("content"))
+    skills = F.struct(F.lit("invoked_skills").alias("type"), F.array(skill("source", "lang"), skill("lang", "source")).alias("skills"))
+    memory = F.struct(F.lit("nested_memory").alias("type"), F.col("source").alias("path"), F.struct(F.lit("x").alias("path"), F.col("lang").alias("content")).alias("content"))
+    line = lambda attachment: F.to_json(F.struct(F.lit("attachment").alias("type"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), attachment.alias("attachment")))
+    lines = d.select(F.concat(F.lit("/logs/projects/p"), F.col("source"), F.lit("-claude-worktrees-w"), F.col("lang"), F.lit("/s.jsonl")).alias("file_path"), F.col("doc_id").alias("line_no"),
+                     F.when(F.col("doc_id") % 3 == 0, line(skills)).otherwise(line(memory)).alias("line"))
+    return transcripts.describe_path(lines)
+
+
+_ATTACHED = """(SELECT 'skill' AS attachment, doc_id, source AS key, lang AS path, length(lang) AS bytes FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'skill', doc_id, lang, source, length(lang) FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 'memory', doc_id, source, source, length(lang) FROM documents WHERE doc_id % 3 <> 0)"""
+
+
+@register("ag39_attachment_rows", f"SELECT attachment, doc_id AS line_no, key, path, bytes FROM {_ATTACHED}")
+def _(v: Views) -> DataFrame:
+    return transcripts.attachment_rows(transcripts.parse_lines(_attachment_lines(v))).select("attachment", "line_no", "key", "path", "bytes")
+
+
+@register("ag35_injected_skills", f"""
+  SELECT count(*) FILTER (WHERE attachment = 'skill') AS skills_injected, (SELECT count(DISTINCT lang) FROM documents) AS worktree_labels FROM {_ATTACHED}""")
+def _(v: Views) -> DataFrame:
+    """Injected skills, beside the working-copy labels of their folders."""
+    lines = _attachment_lines(v)
+    labels = activity.corpus_counters(transcripts.transcript_files(lines)).select("worktree_labels").scalar()
+    return transcripts.injected_skills(transcripts.attachment_rows(transcripts.parse_lines(lines))).withColumn("worktree_labels", labels)
+
+
 @register("ag18_compaction_summary", """
   SELECT count(*) AS compactions, count(*) FILTER (WHERE trigger = 'manual') AS manual, count(*) FILTER (WHERE trigger = 'auto') AS auto,
     count(*) FILTER (WHERE trigger IS NULL) AS other, sum(dropped_tokens)::BIGINT AS dropped_tokens, sum(pre_tokens)::BIGINT AS pre_sum,

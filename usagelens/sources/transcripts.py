@@ -340,6 +340,11 @@ def attachment_rows(parsed: DataFrame) -> DataFrame:
     return skills.unionByName(memory)
 
 
+def injected_skills(attachments: DataFrame) -> DataFrame:
+    """One row: how many skills were injected."""
+    return attachments.agg(F.count_if(F.col("attachment") == "skill").alias("skills_injected"))
+
+
 def compaction_rows(parsed: DataFrame) -> DataFrame:
     meta = "h.compactMetadata"
     events = _signal_lines(parsed).filter((F.col("line_type") == "system") & (F.col("h.subtype") == "compact_boundary"))
