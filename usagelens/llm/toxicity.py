@@ -138,7 +138,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", learn_fro
         model = fit_rows([x[2] for x in got], np.array([x[1] for x in got], dtype=float))
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "intercept": [model.intercept]})
 
-    found = sample(documents, labels, label, learn_from, rows).coalesce(1).mapInArrow(run, "weights binary, intercept double").collect()
+    found = sample(documents, labels, label, learn_from, rows).repartition(1).mapInArrow(run, "weights binary, intercept double").collect()
     if not found:
         return fit_rows([], np.zeros(0))
     return Model(np.frombuffer(bytes(found[0]["weights"]), np.float32), found[0]["intercept"])
