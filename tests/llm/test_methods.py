@@ -368,3 +368,27 @@ def test_no_cross_joins_and_no_python_in_native_queries(spark, sf):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Cartesian|NestedLoop|Python|Pandas|Arrow", plan)
     assert docs.select(F.count("*")).first()[0] == 200
+
+
+def test_archives_are_read_in_splits(spark, tmp_path):
+    """Members that cross the edges of splits, damage and bodies with the opening bytes, all in one file."""
+    rng = random.Random(1)
+    bodies = [("".join(rng.choices("abcdefghij", k=rng.randint(0, 9000))) + ("\x1f" if i % 7 == 0 else "")) for i in range(300)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    marks = []
+
+    def change(data):
+        marks.extend(m.start() for m in re.finditer(re.escape(warc.MAGIC), bytes(data)))
+        data[marks[150] + 30: marks[150] + 34] = warc.MAGIC  # an opening inside a damaged member
+
+    folder, _ = damaged(warc.write(pages), tmp_path / "split", change)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+    try:
+        found, gaps = warc.read(spark, folder)
+        got = {r["page_id"]: bytes(r["payload"]).decode() for r in found.collect()}
+        (gap,) = gaps.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: b for i, b in enumerate(bodies) if i != 150}
+    assert (gap["start"], gap["end"]) == (marks[150], marks[151])
