@@ -106,18 +106,21 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     cut = cut.select("t", "k", "hashes", F.inline("cuts")).select("t", "k", "pos", "n", F.explode(F.slice("hashes", F.col("pos") + 1, F.col("n"))).alias("h"))
     windows = cut.groupBy("t", "k", "pos", "n", "h").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     windows = cut_lineage(windows, "leak-elements")
-    prints = _fingerprints(windows, ["t", "k", "pos", "n"])
+    prints = cut_lineage(_fingerprints(windows, ["t", "k", "pos", "n"]), "leak-prints")
     block = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("v")) for i in range(BLOCKS)]))
     item_prints = cut_lineage(_fingerprints(elements, ["item", "k"]).withColumnRenamed("size", "n"), "leak-item-prints")
     entered = F.array(*[F.struct(F.lit(i).alias("i"), _near_values(F.col(f"b{i}"), EDGES[i + 1] - EDGES[i]).alias("vs")) for i in range(BLOCKS)])
     index = item_prints.select("item", "k", "n", F.explode(entered).alias("x")).select("item", "k", "n", F.col("x.i").alias("i"), F.explode("x.vs").alias("v"))
-    asked = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *[f"b{i}" for i in range(BLOCKS)], block.alias("x"))
-    asked = asked.select("*", F.col("x.i").alias("i"), F.col("x.v").alias("v")).drop("x")
+    # equal fingerprints ask once, however many windows have them
+    bits = [f"b{i}" for i in range(BLOCKS)]
+    asked = prints.select("k", "n", *bits).distinct().select("k", "n", *bits, block.alias("x"))
+    asked = asked.select("k", "n", *bits, F.col("x.i").alias("i"), F.col("x.v").alias("v"))
     # the index is hundreds of times as large as the items it comes from: it is not to be broadcast by their size
     near = asked.join(index.hint("merge"), ["k", "n", "i", "v"]).drop("i", "v").distinct()
     apart = sum((F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(1, BLOCKS)), F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))))
     theirs = item_prints.select("item", "k", *[F.col(f"b{i}").alias(f"c{i}") for i in range(BLOCKS)])
-    found = near.join(theirs, ["item", "k"]).where(apart <= RADIUS).select("t", "k", "pos", "n", "m", "item")
+    near = cut_lineage(near.join(theirs, ["item", "k"]).where(apart <= RADIUS).select("k", "n", *bits, "item"), "leak-near")
+    found = prints.select("t", "k", "pos", "n", F.col("size").alias("m"), *bits).join(near, ["k", "n", *bits]).drop(*bits)
     theirs = elements.select("item", "k", "h", F.col("weight").alias("of_item"))
     shared = found.join(windows, ["t", "k", "pos", "n"]).join(theirs, ["item", "k", "h"]).groupBy("t", "k", "pos", "n", "m", "item").agg(F.sum(F.least("weight", "of_item")).alias("common"))
     alike = F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
