@@ -244,3 +244,33 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert run() == {"a": 4, "b": 5}  # nothing new
     (folder / "s.0003.jsonl").write_text(line("a", 9) + line("b", 2) + line("c", 1))
     assert run() == {"a": 9, "b": 5, "c": 1}
+
+
+def test_merged_dashboard(spark):
+    """Two machines, one with a cache: coverage has gaps, cached days count, weekdays and counters are summed."""
+    from usagelens.plans import activity as plan
+
+    make = lambda rows_, schema: spark.createDataFrame(rows_, schema)
+    day = date
+    models = make([(r, "x", 1, 10, 5, 0, None, None, 1, 16) for r in ("a", "b")],
+                  "report_id string, model string, requests bigint, input_tokens bigint, output_tokens bigint, cache_creation_tokens bigint, cache_creation_5m_tokens bigint, cache_creation_1h_tokens bigint, cache_read_tokens bigint, total_tokens bigint")
+    tables = {
+        "hours": make([("a", 9, 2, 1), ("b", 9, 3, 0)], "report_id string, hour int, working bigint, prompt bigint"),
+        "live_daily": make([("a", day(2024, 1, 10), 4, 1, 1), ("b", day(2024, 1, 10), 2, 1, 1), ("b", day(2024, 1, 12), 1, 0, 1)],
+                           "report_id string, date date, working_events bigint, human_prompts bigint, sessions_started bigint"),
+        "cached_daily": make([("a", day(2024, 1, 1), 5, 1, 2), ("a", day(2024, 1, 2), 5, 1, 2)],
+                             "report_id string, date date, message_count bigint, session_count bigint, tool_call_count bigint"),
+        "weekday_counts": make([("a", "working", 3, 4), ("b", "working", 3, 2)], "report_id string, series string, slot int, n bigint"),
+        "spans": make([("a", "working", day(2024, 1, 3), day(2024, 1, 10)), ("b", "working", day(2024, 1, 8), day(2024, 1, 17))],
+                      "report_id string, series string, first_date date, last_date date"),
+        "tools": make([("a", "Read", 2), ("b", "Read", 5)], "report_id string, tool string, calls bigint"),
+        "corpus": make([("a", 1, 2), ("b", 2, 3)], "report_id string, projects bigint, skills_injected bigint"),
+        "models": models,
+    }
+    merged = plan.merge_activity_tables(tables)
+    cover = rows(merged["coverage"])[0]
+    assert (str(cover["first_date"]), str(cover["last_date"]), cover["calendar_days"], cover["active_days"]) == ("2024-01-01", "2024-01-12", 12, 4)
+    assert cover["longest_streak"] == 2 and cover["longest_gap"] > 0
+    assert rows(merged["tools"]) == [{"tool": "Read", "calls": 7}] and rows(merged["corpus"]) == [{"projects": 3, "skills_injected": 5}]
+    wednesday = next(r for r in rows(merged["weekdays"]) if r["day"] == 3)
+    assert wednesday["working"] == 6 and wednesday["working_days"] == 3  # 3, 10 and 17 January

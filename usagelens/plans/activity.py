@@ -79,6 +79,8 @@ def activity_tables(
     tables |= {
         "hours": hour_profile,
         "hour_summary": activity.hour_summary(hour_profile),
+        "weekday_counts": days,
+        "spans": spans,
         "weekdays": week,
         "weekday_split": activity.weekday_split(week),
         "daily": uncovered,
@@ -124,13 +126,29 @@ def merge_activity_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     cached = None
     if "cached_daily" in tables:
         cached = merging.merge_daily(tables["cached_daily"], ["message_count", "session_count", "tool_call_count"])
-    return {
+    merged = {
         "hours": profile,
         "hour_summary": activity.hour_summary(profile),
         "daily": daily,
         "coverage": activity.calendar_coverage(activity.active_dates(cached, daily)),
-        **({"cached_daily": cached} if cached is not None else {}),
-        **({"tool_counters": merging.merge_counters(tables["tool_counters"], [c for c, kind in tables["tool_counters"].dtypes if kind == "bigint" and c != "report_id"])} if "tool_counters" in tables else {}),
         "tools": merging.merge_counters(tables["tools"], ["calls"], ["tool"]),
         "models": merging.merge_keyed_totals(tables["models"], "model"),
     }
+    if cached is not None:
+        merged["cached_daily"] = cached
+    if "weekday_counts" in tables:
+        week = activity.weekday_profile(merging.merge_slots(tables["weekday_counts"]), merging.merge_spans(tables["spans"]))
+        merged |= {"weekdays": week, "weekday_split": activity.weekday_split(week)}
+    if "prompt_months" in tables:
+        merged["prompt_months"] = merging.merge_months(tables["prompt_months"])
+    if "sessions" in tables:
+        merged["sessions"] = tables["sessions"].drop("report_id")  # a session is of one machine
+        merged["session_summary"] = activity.session_summary(merged["sessions"])
+    for name in ("tool_counters", "corpus", "scan"):
+        if name in tables:
+            counters = [c for c, kind in tables[name].dtypes if kind in ("bigint", "int") and c != "report_id"]
+            merged[name] = merging.merge_counters(tables[name], counters)
+    if "commit_daily" in tables:
+        merged["commit_daily"] = merging.merge_commit_daily(tables["commit_daily"], "report_id")
+        merged["commit_monthly"] = commits.commit_monthly(merged["commit_daily"].drop("report_id"))
+    return merged
