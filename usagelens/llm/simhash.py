@@ -202,7 +202,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, errors: int = 3, text: str =
     """
     grouped = groups(docs, shingle, errors, text, key)
     stay = cut_lineage(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key"), F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_n")), "simhash-stay")
-    kept = docs.join(stay, docs[key].eqNullSafe(F.col("_key")))
+    # the list of those that stay grows with the documents: it is dealt out by key at every size, never broadcast
+    kept = docs.join(stay.hint("merge"), docs[key].eqNullSafe(F.col("_key")))
     repeated = stay.where("_n > 1 or _key is null").limit(1).count() or stay.groupBy("_key").count().where("count > 1").limit(1).count()
     if repeated:  # the key does not name one row: the fingerprint has to agree, and one row of each component stays
         again = docs.withColumn("_fp", fingerprints(text, shingle)).join(
