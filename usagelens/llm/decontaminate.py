@@ -104,7 +104,8 @@ def leaks_by_text(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
         # texts are dealt out whole, copies of one as one, and parted into words where they are needed; the list of texts
         # with windows grows with the documents and is never broadcast
         whole = docs.select(text_key(text).alias("t"), F.col(text).alias("whole")).dropDuplicates(["t"])
-        hashed = whole.join(asked.where(F.col("k") == k).hint("merge"), "t").select("t", "k", "cuts", shingles(words(F.col("whole")), k).alias("hashes"))
+        hashed = whole.join(asked.where(F.col("k") == k).hint("merge"), "t").select("t", "k", "cuts", words(F.col("whole")).alias("w"))
+        hashed = hashed.select("t", "k", "cuts", shingles(F.col("w"), k).alias("hashes"))
         cut = hashed if cut is None else cut.unionByName(hashed)
     cut = cut.select("t", "k", "hashes", F.inline("cuts")).select("t", "k", "pos", "n", F.explode(F.slice("hashes", F.col("pos") + 1, F.col("n"))).alias("h"))
     windows = cut.groupBy("t", "k", "pos", "n", "h").agg(F.count(F.lit(1)).cast("int").alias("weight"))
