@@ -33,21 +33,33 @@ NODE_ROWS, LEAF, CHUNK = 8_192, 16, 1 << 17
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(data: bytes, shingle: int) -> int:
-    """64 bits, as a signed integer."""
+def shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text in order, at most HASHES_AT_ONCE in an array."""
     words = words_of(data)
     if not words:
-        return 0
+        return
     text, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     first, last = starts[: len(words) - k + 1].tolist(), ends[k - 1:].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), HASHES_AT_ONCE):
         part = slice(at, at + HASHES_AT_ONCE)
-        hashes = np.array([digest(text[a:b], SEED) for a, b in zip(first[part], last[part], strict=True)], dtype="<u8")
+        yield np.array([digest(text[a:b], SEED) for a, b in zip(first[part], last[part], strict=True)], dtype="<u8")
+
+
+def majority(parts: list[np.ndarray]) -> int:
+    """The bits set in over half the hashes, as a signed integer; zero without hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(first), bitorder="little").view("<i8")[0])
+        n += len(hashes)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(data: bytes, shingle: int) -> int:
+    """64 bits, as a signed integer."""
+    return majority(list(shingle_hashes(data, shingle)))
 
 
 def fingerprints(text: str | Column, shingle: int) -> Column:
@@ -193,22 +205,3 @@ def groups(docs: DataFrame, shingle: int = 3, errors: int = 2, text: str = "text
     smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("f"), "root", "component_id")
     return rows.join(named, rows["fp"] == named["f"]).select(F.col("key").alias(key), "fp", "root", "component_id")
-
-
-def deduplicate(docs: DataFrame, shingle: int = 5, errors: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents that stay, with their own columns: of each component the row with the smallest key.
-
-    A component without any key, or with its smallest key repeated, keeps one of those rows.
-    """
-    grouped = groups(docs, shingle, errors, text, key)
-    stay = cut_lineage(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key"), F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_n")), "simhash-stay")
-    # the list of those that stay grows with the documents: it is dealt out by key at every size, never broadcast
-    kept = docs.join(stay.hint("merge"), docs[key].eqNullSafe(F.col("_key")))
-    repeated = stay.where("_n > 1 or _key is null").limit(1).count() or stay.groupBy("_key").count().where("count > 1").limit(1).count()
-    if repeated:  # the key does not name one row: the fingerprint has to agree, and one row of each component stays
-        again = docs.withColumn("_fp", fingerprints(text, shingle)).join(
-            grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), F.col("fp").alias("_f"), F.col("root").alias("_root")).distinct(),
-            docs[key].eqNullSafe(F.col("_key")) & (F.col("_fp") == F.col("_f")),
-        )
-        kept = again.dropDuplicates(["_root"])
-    return kept.select(*[docs[c] for c in docs.columns])
