@@ -10,7 +10,10 @@
    is a maximal repeat if the bytes on its left differ. Every interval of `length` bytes or more is one group.
 4. In a group, the bytes of every place under a larger key than the smallest are covered.
 
-All windows of a name meet in one place, so a group has all its occurrences. A stretch ends where its name does, and a
+A name that more than MANY texts have would bring as many different stretches into one task. Its stretches are cut into their
+windows instead, each named by its own hash: equal ones follow each other in order of key, and nothing else meets.
+
+All windows of another name meet in one place, so a group has all its occurrences. A stretch ends where its name does, and a
 repeat that reaches the edge of a stretch counts as diverse there; what is covered is the union over stretches.
 Equal stretches follow each other in order of key: all but the first are covered and need not be kept.
 
@@ -35,6 +38,8 @@ GRAM, LENGTH, SEED = 24, 50, 42
 STRETCH, WORDS, ROW = 80, 10, 112
 TEXT_AT_ONCE, STRETCHES_AT_ONCE, RANGE_BYTES = 32 << 20, 1 << 15, 64 << 20
 BORDER = 256
+#: Texts with one name, above which its windows are dealt out one by one; how such a name is marked.
+MANY, MARK = 1 << 13, 1 << 62
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -121,8 +126,8 @@ def packed_names(docs: DataFrame, ranges: int, length: int) -> DataFrame:
     return docs.select("data").mapInArrow(run, "r int, texts binary, counts binary, names binary")
 
 
-def shared_names(packs: DataFrame) -> DataFrame:
-    """(text_id, names): of each text the names that another text has as well."""
+def shared_names(packs: DataFrame, many: int = MANY) -> DataFrame:
+    """(text_id, names): of each text the names that another text has as well, with MARK if more than `many` texts do."""
 
     def run(table: pa.Table) -> pa.Table:
         joined = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
@@ -133,12 +138,12 @@ def shared_names(packs: DataFrame) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         n = np.diff(np.append(first, len(names)))
         shared = np.repeat(np.minimum.reduceat(texts, first) != np.maximum.reduceat(texts, first), n)
-        names, texts = names[shared], texts[shared]
+        names, texts, mark = names[shared], texts[shared], np.repeat(np.where(n > many, MARK, 0), n)[shared]
         order = np.argsort(texts, kind="stable")
-        names, texts = names[order], texts[order]
+        names, texts, mark = names[order], texts[order], mark[order]
         first = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]])) if len(texts) else np.zeros(0, np.int64)
         r = np.int64(table.column("r")[0].as_py())
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(texts)), pa.int32()), pa.array((r << np.int64(32)) | names.astype(np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(texts)), pa.int32()), pa.array((r << np.int64(32)) | names.astype(np.int64) | mark))
         return pa.table({"text_id": pa.array(signed(texts[first])), "names": lists})
 
     found = packs.groupBy("r").applyInArrow(run, "text_id long, names array<long>")
@@ -149,7 +154,7 @@ CUT = "name long, key long, text_id long, start long, end long, stretch binary"
 
 
 def stretches(joined: DataFrame, ranges: int, length: int) -> DataFrame:
-    """CUT: the stretches of shared names.
+    """CUT: the stretches of shared names; of names with MARK, their windows under the hash of each.
 
     Of equal stretches in one batch, those of the smallest key are sent. The others are covered already: they come
     without their bytes, under a name spread by their key, and pass through.
@@ -165,15 +170,20 @@ def stretches(joined: DataFrame, ranges: int, length: int) -> DataFrame:
                 data, key = texts[i].as_py(), keys[i]
                 first, last, name = runs(window_names(data, length))
                 code = ((((name >> np.uint64(32)) % np.uint64(ranges)) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))).astype(np.int64)
-                kept = np.isin(code, names[i].values.to_numpy())
-                first, last, code = first[kept], last[kept], code[kept]
-                most = STRETCH - length + 1
+                listed = names[i].values.to_numpy()
+                marked = np.isin(code | MARK, listed)
+                kept = marked | np.isin(code, listed)
+                first, last, code, marked = first[kept], last[kept], code[kept], marked[kept]
+                most = np.where(marked, 1, STRETCH - length + 1)
                 parts = (last - first) // most + 1  # long runs (of periodic text) in pieces
                 k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                most, marked = np.repeat(most, parts), np.repeat(marked, parts)
                 start = np.repeat(first, parts) + k * most
                 end = np.minimum(start + most - 1, np.repeat(last, parts)) + length
                 own: list[bytes | None] = [data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
                 code = np.repeat(code, parts)
+                for j in np.flatnonzero(marked).tolist():
+                    code[j] = xxhash.xxh64_intdigest(own[j], SEED) >> 1
                 spread = int(mixed(np.array([key], np.int64).view(np.uint64))[0] >> np.uint64(1))
                 for j, s in enumerate(own):
                     if seen.setdefault(s, key) < key:
@@ -341,7 +351,7 @@ def _spans(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def covered_spans(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """(key, text_id, start, end) over `docs` (key not null, data): bytes covered by strings of smaller keys."""
     total = docs.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     ranges = max(width(docs.sparkSession), total // RANGE_BYTES)
@@ -349,7 +359,7 @@ def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     owners = ids.groupBy("t").agg(F.min("key").alias("key"), F.first("text_id").alias("text_id"))
     copies = ids.join(owners.select("t", F.col("key").alias("owner")), "t").where("key > owner")
     copies = copies.select("key", "text_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    shared = shared_names(packed_names(docs, ranges, length)).join(owners.select("text_id", "key"), "text_id")
+    shared = shared_names(packed_names(docs, ranges, length), many).join(owners.select("text_id", "key"), "text_id")
     shared = shared.groupBy("key").agg(F.flatten(F.collect_list("names")).alias("names"))
     cut = stretches(docs.join(shared, "key"), ranges, length)
     dealt = cut.repartition(4 * width(docs.sparkSession), "name").sortWithinPartitions("name", "stretch", "key")
