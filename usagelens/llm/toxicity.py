@@ -60,19 +60,21 @@ def counted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (n / (SHORT + len(found))).astype(np.float32)
 
 
-def fit_rows(texts: list[bytes], labels: np.ndarray, smooth: float = 1e-6, l2: float = 1e-4, rounds: int = 200, weight: float = 2.0) -> Model:
-    """Fit on texts in memory (at most SAMPLE_ROWS); toxic rows count `weight` times."""
+def fit_rows(texts: list[bytes], labels: np.ndarray, smooth: float = 1e-6, l2: float = 1e-4, rounds: int = 200, weight: float = 2.0, times: np.ndarray | None = None) -> Model:
+    """Fit on texts in memory (at most SAMPLE_ROWS), each there `times` times; toxic rows count `weight` times as much."""
     size = 1 << BITS
+    times = np.ones(len(texts)) if times is None else times
+    rows = times.sum()
     if not len(texts) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(texts) else 0.0
+        share = float((labels * times).sum() / rows) if len(texts) else 0.0
         return Model(np.zeros(size, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     # cells whose share of texts differs most between the classes, in standard errors
     seen = np.zeros((2, size))
-    for t, y in zip(texts, labels, strict=True):
-        seen[int(y), counted(t)[0]] += 1
-    n_c, n_t = (1 - labels).sum(), labels.sum()
-    both = seen.sum(0) / len(texts)
-    apart = np.abs(seen[1] / n_t - seen[0] / n_c) / np.sqrt(np.maximum(both * (1 - both), 0.5 / len(texts)) * (1 / n_t + 1 / n_c))
+    for t, y, k in zip(texts, labels, times, strict=True):
+        seen[int(y), counted(t)[0]] += k
+    n_c, n_t = ((1 - labels) * times).sum(), (labels * times).sum()
+    both = seen.sum(0) / rows
+    apart = np.abs(seen[1] / n_t - seen[0] / n_c) / np.sqrt(np.maximum(both * (1 - both), 0.5 / rows) * (1 / n_t + 1 / n_c))
     kept = apart >= np.sort(apart)[-KEPT_CELLS]
     parts = []
     for t in texts:
@@ -82,16 +84,16 @@ def fit_rows(texts: list[bytes], labels: np.ndarray, smooth: float = 1e-6, l2: f
     at, x = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
     toxic = labels[row] == 1
-    p = np.bincount(at[toxic], x[toxic], size) + smooth * n_t
-    q = np.bincount(at[~toxic], x[~toxic], size) + smooth * n_c
+    p = np.bincount(at[toxic], (x * times[row])[toxic], size) + smooth * n_t
+    q = np.bincount(at[~toxic], (x * times[row])[~toxic], size) + smooth * n_c
     r = np.where(kept, np.log(p / p.sum()) - np.log(q / q.sum()), 0.0)
     z = (x * r[at]).astype(np.float32)
-    norm = np.sqrt(np.bincount(row, z.astype(np.float64) ** 2, len(parts)).mean()) or 1.0
+    norm = np.sqrt((np.bincount(row, z.astype(np.float64) ** 2, len(parts)) * times).sum() / rows) or 1.0
     z /= norm
-    each = np.where(labels == 1, weight, 1.0)
+    each = np.where(labels == 1, weight, 1.0) * times
     each /= each.sum()
     # full-batch gradient descent with adaptive steps (Adam)
-    w, b = np.zeros(size), float(np.log(labels.mean() / (1 - labels.mean())))
+    w, b = np.zeros(size), float(np.log(n_t / n_c))
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for k in range(1, rounds + 1):
         y = 1 / (1 + np.exp(-np.clip(np.bincount(row, z * w[at], len(parts)) + b, -30, 30)))
@@ -117,8 +119,9 @@ def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str = "toxic", learn_from=None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(label, data) of at most `rows` labelled documents, the same on every run: the smallest hashes of the ids.
+    """(id, label, data, times) of at most `rows` labelled documents, the same on every run: the smallest hashes of the ids.
 
+    Equal rows are one with their number; of ids with several texts, the smallest hashes of id and text fill up to `rows`.
     `learn_from` is a condition on doc_id; ids labelled both ways count by their larger label.
     """
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
@@ -127,15 +130,16 @@ def sample(documents: DataFrame, labels: DataFrame, label: str = "toxic", learn_
     ids = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     ids = cut_lineage(ids, "toxicity-sample")  # at most `rows` pairs of numbers, of a size the optimizer sees
     picked = documents.select(F.col("doc_id").alias("id"), utf8("text").alias("data")).join(ids, F.col("id") == F.col("doc_id"))
-    return picked.select("id", "label", "data")
+    picked = picked.groupBy("id", "label", "data").agg(F.count(F.lit(1)).alias("times"))
+    return picked.orderBy(F.xxhash64("id", "data"), "id", "data").limit(rows)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", learn_from=None, rows: int = SAMPLE_ROWS) -> Model:
     """Fit in one task on the bounded sample; what comes back is the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((i, y, t) for x in batches for i, y, t in zip(*(x.column(c).to_pylist() for c in ("id", "label", "data")), strict=True))
-        model = fit_rows([x[2] for x in got], np.array([x[1] for x in got], dtype=float))
+        got = sorted((i, y, t, n) for x in batches for i, y, t, n in zip(*(x.column(c).to_pylist() for c in ("id", "label", "data", "times")), strict=True))
+        model = fit_rows([x[2] for x in got], np.array([x[1] for x in got], dtype=float), times=np.array([x[3] for x in got], dtype=float))
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "intercept": [model.intercept]})
 
     found = sample(documents, labels, label, learn_from, rows).repartition(1).mapInArrow(run, "weights binary, intercept double").collect()
