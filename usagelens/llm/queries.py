@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, mixing, paragraph_sketch, repeats, sharding, simhash, token_counts, toxicity, url_rules, warc
+from . import class_lm, decontaminate, mixing, paragraph_sketch, repeats, sharding, simhash, source_audit, token_counts, toxicity, url_rules, warc
 from .common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,6 +221,35 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+AUDIT_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT d) AS docs FROM (SELECT lang, source, d, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM cells GROUP BY lang, term HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sizes AS (SELECT lang, source, sum(n) AS n_group FROM dense GROUP BY lang, source),
+shares AS (SELECT d.lang, d.source, d.term, d.n, 1 + (1000000000::HUGEINT * (d.n + 5)) // (s.n_group + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (d.total + 5)) // (l.n_lang + 5 * l.v) AS q
+  FROM dense d JOIN sizes s ON d.lang = s.lang AND d.source = s.source JOIN langs l ON d.lang = l.lang),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(p.p - q.p)), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN shares p ON p.lang = a.lang AND p.source = a.source LEFT JOIN shares q ON q.lang = b.lang AND q.source = b.source AND q.term = p.term GROUP BY ALL),
+parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op13_source_audit", AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
