@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, mixing, paragraph_sketch, repeats, sharding, simhash, source_audit, token_counts, toxicity, url_rules, warc
+from . import class_lm, decontaminate, lexical, mixing, paragraph_sketch, repeats, sharding, simhash, source_audit, token_counts, toxicity, url_rules, warc
 from .common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,6 +221,29 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+RANK_SQL = r"""
+WITH words AS (
+  SELECT d, doc_id, unnest(w) AS term, len(w) AS n FROM (
+    SELECT row_number() OVER () AS d, doc_id,
+      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)),
+asked AS (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (
+  SELECT row_number() OVER () AS i, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+counts AS (SELECT count(DISTINCT d)::BIGINT AS n_docs, count(*)::BIGINT AS n_terms FROM words),
+tfs AS (SELECT d, doc_id, n, term, count(*)::BIGINT AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), counts),
+scored AS (SELECT a.i, a.item_id, t.d, t.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked a JOIN tfs t ON a.term = t.term JOIN weighed w ON w.term = t.term, counts GROUP BY a.i, a.item_id, t.d, t.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@query("op12_ranked_search", RANK_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 AUDIT_SQL = r"""
 WITH docs AS (
   SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
