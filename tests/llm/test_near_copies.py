@@ -57,3 +57,45 @@ def test_near_dedup_is_exact_similarity(spark):
     assert got == want
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(want.values())
+
+
+def family(seed, pairs=100, words=1000):
+    """Texts of one template: two of a pair at 0.83, others at 0.79. Values of the template are shared by all of them."""
+    rng = random.Random(seed)
+    template = [f"t{rng.getrandbits(40)}" for _ in range(words)]
+    out = []
+    for _ in range(pairs):
+        base = edited(rng, template, 13)
+        out += [" ".join(base), " ".join(edited(rng, base, 17))]
+    rng.shuffle(out)
+    return dict(enumerate(out))
+
+
+def test_no_link_is_lost_in_a_family(spark):
+    texts = family(8)
+    want = roots(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < 160
+
+
+def test_prefix_pairs_lose_no_pair(spark):
+    """Against all pairs, also with sizes on both sides and components of several nodes."""
+    rng = random.Random(2)
+    sets = {}
+    for f in range(6):
+        base = rng.sample(range(1000 * f, 1000 * f + 300), 80)
+        for _ in range(15):
+            sets[len(sets)] = set(rng.sample(base, rng.randint(62, 80))) | {10_000 + rng.getrandbits(16) for _ in range(rng.randint(0, 8))}
+    root = {k: k - k % rng.choice((1, 2)) for k in sets}
+    df = spark.createDataFrame([(k, root[k], sorted(s)) for k, s in sets.items()], "node long, root long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in near_copies.prefix_pairs(df, 0.8).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= got and all(root[a] != root[b] for a, b in got)
+
+
+def test_clashing_names_and_null_keys(spark):
+    rows = [(1, "a b c d e f g", 1), (2, "a b c d e f g", 2), (None, "x y z u v w", 3), (None, None, 4), (3, "", 5), (3, "", 6), (3, "other words are in this one", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int").selectExpr("doc_id", "text", "_n", "_n AS key", "_n AS node", "_n AS root", "_n AS `a.b`")
+    kept = near_copies.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", rows[0][1]), ("3", ""), ("3", rows[6][1]), ("None", rows[2][1])]

@@ -1,15 +1,24 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of SIMILARITY or more, linked and reduced to one.
 
 A node is a distinct set of shingle hashes (XXH64), named by its digest; a text with fewer words than a shingle is one
-shingle, and texts without words are one node. Pairs of nodes to look at come from two places:
+shingle, and texts without words are one node. Nodes that may link come from two places:
 
-* fingerprints of `simhash` within `errors` bits, by the trie join: near copies, also large groups, as a forest;
+* fingerprints of `simhash` within `errors` bits, by the trie join, as a forest;
 * min-hashes: BANDS values of BAND_ROWS least hashes each. Two sets of similarity s share a value with probability
-  1 - (1 - s**BAND_ROWS)**BANDS, which is 1 - 4e-8 at 0.8, so what lies outside the error budget of the fingerprints is found.
+  1 - (1 - s**BAND_ROWS)**BANDS, which is 1 - 5e-8 at 0.8. Fingerprints of 64 bits lie some ten bits apart there, and
+  a trie walked with an error budget that finds them all would have to link random texts too.
 
-Every pair is held against the texts before it links. A value shared by up to ALL_PAIRS nodes gives all pairs. More
-nodes are held against one of them, in rounds with another one each, and only where they are not linked already, until
-STILL rounds in a row have linked nothing: linear in the nodes, and a pair has a chance at each of its values.
+Every pair is held against the sets of shingles before it links, in Spark. Pairs are tried in two steps:
+
+1. Each node with the chosen node of each of its values (and the forest of fingerprints). This links dense groups of
+   any size by as many pairs as they have nodes.
+2. What a value holds together and step 1 left in several components. Up to ALL_PAIRS nodes: all their pairs. More: an
+   exact similarity join by prefixes. Shingles are ordered from the rarest; two sets of the similarity share one among
+   their first n - ceil(s n) + 1, and at the first they share enough must be left of both. Only pairs across components
+   that pass are tried, so that no link between different texts is lost and no group is held against itself.
+
+Nulls: a null text has no words; null keys are documents like others (a component without any key has a null id).
+Repeated rows are one node; long texts are read whole; an empty table gives no rows. Other columns are kept, with any name.
 """
 
 from functools import reduce
@@ -26,9 +35,10 @@ from .components import components
 from .simhash import SEED, links, majority, shingle_hashes
 
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 24, 3
-ALL_PAIRS, STILL = 8, 2
+BANDS, BAND_ROWS = 32, 4
+ALL_PAIRS = 8
 AT_ONCE = 4_096
+SLACK = 1e-9  # what rounding may take from a bound
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 
 
@@ -54,114 +64,134 @@ def bands(found: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).astype(np.int64)) for k, r in enumerate(rows)]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sets; two empty sets are equal."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
-
-
-def set_digests(text: str | Column, shingle: int) -> Column:
-    """Node (long) of a text column."""
-
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest(shingle_set(t, shingle)) for t in texts], dtype=np.int64)
-
-    return run(utf8(text))
-
-
 def _sketches(text: str, shingle: int) -> Column:
-    @F.pandas_udf("node long, fp long, bands array<long>")
+    @F.pandas_udf("node long, fp long, n long, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             parts = list(shingle_hashes(t, shingle))
             found = _joined(parts)
-            out.append((digest(found), majority(parts), bands(found)))
-        return pd.DataFrame(out, columns=["node", "fp", "bands"])
+            out.append((digest(found), majority(parts), len(found), bands(found)))
+        return pd.DataFrame(out, columns=["node", "fp", "n", "bands"])
 
     return run(utf8(text))
 
 
-def _alike(a: str, b: str, shingle: int, at_least: float) -> Column:
-    """Whether two binary columns have the similarity."""
+def _sets(data: str, shingle: int) -> Column:
+    @F.pandas_udf("node long, shingles array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"node": pd.Series([digest(x) for x in found], dtype=np.int64), "shingles": [x.astype(np.int64) for x in found]})
+
+    return run(F.col(data))
+
+
+def _digests(text: str, shingle: int) -> Column:
+    """Node (long) of a text column."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest(shingle_set(t, shingle)) for t in texts], dtype=np.int64)
+
+    return run(utf8(text))
 
-    @F.pandas_udf("boolean")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(shingle_set(s, shingle), shingle_set(t, shingle)) >= at_least for s, t in zip(x, y, strict=True)], dtype=bool)
 
-    return run(F.col(a), F.col(b))
+def _sized(a: Column, b: Column, at_least: float) -> Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * at_least - SLACK
 
 
-def _ordered(a: Column, b: Column) -> list[Column]:
+def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _against_one(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each node of a value with the one of them whose hash is least this turn, if linked to other nodes."""
-    order = F.xxhash64("node", F.lit(turn))
-    one = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), order).alias("one"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    met = members.join(one.select("band", "one"), "band").where("root <> one.root")
-    return met.select(*_ordered(F.col("node"), F.col("one.node"))).distinct()
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes (key, node): their texts are fetched by key and read once more."""
+    side = wanted.select(F.col("key").alias("_key"), F.col("node").alias("_node"))
+    texts = docs.select(F.col(key).alias("key"), utf8(text).alias("data")).join(side.hint("merge"), F.col("key").eqNullSafe(F.col("_key")))
+    found = texts.select("_node", _sets("data", shingle).alias("s")).where(F.col("s.node") == F.col("_node"))  # a key may name several rows
+    return cut_lineage(found.select(F.col("_node").alias("node"), "s.shingles").dropDuplicates(["node"]), "near-sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """Those of the pairs (a, b) that have the similarity."""
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    held = pairs.join(x, "a").join(y, "b").where(common >= (F.size("x") + F.size("y") - common) * at_least)
+    return cut_lineage(held.select("a", "b"), "near-edges")
+
+
+def prefix_pairs(nodes: DataFrame, at_least: float) -> DataFrame:
+    """(node, root, shingles) to the pairs (a, b) of different roots that can have the similarity; none that has it is left out."""
+    each = nodes.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
+    ordered = each.join(often, "s").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("order"))
+    length = F.col("n") - F.ceil(F.col("n") * at_least - SLACK) + 1
+    first = ordered.select("node", "root", "n", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "x"))
+    first = cut_lineage(first.where("x.f > 1").select("node", "root", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("at")).alias("left")), "near-prefixes")
+    enough = lambda a, b, m, n: F.least(a, b) >= (m + n) * (at_least / (1 + at_least)) - SLACK
+    # components that share a shingle, with the most that any of their nodes has left there
+    roots = first.groupBy("s", "root").agg(F.max("left").alias("left"), F.min("n").alias("n"))
+    p, q = roots.alias("p"), roots.alias("q")
+    met = p.join(q, (F.col("p.s") == F.col("q.s")) & (F.col("p.root") < F.col("q.root")) & enough(F.col("p.left"), F.col("q.left"), F.col("p.n"), F.col("q.n")))
+    met = met.select(F.col("p.s").alias("s"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+    side = lambda c: first.select(F.col("s").alias(f"s{c}"), F.col("root").alias(f"of_{c}"), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
+    pairs = met.join(side("a"), (F.col("s") == F.col("sa")) & (F.col("ra") == F.col("of_a")))
+    fits = _sized(F.col("n_a"), F.col("n_b"), at_least) & enough(F.col("left_a"), F.col("left_b"), F.col("n_a"), F.col("n_b"))
+    pairs = pairs.join(side("b"), (F.col("s") == F.col("sb")) & (F.col("rb") == F.col("of_b")) & fits)
+    return pairs.select(*_pair(F.col("node_a"), F.col("node_b"))).distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY, errors: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, node, root (of its component) and component_id (smallest key in the component)."""
-    rows = cut_lineage(docs.select(F.col(key).alias("key"), _sketches(text, shingle).alias("s")), "near-rows").select("key", "s.*")
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("key").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-nodes")
+    rows = cut_lineage(docs.select(F.col(key).alias("key"), _sketches(text, shingle).alias("s")).select("key", "s.*"), "near-rows")
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "near-nodes")
 
-    # fingerprints: nodes of one fingerprint, and the forest over fingerprints
-    firsts = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-firsts")
-    same = nodes.join(firsts, "fp").where("node <> first").select(*_ordered(F.col("node"), F.col("first")))
+    # fingerprints: nodes of one fingerprint with one of them, and the forest over fingerprints
+    firsts = cut_lineage(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "near-firsts")
+    same = nodes.join(firsts, "fp").where((F.col("node") != F.col("first.node")) & _sized(F.col("n"), F.col("first.n"), at_least))
     linked = cut_lineage(links(firsts.select("fp"), errors), "near-trie")
-    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
-    linked = linked.join(side("a"), "a").join(side("b"), "b").select(*_ordered(F.col("a_node"), F.col("b_node")))
-
-    # values of bands that several nodes share
-    spread = nodes.select("node", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut_lineage(spread.join(shared.hint("merge"), "band"), "near-members")
-    few = members.where(F.col("n") <= ALL_PAIRS).select("band", "node")
-    within = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    many = members.where(F.col("n") > ALL_PAIRS).select("band", "node")
-    pairs = reduce(DataFrame.unionByName, [same, linked, within, _against_one(many.withColumn("root", F.col("node")), 0)]).distinct()
-    pairs = cut_lineage(pairs, "near-pairs")
-
-    # the texts of all nodes that can be looked at; a key that names several rows is told apart by the node
-    wanted = members.select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    wanted = cut_lineage(nodes.join(wanted, "node").select(F.col("least").alias("_key"), F.col("node").alias("_node")), "near-wanted")
-    texts = docs.select(F.col(key).alias("key"), utf8(text).alias("data")).join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("_key")))
-    texts = texts.where(set_digests(F.col("data"), shingle) == F.col("_node")).select(F.col("_node").alias("node"), "data").dropDuplicates(["node"])
-    texts = cut_lineage(texts, "near-texts")
-
-    def held(found: DataFrame) -> DataFrame:
-        x = texts.select(F.col("node").alias("a"), F.col("data").alias("x"))
-        y = texts.select(F.col("node").alias("b"), F.col("data").alias("y"))
-        return cut_lineage(found.join(x, "a").join(y, "b").where(_alike("x", "y", shingle, at_least)).select("a", "b"), "near-edges")
-
-    edges = held(pairs)
-    joined = cut_lineage(components(edges), "near-joined")
-    turn, still = 1, 0
-    while still < STILL and many.limit(1).count():
-        rooted = many.join(joined.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        many = cut_lineage(rooted, "near-many")
-        fresh = cut_lineage(_against_one(many, turn).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-        if not fresh.limit(1).count():
-            still, turn, many = still + 1, turn + 1, many.select("band", "node")
-            continue
-        more = held(fresh)
-        pairs = pairs.unionByName(fresh)
-        if more.limit(1).count():
-            edges, still = edges.unionByName(more), 0
-            joined = cut_lineage(components(edges), "near-joined")
-        else:
-            still += 1
-        turn, many = turn + 1, many.select("band", "node")
-
-    root = nodes.join(joined.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    smallest = root.groupBy("root").agg(F.min("least").alias("component_id"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    linked = linked.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("a_first.n"), F.col("b_first.n"), at_least))
+
+    # values that several nodes share, with one node of each (another one in every band)
+    spread = nodes.select("node", "n", F.explode("bands").alias("band"))
+    heads = spread.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.min_by(F.struct("node", "n"), F.xxhash64("node", "band")).alias("head")).where("many > 1")
+    members = cut_lineage(spread.join(heads.hint("merge"), "band"), "near-members")
+    stars = members.where((F.col("node") != F.col("head.node")) & _sized(F.col("n"), F.col("head.n"), at_least))
+    tried = reduce(DataFrame.unionByName, [
+        same.select(*_pair(F.col("node"), F.col("first.node"))), linked.select(*_pair(F.col("a_first.node"), F.col("b_first.node"))), stars.select(*_pair(F.col("node"), F.col("head.node"))),
+    ]).distinct()
+    tried = cut_lineage(tried, "near-pairs")
+
+    wanted = members.select("node").unionByName(tried.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = _sets_of(docs, nodes.select("node", "key").join(wanted, "node"), shingle, text, key)
+    joined = cut_lineage(components(_alike(tried, sets, at_least)), "near-joined").withColumnRenamed("node", "u")
+    rooted = lambda df: df.join(joined, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("root", "node")).drop("u")
+
+    # values whose nodes are still in several components
+    inside = rooted(members.select("band", "node", "n", "many"))
+    apart = inside.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    apart = cut_lineage(inside.join(apart, "band"), "near-apart")
+    few = apart.where(F.col("many") <= ALL_PAIRS)
+    x, y = few.alias("x"), few.alias("y")
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _sized(F.col("x.n"), F.col("y.n"), at_least))
+    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    crowd = apart.where(F.col("many") > ALL_PAIRS).select("node", "root").distinct()
+    if crowd.limit(1).count():
+        across = across.unionByName(prefix_pairs(cut_lineage(crowd.join(sets, "node"), "near-crowd"), at_least))
+    more = _alike(cut_lineage(across.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs"), sets, at_least)
+    # components of components
+    of = lambda c: joined.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    again = components(between).select(F.col("node").alias("v"), F.col("root").alias("top"))
+
+    root = rooted(nodes.select("node", "key")).join(again, F.col("root") == F.col("v"), "left").select("node", F.coalesce("top", "root").alias("root"), "key")
+    root = cut_lineage(root, "near-roots")
+    smallest = root.groupBy("root").agg(F.min("key").alias("component_id"))
     named = root.select(F.col("node").alias("_node"), "root").join(smallest, "root")
-    return rows.join(named, rows["node"] == named["_node"]).select(F.col("key").alias(key), "node", "root", "component_id")
+    return rows.join(named, F.col("node") == F.col("_node")).select(F.col("key").alias(key), "node", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY, errors: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -169,15 +199,15 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY,
 
     A component without any key, or with its smallest key repeated, keeps one of those rows.
     """
+    row = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     grouped = near_groups(docs, shingle, at_least, errors, text, key)
-    first = cut_lineage(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), "node", F.col("root").alias("_root")), "near-first")
-    stay = cut_lineage(first.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_n")), "near-stay")
+    first = cut_lineage(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first"), F.col("node").alias("_node"), F.col("root").alias("_root")), "near-first")
+    stay = cut_lineage(first.groupBy("_first", "_root").agg(F.count(F.lit(1)).alias("_n")), "near-stay")
     # the list of those that stay grows with the documents: it is dealt out by key at every size, never broadcast
-    kept = docs.join(stay.hint("merge"), docs[key].eqNullSafe(F.col("_key")))
-    repeated = stay.where("_n > 1 or _key is null").limit(1).count() or stay.groupBy("_key").count().where("count > 1").limit(1).count()
+    kept = row.join(stay.hint("merge"), F.col("_key").eqNullSafe(F.col("_first")))
+    repeated = stay.where("_n > 1 or _first is null").limit(1).count() or stay.groupBy("_first").count().where("count > 1").limit(1).count()
     if repeated:  # the key does not name one row: the node has to agree, and one row of each component stays
-        again = docs.withColumn("_node", set_digests(text, shingle)).join(
-            first.select("_key", F.col("node").alias("_n"), "_root").distinct(), docs[key].eqNullSafe(F.col("_key")) & (F.col("_node") == F.col("_n")),
-        )
+        listed = first.distinct()
+        again = row.withColumn("_own", _digests("_text", shingle)).join(listed, F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_node")))
         kept = again.dropDuplicates(["_root"])
-    return kept.select(*[docs[c] for c in docs.columns])
+    return kept.select("_row.*")
