@@ -265,12 +265,18 @@ def test_merged_dashboard(spark):
                       "report_id string, series string, first_date date, last_date date"),
         "tools": make([("a", "Read", 2), ("b", "Read", 5)], "report_id string, tool string, calls bigint"),
         "corpus": make([("a", 1, 2), ("b", 2, 3)], "report_id string, projects bigint, skills_injected bigint"),
+        "projects": make([("a", "p1"), ("b", "p1"), ("b", "p2")], "report_id string, project string"),
+        "prompt_hours": make([("a", 9, 2), ("b", 9, 1), ("b", 23, 1)], "report_id string, hour int, prompts bigint"),
+        "prompt_source": make([("a", "history"), ("b", "transcripts")], "report_id string, prompt_source string"),
         "models": models,
     }
     merged = plan.merge_activity_tables(tables)
     cover = rows(merged["coverage"])[0]
     assert (str(cover["first_date"]), str(cover["last_date"]), cover["calendar_days"], cover["active_days"]) == ("2024-01-01", "2024-01-12", 12, 4)
     assert cover["longest_streak"] == 2 and cover["longest_gap"] > 0
-    assert rows(merged["tools"]) == [{"tool": "Read", "calls": 7}] and rows(merged["corpus"]) == [{"projects": 3, "skills_injected": 5}]
+    assert rows(merged["tools"]) == [{"tool": "Read", "calls": 7}] and rows(merged["corpus"]) == [{"projects": 2, "skills_injected": 5}]
+    assert {r["project"] for r in rows(merged["projects"])} == {"p1", "p2"} and rows(merged["prompt_source"]) == [{"prompt_source": "transcripts"}]
+    assert [(r["hour"], r["prompts"]) for r in rows(merged["prompt_hours"]) if r["prompts"]] == [(9, 3), (23, 1)]
+    assert rows(merged["prompt_summary"])[0]["peak_hour"] == 9
     wednesday = next(r for r in rows(merged["weekdays"]) if r["day"] == 3)
     assert wednesday["working"] == 6 and wednesday["working_days"] == 3  # 3, 10 and 17 January

@@ -176,8 +176,13 @@ def weekday_split(profile: DataFrame) -> DataFrame:
 def prompt_hours(prompts: DataFrame, ts: str = "ts", tz: str = "UTC") -> DataFrame:
     """24 rows of prompts per local hour with share and bands."""
     counts = slot_counts(prompts.withColumn("series", F.lit(PROMPT)), cal.local_hour(ts, tz))
-    return hour_profile(counts).select("hour", F.col(PROMPT).alias("prompts"), F.col("prompt_pct").alias("pct"),
-                                       "business_hours", "late_night")
+    return prompt_profile(counts.select(F.col("slot").alias("hour"), F.col("n").alias("prompts")))
+
+
+def prompt_profile(counts: DataFrame) -> DataFrame:
+    """The same 24 rows from counts `(hour, prompts)` that were stored or merged."""
+    slots = counts.select(F.lit(PROMPT).alias("series"), F.col("hour").alias("slot"), F.col("prompts").alias("n"))
+    return hour_profile(slots).select("hour", F.col(PROMPT).alias("prompts"), F.col("prompt_pct").alias("pct"), "business_hours", "late_night")
 
 
 def prompt_hour_summary(hours: DataFrame) -> DataFrame:
@@ -358,3 +363,13 @@ def corpus_counters(files: DataFrame, project: str = "project", tier: str = "tie
         of("subagent", file).alias("subagent_files"),
         of("workflow-agent", file).alias("workflow_agent_files"),
     )
+
+
+def project_list(files: DataFrame, project: str = "project") -> DataFrame:
+    """Distinct projects, one row each."""
+    return files.select(F.col(project).alias("project")).where("project is not null").distinct()
+
+
+def worktree_list(files: DataFrame, project: str = "project") -> DataFrame:
+    """Distinct working-copy labels, one row each."""
+    return files.select(worktree_label(project).alias("label")).where("label is not null").distinct()

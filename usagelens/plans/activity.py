@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import calendar as cal
 from ..operators import activity, commits, merging, pricing, requests, tools
 from ..session import cut_lineage
 from ..sources import transcripts
@@ -76,6 +77,7 @@ def activity_tables(
         "requests": F.lit(0).cast("bigint"), "cache_creation_5m_tokens": unknown, "cache_creation_1h_tokens": unknown,
     }), "all-time"), prices)
     sessions = activity.session_rollup(lines)
+    files = transcripts.transcript_files(lines.withColumnRenamed("session_id", "file_session_id"))
     tables |= {
         "hours": hour_profile,
         "hour_summary": activity.hour_summary(hour_profile),
@@ -92,8 +94,12 @@ def activity_tables(
         "cost": pricing.cost_totals(priced),
         "tools": tools.tool_use_counts(calls),
         "tool_counters": tools.tool_use_counters(calls),
-        "corpus": activity.corpus_counters(transcripts.transcript_files(lines)).withColumn(
+        "corpus": activity.corpus_counters(files).withColumn(
             "skills_injected", transcripts.injected_skills(transcripts.attachment_rows(parsed)).scalar()),
+        # the names behind two of the counts, so that a merge can unite them
+        "projects": activity.project_list(files),
+        "worktree_list": activity.worktree_list(files),
+        "prompt_source": lines.sparkSession.range(1).select(F.lit("transcripts" if prompts is None else "history").alias("prompt_source")),
         "scan": requests.scan_quality(parsed),
     }
     if cached_daily is not None:
@@ -144,10 +150,26 @@ def merge_activity_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     if "sessions" in tables:
         merged["sessions"] = tables["sessions"].drop("report_id")  # a session is of one machine
         merged["session_summary"] = activity.session_summary(merged["sessions"])
+    if "prompt_hours" in tables:
+        merged["prompt_hours"] = activity.prompt_profile(merging.merge_counters(tables["prompt_hours"], ["prompts"], ["hour"]))
+        merged["prompt_summary"] = activity.prompt_hour_summary(merged["prompt_hours"])
+    if "prompt_scalars" in tables:
+        span = merging.merge_scalars(tables["prompt_scalars"], ["entries", "slash_commands", "sessions"], minima=["first_ts"], maxima=["last_ts"])
+        merged["prompt_scalars"] = span.withColumn("span_days", cal.span_days("first_ts", "last_ts"))
+    if "prompt_source" in tables:
+        merged["prompt_source"] = merging.merge_prompt_source(tables["prompt_source"])
     for name in ("tool_counters", "corpus", "scan"):
         if name in tables:
             counters = [c for c, kind in tables[name].dtypes if kind in ("bigint", "int") and c != "report_id"]
             merged[name] = merging.merge_counters(tables[name], counters)
+    # a project or label on two machines counts once: the lists are united, and counted again
+    for name, column in (("projects", "project"), ("worktree_list", "label")):
+        if name in tables:
+            merged[name] = tables[name].select(column).distinct()
+    if "projects" in tables and "corpus" in merged:
+        merged["corpus"] = merged["corpus"].withColumn("projects", merged["projects"].agg(F.count(F.lit(1))).scalar())
+    if "worktree_list" in tables and "corpus" in merged:
+        merged["corpus"] = merged["corpus"].withColumn("worktree_labels", merged["worktree_list"].agg(F.count(F.lit(1))).scalar())
     if "commit_daily" in tables:
         merged["commit_daily"] = merging.merge_commit_daily(tables["commit_daily"], "report_id")
         merged["commit_monthly"] = commits.commit_monthly(merged["commit_daily"].drop("report_id"))

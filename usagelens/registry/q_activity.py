@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import activity, findings, pricing, requests
+from ..plans import activity as plan
 from ..session import cut_lineage
 from .core import register
 from .sql_views import cost
@@ -313,3 +316,75 @@ def _(v: Views) -> DataFrame:
         "spend": (spend, "cost"),
         "prompts": (activity.prompt_scalars(v.prompts), "entries"),
     })
+
+
+#: Tables of the dashboard and a column whose sum stands for each (None: rows only).
+PLAN_SUMS = {
+    "hours": "working", "weekday_counts": "n", "spans": None, "weekdays": "working", "live_daily": "working_events", "coverage": "active_days", "sessions": "lines",
+    "session_summary": "sessions", "models": "total_tokens", "tools": "calls", "tool_counters": "edit_lines_removed", "corpus": "subagent_files", "projects": None,
+    "worktree_list": None, "prompt_hours": "prompts", "prompt_summary": "late_night_prompts", "prompt_scalars": "entries", "prompt_months": "prompts", "prompt_source": None,
+    "scan": None, "hour_summary": "total_working", "weekday_split": "total", "cost": None,
+}
+_LINES = "SELECT * FROM v_lines WHERE kind <> 'corrupt'"
+_KEPT = """SELECT model, total_tokens FROM (SELECT concat('model-', k % 5) AS model, k + event_id % 100 + CASE WHEN k % 4 <> 3 THEN k * 10 ELSE 0 END AS total_tokens,
+    row_number() OVER (PARTITION BY event_id // 3 ORDER BY k + event_id % 100 + CASE WHEN k % 4 <> 3 THEN k * 10 ELSE 0 END DESC,
+      concat('/logs/projects/p', user_id % 10, '/s', user_id, CASE user_id % 3 WHEN 0 THEN '.jsonl' WHEN 1 THEN concat('/subagents/agent-a', user_id, '.jsonl')
+        ELSE concat('/subagents/workflows/wf_', user_id % 4, '/agent-a', user_id, '.jsonl') END), line_no) AS rn
+    FROM v_lines WHERE kind = 'record' AND line_ts IS NOT NULL) WHERE rn = 1"""
+
+
+def _plan_sql(times: int, merged: bool) -> str:
+    """Rows and sums of the tables; counters are `times` those of one machine, lists and dates are united."""
+    part = lambda name, n, total="0": f"SELECT '{name}' AS table_name, ({n})::BIGINT AS n_rows, ({total})::BIGINT AS total"
+    main, working = f"FROM ({_LINES}) WHERE tier = 'main'", "(SELECT count(*) FROM v_lines WHERE series = 'working')"
+    prompts, days = "(SELECT count(*) FROM v_prompts)", "(SELECT count(DISTINCT line_ts::DATE) FROM v_lines WHERE series IS NOT NULL)"
+    dated = f"(SELECT count(*) FROM (SELECT session_id {main} GROUP BY session_id HAVING max(line_ts) IS NOT NULL))"
+    slots = "(SELECT count(DISTINCT dayofweek(line_ts)) FROM v_lines WHERE series = 'working') + (SELECT count(DISTINCT dayofweek(ts)) FROM v_prompts)"
+    out = [
+        part("hours", 24, f"{times} * {working}"), part("hour_summary", 1, f"{times} * {working}"), part("weekdays", 7, f"{times} * {working}"),
+        part("weekday_split", 2, f"{times} * ({working} + {prompts})"),
+        part("coverage", 1, days), part("sessions", f"{times} * (SELECT count(DISTINCT session_id) {main})", f"{times} * (SELECT count(*) {main})"),
+        part("session_summary", 1, f"{times} * {dated}"),
+        part("models", f"SELECT count(DISTINCT model) FROM ({_KEPT})", f"{times} * (SELECT sum(total_tokens) FROM ({_KEPT}))"),
+        part("tools", "SELECT count(DISTINCT k % 4) FROM v_lines WHERE event_type = 'click'", f"{times} * (SELECT count(*) FROM v_lines WHERE event_type = 'click')"),
+        part("tool_counters", 1, f"{times} * (SELECT count(*) FROM v_lines WHERE event_type = 'click' AND k % 4 = 2)"),
+        part("corpus", 1, f"{times} * (SELECT count(DISTINCT user_id) FROM ({_LINES}) WHERE tier = 'subagent')"),
+        part("projects", f"SELECT count(DISTINCT project) FROM ({_LINES})"), part("worktree_list", 0),
+        part("prompt_hours", 24, f"{times} * {prompts}"),
+        part("prompt_summary", 1, f"{times} * (SELECT count(*) FROM v_prompts WHERE hour(ts) >= 22 OR hour(ts) < 6)"),
+        part("prompt_scalars", 1, f"{times} * {prompts}"), part("prompt_months", "SELECT count(DISTINCT date_trunc('month', ts)) FROM v_prompts", f"{times} * {prompts}"),
+        part("prompt_source", 1), part("scan", 1),
+    ]
+    if merged:
+        out.append(part("daily", days, f"{times} * {working}"))
+    else:
+        out += [part("weekday_counts", slots, f"{working} + {prompts}"), part("spans", 2), part("live_daily", days, working), part("cost", 1)]
+    return " UNION ALL ".join(out)
+
+
+def _digest(tables: dict[str, DataFrame], sums: dict[str, str | None]) -> DataFrame:
+    parts = []
+    for name, column in sums.items():
+        total = F.coalesce(F.sum(column), F.lit(0)) if column else F.lit(0)
+        parts.append(tables[name].agg(F.count(F.lit(1)).alias("n_rows"), total.cast("bigint").alias("total")).select(F.lit(name).alias("table_name"), "n_rows", "total"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dashboard(v: Views) -> dict[str, DataFrame]:
+    return plan.activity_tables(v.parsed, v.prices, v.prompts)
+
+
+@register("activity_plan_tables", _plan_sql(1, False), ["v_lines", "v_prompts"])
+def _(v: Views) -> DataFrame:
+    """Every table of the dashboard is built."""
+    return _digest(_dashboard(v), PLAN_SUMS)
+
+
+@register("merged_activity_plan", _plan_sql(2, True), ["v_lines", "v_prompts"])
+def _(v: Views) -> DataFrame:
+    """The dashboard of two machines with the same logs: counters are twice those of one, names and days count once."""
+    one = {name: cut_lineage(df, f"plan-{name}") for name, df in _dashboard(v).items()}
+    stored = {name: df.withColumn("report_id", F.explode(F.array(F.lit("a"), F.lit("b")))) for name, df in one.items()}
+    merged = plan.merge_activity_tables(stored)
+    sums = {n: c for n, c in PLAN_SUMS.items() if n not in ("weekday_counts", "spans", "live_daily", "cost")}
+    return _digest(merged, {**sums, "daily": "working_events"})

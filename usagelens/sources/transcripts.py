@@ -262,7 +262,7 @@ def activity_rows(parsed: DataFrame, prefixes: Sequence[str] = SYNTHETIC_PREFIXE
         .when((F.col("line_type") == "user") & (F.col("tier") == "main") & ~is_synthetic_user(prefixes), PROMPT)
     )
     return _with_blocks(parsed.filter(F.col("kind") != "corrupt")).select(
-        "file_path", "line_no", "project", "tier", "run_id", F.col("file_session_id").alias("session_id"), "ts",
+        "file_path", "line_no", "project", "tier", "run_id", F.col("file_session_id").alias("session_id"), "file_agent_id", "ts",
         F.when(F.col("ts").isNotNull(), series).alias("series"),
         F.when(calls > 0, calls).otherwise(F.lit(0)).cast("bigint").alias("tool_calls"),
         F.col("h.cwd").alias("cwd"),
