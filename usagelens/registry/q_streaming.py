@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import requests
 from ..session import shared_path
-from ..sources import transcripts
+from ..sources import growing, transcripts
 from ..streaming import jobs
 from .core import register
 from .sql_views import TOKEN_SUMS
@@ -110,3 +110,46 @@ def _(v: Views) -> DataFrame:
     log = jobs.read_batches(v.spark, _run(v, lambda s: transcripts.request_rows(s.parsed)))
     since = F.lit("2024-01-15").cast("timestamp_ntz").cast("timestamp")
     return requests.totals_by_key(jobs.current_requests(requests.in_window(log, "ts", since)), "model", "model")
+
+
+def _write_logs(v: Views, lines: DataFrame, root: str) -> None:
+    """One file of lines per project, as a producer leaves it; a file that is there is replaced."""
+    out = shared_path(v.spark, "log-parts")
+    dealt = lines.select("project", "ts", "line_no", F.col("line").alias("value")).repartition("project").sortWithinPartitions("project", "ts", "line_no")
+    dealt.select("project", "value").write.partitionBy("project").text(out)
+    hadoop = v.spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(out)
+    store = base.getFileSystem(v.spark._jsc.hadoopConfiguration())
+    for folder in store.globStatus(hadoop.Path(out, "project=*")):  # ten at most
+        name = folder.getPath().getName().split("=")[1]
+        (part,) = store.globStatus(hadoop.Path(folder.getPath(), "part-*"))
+        target = hadoop.Path(f"{root}/projects/{name}/{name}.jsonl")
+        store.mkdirs(target.getParent())
+        store.delete(target, False)
+        store.rename(part.getPath(), target)
+
+
+GROW_CUT = "2024-01-16"
+
+
+@register("st01_growing_files", f"""
+  SELECT project, CASE project WHEN 'p9' THEN 1 ELSE 0 END AS generation,
+    count(*) FILTER (WHERE ts < TIMESTAMP '{GROW_CUT}' AND project <> 'p9') AS first_run,
+    count(*) FILTER (WHERE CASE project WHEN 'p8' THEN false WHEN 'p9' THEN event_id % 10 = 0 ELSE ts >= TIMESTAMP '{GROW_CUT}' END) AS second_run,
+    sum(event_id) FILTER (WHERE CASE project WHEN 'p8' THEN ts < TIMESTAMP '{GROW_CUT}' WHEN 'p9' THEN event_id % 10 = 0 ELSE true END AND kind <> 'corrupt')::BIGINT AS read_ids
+  FROM v_lines GROUP BY project""", ["v_lines"])
+def _(v: Views) -> DataFrame:
+    """Two runs over files of which most grow between them, one (p8) stays as it is and one (p9) is replaced by a smaller one."""
+    root, cut = shared_path(v.spark, "logs"), F.lit(GROW_CUT).cast("timestamp_ntz")
+    lines = v.lines.drop("project").join(v.events.select(F.col("event_id").alias("line_no"), "ts", F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string")).alias("project")), "line_no")
+    # each line says its number, so that what was read can be told from what was written
+    lines = lines.withColumn("line", F.concat_ws(" ", F.col("line_no").cast("string"), "line"))
+    job = growing.Ingest(v.spark, root, shared_path(v.spark, "growing"), range_bytes=1 << 18)
+    _write_logs(v, lines.where(F.col("ts") < cut), root)
+    job.run()
+    _write_logs(v, lines.where(F.when(F.col("project") == "p8", False).when(F.col("project") == "p9", F.col("line_no") % 10 == 0).otherwise(True)), root)
+    job.run()
+    read = job.lines().select("project", "generation", "batch", F.split("line", " ", 2)[0].cast("bigint").alias("id"))
+    kinds = v.parsed.select(F.col("line_no").alias("id"), (F.col("kind") != "corrupt").alias("whole"))
+    return read.join(kinds, "id").groupBy("project", "generation").agg(
+        F.count_if(F.col("batch") == 1).alias("first_run"), F.count_if(F.col("batch") == 2).alias("second_run"), F.sum(F.when(F.col("whole"), F.col("id"))).alias("read_ids"))
