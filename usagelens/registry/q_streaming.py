@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import requests
 from ..session import shared_path
 from ..sources import growing, transcripts
-from ..streaming import jobs
+from ..streaming import jobs, state
 from .core import register
 from .sql_views import TOKEN_SUMS
 from .views import Views
@@ -153,3 +153,42 @@ def _(v: Views) -> DataFrame:
     kinds = v.parsed.select(F.col("line_no").alias("id"), (F.col("kind") != "corrupt").alias("whole"))
     return read.join(kinds, "id").groupBy("project", "generation").agg(
         F.count_if(F.col("batch") == 1).alias("first_run"), F.count_if(F.col("batch") == 2).alias("second_run"), F.sum(F.when(F.col("whole"), F.col("id"))).alias("read_ids"))
+
+
+def _in_batches(v: Views, df: DataFrame, part: Column, parts: int) -> DataFrame:
+    """A stream of `df` in `parts` micro-batches, in the order of `part` (0 to parts - 1)."""
+    path = shared_path(v.spark, "batches")
+    for i in range(parts):  # files are taken oldest first
+        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@register("st02_keyed_state", f"SELECT message_id, model, total_tokens FROM ({BEST_LINES.replace(LINE_TOKENS, LINE_TOKENS + ' WHERE line_ts IS NOT NULL')})", ["v_lines"])
+def _(v: Views) -> DataFrame:
+    """Three batches with late and growing snapshots; the last row of a key is its largest, and no row comes without growth."""
+    columns = ["message_id", "file_path", "line_no", "ts", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"]
+    rows = transcripts.request_rows(v.parsed).where("ts IS NOT NULL").select(*columns)
+    stream = _in_batches(v, rows, F.pmod(F.xxhash64("line_no"), F.lit(3)), 3)
+    out = shared_path(v.spark, "stream-out")
+    with state.rocksdb_state(v.spark):
+        grown = state.growing_snapshots(stream, late_by="60 days", keep_for_ms=60 * 86_400_000)
+        jobs.run_available(grown, jobs.batch_writer(out), shared_path(v.spark, "stream-state"), "update")
+    best = jobs.latest_updates(jobs.read_batches(v.spark, out), ["message_id"])
+    return v.totals(best).select("message_id", "model", "total_tokens")
+
+
+@register("st04_consuming_pairs", """
+  SELECT user_id, before AS call_event, event_id AS result_event FROM (
+    SELECT user_id, event_id, event_type, lag(event_id) OVER w AS before, lag(event_type) OVER w AS kind_before FROM events WHERE event_type IN ('click', 'purchase')
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'purchase', event_id::VARCHAR)) WHERE event_type = 'purchase' AND kind_before = 'click'""")
+def _(v: Views) -> DataFrame:
+    """Calls stay pending across two batches; each is taken by the first result after it."""
+    e = v.events.where(F.col("event_type").isin("click", "purchase"))
+    e = e.select("user_id", F.col("event_id").alias("event"), (F.col("event_type") == "purchase").alias("is_result"), F.col("ts").cast("timestamp").alias("ts"))
+    stream = _in_batches(v, e, (F.col("ts") >= F.lit(GROW_CUT).cast("timestamp")).cast("int"), 2)
+    out = shared_path(v.spark, "stream-out")
+    with state.rocksdb_state(v.spark):
+        paired = state.consuming_pairs(stream, ["user_id"], keep_for_ms=60 * 86_400_000)
+        jobs.run_available(paired, jobs.batch_writer(out), shared_path(v.spark, "stream-state"))
+    pairs = jobs.read_batches(v.spark, out).where("kind = 'pair'")
+    return pairs.select("user_id", F.col("call").cast("bigint").alias("call_event"), F.col("result").cast("bigint").alias("result_event"))
