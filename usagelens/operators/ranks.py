@@ -1,10 +1,12 @@
 """Global order statistics without a global sort.
 
 Values are first folded to `(value, count)`; each value belongs to an order-preserving bucket (about one
-per cent wide). A bucket with more than BUCKET_ROWS distinct values is cut again between its own smallest and
-largest value, so values that lie close together far from zero do not share a bucket. The running count inside a
-bucket is a partitioned window; the counts of the buckets give the offsets. Percentiles, rank tests
-and bootstrap look-ups all read from this one shape. Infinite values have end buckets of their own.
+per cent wide). A bucket with more than BUCKET_ROWS distinct values is cut again at quantiles of its own values, which
+a mergeable sketch gives, so a part is small however the values cluster: a few far values do not widen it, as they
+would the parts of a range. Up to MAX_PARTS times BUCKET_ROWS distinct values in one per cent of range the
+parts keep that size; beyond, they grow in proportion. The running count inside a bucket is a partitioned window; the
+counts of the buckets give the offsets. Percentiles, rank tests and bootstrap look-ups all read from this one
+shape. Infinite values have end buckets of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ from pyspark.sql.window import Window
 
 BUCKETS_PER_OCTAVE = 64
 #: Distinct values of a bucket beyond which it is cut again, and the most parts of one.
-BUCKET_ROWS, MAX_PARTS = 2_000, 1 << 20
+BUCKET_ROWS, MAX_PARTS = 2_000, 512
+#: Size of the sketch: its ranks are off by less than a third of the narrowest part (a part in 512).
+SKETCH_K = 4_096
+_STEP = 22  # splitters are searched in two steps of about this many
 _END_BUCKET = 1 << 30
 
 
@@ -33,12 +38,27 @@ def order_bucket(value: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
     )
 
 
+def bucket_splitters(values: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """`(by..., _splitters, _heads)` for the buckets with more than BUCKET_ROWS distinct values: where each is cut.
+
+    `_heads` has every _STEP-th splitter. Ranks of the sketch are fixed, so a bucket takes every so many of them.
+    """
+    ranks = F.array(*[F.lit(i / MAX_PARTS) for i in range(1, MAX_PARTS)])
+    found = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.kll_sketch_agg_double(value, F.lit(SKETCH_K)).alias("_sketch"))
+    large = found.filter(F.col("_rows") > BUCKET_ROWS)
+    stride = F.greatest(F.floor(F.lit(MAX_PARTS) / F.ceil(F.col("_rows") / BUCKET_ROWS)), F.lit(1)).cast("int")
+    quantiles = large.select(*by, stride.alias("_stride"), F.kll_sketch_get_quantile_double("_sketch", ranks).alias("_all"))
+    every = F.transform(F.sequence("_stride", F.lit(MAX_PARTS - 1), "_stride"), lambda i: F.element_at("_all", i))
+    cut = quantiles.select(*by, F.array_distinct(every).alias("_splitters"))
+    heads = F.filter("_splitters", lambda _, i: i % _STEP == _STEP - 1)
+    return cut.withColumn("_heads", heads)
+
+
 def _part(value: Column) -> Column:
-    """Part of a value in its bucket, by the bucket's own range (`_rows`, `_least`, `_most`)."""
-    parts = F.least(F.ceil(F.col("_rows") / BUCKET_ROWS), F.lit(MAX_PARTS))
-    share = (value - F.col("_least")) / (F.col("_most") - F.col("_least"))
-    finer = F.least(F.floor(share * parts), parts - 1)
-    return F.when((F.col("_rows") > BUCKET_ROWS) & (F.col("_most") > F.col("_least")), finer).otherwise(F.lit(0)).cast("bigint")
+    """How many splitters are at or below the value: first among the heads, then behind the last of them."""
+    up_to = lambda splitters: F.size(F.filter(splitters, lambda s: s <= value))
+    before = up_to(F.col("_heads")) * _STEP
+    return F.when(F.col("_splitters").isNull(), 0).otherwise(before + up_to(F.slice("_splitters", before + 1, F.lit(_STEP - 1)))).cast("bigint")
 
 
 def value_counts(df: DataFrame, value: str = "value", by: Sequence[str] = (), **measures: Column) -> DataFrame:
@@ -57,9 +77,10 @@ def running_counts(
     """Add `below_<m>` (count of strictly smaller values) and `total_<m>` for each measure, and `group_sum`."""
     by = list(by)
     coarse = counts.withColumn("_coarse", order_bucket(F.col(value)))
-    ranges = coarse.groupBy(*by, "_coarse").agg(F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_least"), F.max(value).alias("_most"))
-    bucketed = null_safe_join(coarse, ranges, [*by, "_coarse"]).withColumn("_bucket", F.col("_coarse") * F.lit(MAX_PARTS) + _part(F.col(value)))
-    bucketed = bucketed.drop("_coarse", "_rows", "_least", "_most")
+    # one row per large bucket, which are few: the join back is a broadcast wherever their size allows
+    cut = bucket_splitters(coarse, value, [*by, "_coarse"])
+    bucketed = null_safe_join(coarse, cut, [*by, "_coarse"], "left").withColumn("_bucket", F.col("_coarse") * F.lit(MAX_PARTS) + _part(F.col(value)))
+    bucketed = bucketed.drop("_coarse", "_splitters", "_heads")
     per_bucket = bucketed.groupBy(*by, "_bucket").agg(
         *[F.sum(m).alias(f"_in_{m}") for m in measures],
         F.sum(F.col(value) * F.col(measures[0])).alias("_value_sum"),
