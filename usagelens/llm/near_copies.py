@@ -21,10 +21,12 @@ Nulls: a null text has no words; null keys are documents like others (a componen
 Repeated rows are one node; long texts are read whole; an empty table gives no rows. Other columns are kept, with any name.
 """
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ from .simhash import SEED, links, majority, shingle_hashes
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 4
 ALL_PAIRS = 8
-AT_ONCE = 4_096
+AT_ONCE, ROWS_AT_ONCE = 1_024, 500
 SLACK = 1e-9  # what rounding may take from a bound
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 
@@ -64,26 +66,46 @@ def bands(found: np.ndarray) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), k)).astype(np.int64)) for k, r in enumerate(rows)]
 
 
-def _sketches(text: str, shingle: int) -> Column:
-    @F.pandas_udf("node long, fp long, n long, bands array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            parts = list(shingle_hashes(t, shingle))
-            found = _joined(parts)
-            out.append((digest(found), majority(parts), len(found), bands(found)))
-        return pd.DataFrame(out, columns=["node", "fp", "n", "bands"])
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ROWS_AT_ONCE, so that what a worker holds beside its input stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(k, ROWS_AT_ONCE)
 
-    return run(utf8(text))
 
+def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """(key, data) to (key, node, fp, n, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            out: tuple[list, ...] = ([], [], [], [])
+            for t in b.column("data"):
+                parts = list(shingle_hashes(t.as_py(), shingle))
+                found = _joined(parts)
+                for column, x in zip(out, (digest(found), majority(parts), len(found), bands(found)), strict=True):
+                    column.append(x)
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["key", "node", "fp", "n", "bands"])
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, node long, fp long, n long, bands array<long>")
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, data) to (node, shingles), for those whose text is the node's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            found = [(node.as_py(), shingle_set(t.as_py(), shingle)) for node, t in zip(b.column("node"), b.column("data"), strict=True)]
+            found = [(node, x) for node, x in found if digest(x) == node]
+            ends = np.concatenate([[0], np.cumsum([len(x) for _, x in found])]).astype(np.int32)
+            flat = _flat([x for _, x in found])
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
+
+    return rows.mapInArrow(run, "node long, shingles array<long>")
 
-def _sets(data: str, shingle: int) -> Column:
-    @F.pandas_udf("node long, shingles array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"node": pd.Series([digest(x) for x in found], dtype=np.int64), "shingles": [x.astype(np.int64) for x in found]})
 
-    return run(F.col(data))
+def _flat(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def _digests(text: str, shingle: int) -> Column:
@@ -109,8 +131,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, text: str, key: s
     """(node, shingles) of the wanted nodes (key, node): their texts are fetched by key and read once more."""
     side = wanted.select(F.col("key").alias("_key"), F.col("node").alias("_node"))
     texts = docs.select(F.col(key).alias("key"), utf8(text).alias("data")).join(side.hint("merge"), F.col("key").eqNullSafe(F.col("_key")))
-    found = texts.select("_node", _sets("data", shingle).alias("s")).where(F.col("s.node") == F.col("_node"))  # a key may name several rows
-    return cut_lineage(found.select(F.col("_node").alias("node"), "s.shingles").dropDuplicates(["node"]), "near-sets")
+    # a key may name several rows: those with another text are left out, equal ones are one
+    return cut_lineage(_sets(texts.select(F.col("_node").alias("node"), "data"), shingle).dropDuplicates(["node"]), "near-sets")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
@@ -145,7 +167,7 @@ def prefix_pairs(nodes: DataFrame, at_least: float) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY, errors: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, node, root (of its component) and component_id (smallest key in the component)."""
-    rows = cut_lineage(docs.select(F.col(key).alias("key"), _sketches(text, shingle).alias("s")).select("key", "s.*"), "near-rows")
+    rows = cut_lineage(_sketches(docs.select(F.col(key).alias("key"), utf8(text).alias("data")), shingle), "near-rows")
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "near-nodes")
 
     # fingerprints: nodes of one fingerprint with one of them, and the forest over fingerprints

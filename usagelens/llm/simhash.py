@@ -29,7 +29,7 @@ from .components import components
 
 SEED = 42
 #: Fingerprints below one top node, about, and pairs of nodes compared directly.
-NODE_ROWS, LEAF, CHUNK = 8_192, 16, 1 << 17
+NODE_ROWS, LEAF, CHUNK = 8_192, 16, 1 << 15
 HASHES_AT_ONCE = 1 << 16
 
 
