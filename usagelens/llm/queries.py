@@ -149,8 +149,7 @@ def _nibble_table() -> list[int]:
     return table
 
 
-#: The published loop of jump hashing, with the multiplier modulo 2**64; a CRC-32 by half bytes. Slots follow the id
-#: (rows of one cell, which holds up to 80,000 rows in 40 shards).
+#: The published loop of jump hashing, with the multiplier modulo 2**64; a CRC-32 by half bytes. Slots follow the id.
 SHARD_SQL = f"""
 WITH RECURSIVE ids AS (SELECT DISTINCT coalesce(doc_id, 0) AS id FROM documents),
 steps AS (

@@ -1,7 +1,8 @@
 """Sharding by jump consistent hashing: a stable key and the number of shards decide, and no ring table is kept.
 
-With one more shard, a key either stays or goes to the new shard. Inside a shard, rows get gapless slots: rows are
-counted per cell (shard and a hash of the row), cells get offsets, and only the rows of one cell are ordered together.
+With one more shard, a key either stays or goes to the new shard. Inside a shard, rows get gapless slots in order of key,
+size and checksum, at every size of the input: rows are dealt into ranges of that order, counted per cell (shard and
+range), cells get offsets, and only the rows of one cell are ordered together.
 
 A null key counts as key 0; a null text has no bytes. Equal rows get slots next to each other, and are counted
 before they are ordered, so that many copies of one row do not meet in one task. An empty table gives no rows.
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import utf8
 
-#: Rows ordered together, about.
-CELL_ROWS = 2_000
+#: Rows ordered together, about, and copies of one row that are held at once.
+CELL_ROWS, COPIES = 2_000, 10_000
 OVERHEAD = 16
 
 
@@ -50,20 +51,22 @@ def with_shard(docs: DataFrame, shards: int, key: str = "doc_id", out: str = "sh
     return docs.withColumn(out, shard_of(F.col(key), shards))
 
 
-def manifest(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def manifest(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per document: key, size, text_crc32, shard, slot, grown_shard (with one more shard)."""
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(utf8(text)) + OVERHEAD).cast("long").alias("size"), F.crc32(utf8(text)).alias("text_crc32"))
     # the shards are found for distinct rows, after the copies are counted
     rows = rows.groupBy("key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumn("shard", shard_of(F.col("key"), shards)).withColumn("grown_shard", shard_of(F.col("key"), shards + 1))
-    rows = cut_lineage(rows, "shard-rows")
-    cells = max(1, -(-rows.count() // (shards * CELL_ROWS)))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(cells)))
+    ordered = ["key", "size", "text_crc32"]
+    # null keys come first in both orders
+    rows = cut_lineage(rows, "shard-counts")
+    ranges = max(1, -(-rows.count() // (shards * cell_rows)))
+    rows = cut_lineage(rows.repartitionByRange(ranges, *ordered).withColumn("cell", F.spark_partition_id()), "shard-rows")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "cell").agg(F.sum("n").alias("in_cell")).withColumn("offset", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
-    within = Window.partitionBy("shard", "cell").orderBy("key", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "cell").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("offset") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    placed = rows.join(offsets.select("shard", "cell", "offset"), ["shard", "cell"]).withColumn("first", first)
-    return placed.select(
-        F.col("key").alias(key), "size", "text_crc32", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard"
-    )
+    placed = rows.join(offsets.select("shard", "cell", "offset"), ["shard", "cell"]).withColumn("first", first).withColumn("last", F.col("first") + F.col("n") - 1)
+    some = placed.select("*", F.explode(F.sequence("first", "last", F.lit(COPIES).cast("long"))).alias("from"))
+    slot = F.explode(F.sequence("from", F.least(F.col("from") + COPIES - 1, "last"))).alias("slot")
+    return some.select(F.col("key").alias(key), "size", "text_crc32", "shard", slot, "grown_shard")
