@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators import activity, findings, pricing, requests
+from ..operators import activity, findings, incremental, pricing, requests
 from ..plans import activity as plan
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path
 from .core import register
 from .sql_views import cost
 from .views import CACHE_END, Views
@@ -179,9 +179,12 @@ def _(v: Views) -> DataFrame:
     return summary
 
 
-@register("ag27_daily_model_tokens", """
+AG27_SQL = """
   SELECT ts::DATE AS date, model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_creation_tokens)::BIGINT AS cache_creation_tokens,
-    sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(total_tokens)::BIGINT AS total_tokens FROM v_dedup GROUP BY ALL""", ["v_dedup"], texts=["date"])
+    sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(total_tokens)::BIGINT AS total_tokens FROM v_dedup GROUP BY ALL"""
+
+
+@register("ag27_daily_model_tokens", AG27_SQL, ["v_dedup"], texts=["date"])
 def _(v: Views) -> DataFrame:
     return activity.daily_model_tokens(v.requests, order=("ts", "part_key", "supp_key"))
 
@@ -388,3 +391,24 @@ def _(v: Views) -> DataFrame:
     merged = plan.merge_activity_tables(stored)
     sums = {n: c for n, c in PLAN_SUMS.items() if n not in ("weekday_counts", "spans", "live_daily", "cost")}
     return _digest(merged, {**sums, "daily": "working_events"})
+
+
+@register("ag27_incremental_totals", AG27_SQL, ["v_dedup"], texts=["date"])
+def _(v: Views) -> DataFrame:
+    """Three batches, of which later ones hold larger snapshots of earlier ids: old days are taken back."""
+    job = incremental.daily_model_totals(v.spark, shared_path(v.spark, "daily-models"), order=("ts", "part_key", "supp_key"))
+    for n, part in enumerate((2, 0, 1)):
+        job.apply(incremental.usable_requests(v.requests.where(F.col("supp_key") % 3 == part)), n)
+    return job.totals().drop("rows")
+
+
+@register("ag25_incremental_sessions", """
+  SELECT s::DATE AS date, count(*) AS sessions_started FROM (SELECT session_id, min(line_ts) AS s FROM v_lines
+    WHERE tier = 'main' AND kind <> 'corrupt' AND line_ts IS NOT NULL GROUP BY 1) GROUP BY 1""", ["v_lines"], texts=["date"])
+def _(v: Views) -> DataFrame:
+    """Lines come latest first, so every batch moves sessions to an earlier day."""
+    job = incremental.session_starts(v.spark, shared_path(v.spark, "session-days"))
+    lines = v.activity.where((F.col("tier") == "main") & F.col("ts").isNotNull())
+    for n, (since, until) in enumerate((("2024-01-20", "2100-01-01"), ("2024-01-08", "2024-01-20"), ("1970-01-01", "2024-01-08"))):
+        job.apply(lines.where((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") < F.lit(until).cast("timestamp"))), n)
+    return job.totals().withColumnRenamed("rows", "sessions_started")
