@@ -5,20 +5,26 @@ revisits that refer to it. Files are written by Spark's text writer, whose line
 member (the high byte of its length: zero below 16 MiB; a longer record is closed by an empty member), so the files
 are plain sequences of members, and large ones can be split.
 
-Salvage reader. Files are split at what opens a record: the gzip magic of a member (`member`), or the version line of
-a plain archive (`version`). Each piece is checked by itself: the member inflates to its checksum and end, the
-version line and headers parse, the block has the stated length and is closed by two line ends, the digest agrees.
-Pieces that fail, and only those, are brought together by file and place: a record whose body holds the opening
-bytes is joined again from its pieces; what cannot be read is skipped up to the next opening that gives a record,
-and logged as a gap of bytes with the reason. Later records are recovered. A file name must not end with a
-compression suffix, or Spark would inflate the whole file instead.
+Salvage reader. Files are cut into ranges of bytes, which tasks read whatever the file's name or compression suffix. A
+task looks for openings in its range: the first bytes of a gzip member with any legal flags (name, extra field, comment,
+header checksum), or the version line of a plain archive. An opening counts if what follows checks out, also past the
+range: the member inflates to its checksum and end, version line and headers parse, the block has the stated length and
+is closed by two line ends, the digest agrees. A member may hold several records. From the end of what is good the
+search goes on; where nothing is good, at the next opening, so that later records are recovered. What lies inside a good
+record (an archive in an archive) is no record of its own. Bytes that no good member or record covers are logged as gaps
+with the reason; a member that inflates but of which some part is no record is a gap too, and keeps its good records.
+
+A task holds one range and one record. Only (range, start, end) of what is good meets by file, so a file that is
+damaged as a whole gathers nothing.
 
 Nulls: a null payload is empty; a null key is written without number and read back as null (ordered last).
-Repeated rows: all rows with the smallest key of a payload are responses. An empty table gives one empty file.
+Repeated rows: all rows with the smallest key of a payload are responses. An empty table gives one empty file; empty files
+give no rows. Long payloads are written and read whole.
 """
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_path
+from ..sources.growing import list_files, open_file
 from .common import utf8
 
 MAGIC, VERSION = b"\x1f\x8b\x08\x00", b"WARC/1."
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 LEVEL = 3
-GAP, RECORD = "gap", "record"
+RECORD, GOOD, BAD = "record", "good", "bad"
+#: Bytes of a range and what a task looks at beyond it; the longest head of a record; payload bytes held before they are sent.
+RANGE_BYTES, OVERLAP, MOST_HEAD, HELD_BYTES = 16 << 20, 16, 1 << 20, 8 << 20
+#: A member's magic, its method, and flags of which the upper three bits are reserved.
+MEMBER_OPENING, PLAIN_OPENING = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]"), re.compile(re.escape(VERSION))
 
 
 def digest(payload: bytes) -> str:
@@ -61,56 +72,100 @@ def member(data: bytes) -> bytes:
     return out if out[-1] == 0 else out + EMPTY_MEMBER
 
 
-def parse(data: bytes) -> dict | str:
-    """The record in `data`, or why there is none. The data has to be exactly one record."""
-    head, found, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not found or not lines[0].startswith(VERSION):
-        return "no version line or end of headers"
+def parse(data: bytes, at: int = 0) -> tuple[dict | str, int]:
+    """The record that begins at a place and the place behind it, or why there is none."""
+    head_end = data.find(b"\r\n\r\n", at, at + MOST_HEAD)
+    if not data.startswith(VERSION, at) or head_end < 0:
+        return ("short" if data.startswith(VERSION, at) and len(data) < at + MOST_HEAD else "no version line or end of headers"), at
     fields: dict[str, str] = {}
-    for line in lines[1:]:
+    for line in data[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
-            return "header without colon"
+            return "header without colon", at
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     try:
         length = int(fields["content-length"])
     except (KeyError, ValueError):
-        return "no content length"
-    if length < 0 or len(rest) != length + 4 or rest[-4:] != b"\r\n\r\n":
-        return "short" if 0 <= length and len(rest) < length + 4 else "length differs"
-    block, kind = rest[:-4], fields.get("warc-type", "")
+        return "no content length", at
+    begin, end = head_end + 4, head_end + 4 + length
+    if length < 0 or len(data) < end + 4:
+        return "short" if length >= 0 else "no content length", at
+    if data[end: end + 4] != b"\r\n\r\n":
+        return "length differs", at
+    block, kind = data[begin:end], fields.get("warc-type", "")
     stated = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if kind != "revisit" and stated and stated != digest(block):
-        return "digest differs"
+        return "digest differs", at
     number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").rstrip(">")).lstrip("-").isdigit() else None
     size = fields.get("x-payload-bytes", "")
     return {
         "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "payload_digest": stated or digest(block),
         "payload_bytes": int(size) if size.isdigit() else length, "refers_to": number("warc-refers-to"), "payload": None if kind == "revisit" else block,
-    }
+    }, end + 4
 
 
-def inflate(data: bytes) -> tuple[bytes | None, str]:
-    """Contents of one or more whole gzip members, or None and why not."""
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
+def inflate(feed: Iterator[bytes]) -> tuple[bytes | None, int | str]:
+    """Contents of one gzip member and its length in bytes, or None and why not; reads no further than it has to."""
+    one, out, fed = zlib.decompressobj(31), [], 0
+    for block in feed:
+        fed += len(block)
         try:
-            out.append(one.decompress(data))
+            out.append(one.decompress(block))
         except zlib.error:
             return None, "damaged member"
-        if not one.eof:
-            return None, "short"
-        data = one.unused_data
-    return b"".join(out), ""
-
-
-def read_piece(data: bytes, members: bool) -> dict | str:
-    if not members:
-        return parse(data)
-    plain, why = inflate(data)
-    return parse(plain) if plain is not None else why
+        if one.eof:
+            return b"".join(out), fed - len(one.unused_data)
+    return None, "member without end"
+
+
+class Reader:
+    """A file by places: a range that is held, and what lies behind it when asked for."""
+
+    def __init__(self, path: str, start: int, stop: int, size: int) -> None:
+        self.file, self.start, self.size = open_file(path), start, size
+        self.held = self.file.read_at(min(stop - start + OVERLAP, size - start), start)
+
+    def bytes(self, at: int, n: int) -> bytes:
+        n = min(n, self.size - at)
+        lo = at - self.start
+        return self.held[lo: lo + n] if lo + n <= len(self.held) else self.file.read_at(n, at)
+
+    def feed(self, at: int) -> Iterator[bytes]:
+        step = 1 << 14
+        while at < self.size:
+            yield (block := self.bytes(at, step))
+            at, step = at + len(block), min(step * 4, 1 << 20)
+
+    def opening(self, at: int, stop: int, members: bool) -> int | None:
+        """Place of the first opening in [at, stop)."""
+        found = (MEMBER_OPENING if members else PLAIN_OPENING).search(self.held, at - self.start, min(stop - self.start + OVERLAP, len(self.held)))
+        return None if found is None or found.start() + self.start >= stop else found.start() + self.start
+
+    def good(self, at: int, members: bool) -> tuple[list[dict], int, str]:
+        """(records, place behind, why): what begins at an opening. Nothing good gives back the opening's own place."""
+        if members:
+            plain, end = inflate(self.feed(at))
+            if plain is None:
+                return [], at, str(end)
+            found, place, why = [], 0, ""
+            while place < len(plain):
+                got, behind = parse(plain, place)
+                if isinstance(got, dict):
+                    found.append(got)
+                    place = behind
+                else:
+                    why = why or got
+                    place = plain.find(VERSION, place + 1)
+                    if place < 0:
+                        break
+            return found, at + int(end), why
+        n = 1 << 16
+        while True:  # a plain record is asked for in growing pieces, until its head tells its length
+            data = self.bytes(at, n)
+            got, behind = parse(data)
+            if got != "short" or at + n >= self.size:
+                return ([got], at + behind, "") if isinstance(got, dict) else ([], at, got)
+            n *= 4
 
 
 def write(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", payload: str = "html") -> str:
@@ -137,106 +192,72 @@ def write(pages: DataFrame, path: str | None = None, key: str = "page_id", url:
     return path
 
 
-def _pieces(spark: SparkSession, path: str, members: bool) -> DataFrame:
-    opening = (MAGIC if members else VERSION).decode("latin-1")
-    lines = spark.read.option("lineSep", opening).option("encoding", "ISO-8859-1").text(path)
-    return lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("data")
-    )
-
-
 FIELDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
-PLACE = "file string, block long, n long, bytes long"
+FOUND = f"file string, range long, kind string, start long, end long, why string, {FIELDS}"
+NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
-def read(spark: SparkSession, path: str, members: bool = True, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps): records have FIELDS; gaps have file, start, end (bytes) and reason.
+def _found(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    parts = [x.split() for x in FOUND.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in parts], names=[c for c, _ in parts])
 
-    Bytes before the first opening of a file are a gap too.
-    """
-    opening = MAGIC if members else VERSION
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("ok", "why", "raw", *NAMES)}
-            for data in b.column("data").to_pylist():
-                got = read_piece(opening + data, members)
-                ok = isinstance(got, dict)
-                out["ok"].append(ok)
-                out["why"].append(None if ok else got)
-                out["raw"].append(None if ok else data)
-                for c in NAMES:
-                    out[c].append(got[c] if ok and (payloads or c != "payload") else None)
-            place = {"file": b.column("file"), "block": b.column("block"), "n": b.column("n"), "bytes": pa.array([len(x) for x in b.column("data").to_pylist()], pa.int64())}
-            yield pa.RecordBatch.from_arrays([*place.values(), *(pa.array(out[c], t) for c, t in TYPES.items())], names=[*place, *TYPES])
-
-    pieces = _pieces(spark, path, members).mapInArrow(check, f"{PLACE}, ok boolean, why string, raw binary, {FIELDS}")
-    checked = cut_lineage(pieces, "warc-checked")
-    good = checked.where("ok").select(*NAMES)
-    # what lies before the first opening of a file is an empty piece, if the file is whole
-    bad = checked.where("not ok")
-    per_block = checked.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(F.col("bytes") + len(opening)).alias("n_bytes"), F.min("n").alias("first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = per_block.select("file", "block", "first", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(a) for c, a in (("n_pieces", "pieces_before"), ("n_bytes", "bytes_before"))])
-    # place of each failed piece: bytes before it in its block, from the pieces of blocks that have failures
-    hit = checked.join(bad.select("file", "block").distinct(), ["file", "block"], "left_semi").select("file", "block", "n", "bytes", "ok")
-    ahead = Window.partitionBy("file", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hit.withColumn("ahead", F.coalesce(F.sum(F.col("bytes") + len(opening)).over(ahead), F.lit(0))).where("not ok").select("file", "block", "n", "ahead")
-    placed = bad.join(offsets, ["file", "block", "n"]).join(per_block, ["file", "block"]).select(
-        "file", (F.col("pieces_before") + F.col("n") - F.col("first")).alias("at"), (F.col("bytes_before") + F.col("ahead")).alias("start"), "raw", "why"
-    )
-    placed = cut_lineage(placed, "warc-failed")
-
-    def salvage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run: list[tuple] = []
-
-        def settle() -> list[dict]:
-            out: list[dict] = []
-            i = 0
-            while i < len(run):
-                file, at, start, raw, why = run[i]
-                if at == 0:  # before the first opening
-                    if raw:
-                        out.append({"kind": GAP, "file": file, "start": start, "end": start + len(raw), "why": "no opening"})
-                    i += 1
-                    continue
-                begin = start - len(opening)
-                data, j, got = opening + raw, i, why
-                while got == "short" and j + 1 < len(run):
-                    j += 1
-                    data += opening + run[j][3]
-                    got = read_piece(data, members)
-                if isinstance(got, dict):
-                    out.append({"kind": RECORD, **got})
-                    i = j + 1
-                else:
-                    out.append({"kind": GAP, "file": file, "start": begin, "end": start + len(raw), "why": why})
-                    i += 1
-            return out
+def search(ranges: DataFrame, members: bool, payloads: bool) -> DataFrame:
+    """(file, start, stop, size) to FOUND: records, the extent of what is good, and the first failure of every run of them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done: list[dict] = []
-            for x in zip(*(b.column(c).to_pylist() for c in ("file", "at", "start", "raw", "why")), strict=True):
-                if run and (run[-1][0] != x[0] or run[-1][1] + 1 != x[1]):
-                    done += settle()
-                    run.clear()
-                run.append(x)
-            yield _rows(done)
-        yield _rows(settle())
-
-    rescued = placed.repartition("file").sortWithinPartitions("file", "at").mapInArrow(salvage, f"kind string, file string, start long, end long, why string, {FIELDS}")
-    rescued = cut_lineage(rescued, "warc-salvaged")
-    merged = Window.partitionBy("file").orderBy("start")
-    gaps = rescued.where(F.col("kind") == GAP).withColumn("new", F.when(F.lag("end").over(merged) == F.col("start"), 0).otherwise(1)).withColumn("g", F.sum("new").over(merged))
-    gaps = gaps.groupBy("file", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("why", "start").alias("reason")).drop("g")
-    return good.unionByName(rescued.where(F.col("kind") == RECORD).select(*NAMES)), gaps
-
-
-NAMES = [x.split()[0] for x in FIELDS.split(", ")]
-_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-TYPES = {"ok": pa.bool_(), "why": pa.string(), "raw": pa.binary(), **{n: _KINDS[k] for n, k in (x.split() for x in FIELDS.split(", "))}}
-
-
-def _rows(found: list[dict]) -> pa.RecordBatch:
-    kinds = {"kind": pa.string(), "file": pa.string(), "start": pa.int64(), "end": pa.int64(), "why": pa.string(), **{n: TYPES[n] for n in NAMES}}
-    return pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in found], t) for c, t in kinds.items()], names=list(kinds))
+            for r in b.to_pylist():
+                reader, at, failing = Reader(r["file"], r["start"], r["stop"], r["size"]), r["start"], False
+                place = {"file": r["file"], "range": r["start"]}
+                out: list[dict] = []
+                held = 0
+                while at < r["stop"] and (start := reader.opening(at, r["stop"], members)) is not None:
+                    records, end, why = reader.good(start, members)
+                    for x in records:
+                        held += len(x["payload"] or b"") if payloads else 0
+                        out.append({**place, "kind": RECORD, "start": start, "end": end, **(x if payloads else {**x, "payload": None})})
+                    if end > start and not why:
+                        out.append({**place, "kind": GOOD, "start": start, "end": end})
+                    elif not failing or end > start:
+                        out.append({**place, "kind": BAD, "start": start, "end": end, "why": why})
+                    failing = end == start
+                    at = end if end > start else start + 1
+                    if held > HELD_BYTES or len(out) > 2_000:
+                        yield _found(out)
+                        out, held = [], 0
+                yield _found(out)
+
+    return ranges.repartition("file", "start").select("file", "start", "stop", "size").mapInArrow(run, FOUND)
+
+
+def read(spark: SparkSession, path: str, members: bool = True, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps): records have FIELDS; gaps have file, start, end (bytes) and reason."""
+    files = list_files(spark, path, "*").select(F.col("path").alias("file"), "size")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
+    ranges = files.where("size > 0").select("file", "size", F.explode(starts).alias("start")).withColumn("stop", F.least(F.col("start") + range_bytes, "size"))
+    ranges = cut_lineage(ranges, "warc-ranges")
+    found = cut_lineage(search(ranges, members, payloads), "warc-found")
+
+    # how far earlier ranges reach, and then earlier openings of the range: what begins before that is inside something good
+    good = found.where(F.col("kind") == GOOD).select("file", "range", "start", "end")
+    reach = good.groupBy("file", "range").agg(F.max("end").alias("reach"))
+    ahead = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = reach.withColumn("since", F.coalesce(F.max("reach").over(ahead), F.lit(0)))
+    inside = Window.partitionBy("file", "range").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = good.join(reach, ["file", "range"]).withColumn("since", F.greatest("since", F.coalesce(F.max("end").over(inside), F.lit(0))))
+    placed = cut_lineage(placed.select("file", "start", "end", "since"), "warc-good")
+    nested = placed.where("start < since").select("file", "start")
+    spans = placed.where("start >= since")
+    records = found.where(F.col("kind") == RECORD).join(nested, ["file", "start"], "left_anti").select(*NAMES)
+
+    last = placed.groupBy("file").agg(F.max("end").alias("since"))
+    tails = ranges.groupBy("file").agg(F.max("size").alias("start")).join(last, "file", "left").select("file", F.coalesce("since", F.lit(0)).alias("since"), "start")
+    gaps = spans.select("file", "since", "start").unionByName(tails).where("since < start").select("file", F.col("since").alias("start"), F.col("start").alias("end"))
+    # the reason of a gap is its first failure
+    failed = found.where(F.col("kind") == BAD).select("file", F.col("start").alias("at"), "why")
+    both = gaps.select("file", F.col("start").alias("at"), "start", "end", F.lit(None).cast("string").alias("why")).unionByName(failed, allowMissingColumns=True)
+    along = Window.partitionBy("file").orderBy("at", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("start", F.last("start", True).over(along)).withColumn("end", F.last("end", True).over(along)).where("at < end")
+    return records, known.groupBy("file", "start", "end").agg(F.coalesce(F.min_by("why", F.when(F.col("why").isNotNull(), F.col("at"))), F.lit("no opening")).alias("reason"))
