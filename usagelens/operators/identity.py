@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -57,3 +57,75 @@ def shared_key_components(keyed: DataFrame, entry: str = "entry", key: str = "ke
         if done:
             break
     return parents.select(F.col("v").alias(entry), F.col("f").alias("component"))
+
+
+class ComponentStore:
+    """Components that grow by report: a report is joined against the roots of what is stored, not against its entries.
+
+    Below `path`, one folder per batch: the labels of new entries, the root under which a new key was filed, and the
+    forest, which says under which root an earlier root is now (one row per root that was ever joined to another, so far
+    smaller than the labels). An entry's component is its label, or where the forest has taken that.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _batches(self, name: str) -> list[tuple[int, str]]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(f"{self.path}/{name}")
+        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(folder):
+            return []
+        found = [f.getPath() for f in store.listStatus(folder)]
+        return sorted((int(p.getName().split("=")[1]), p.toString()) for p in found if store.exists(hadoop.Path(p, "_SUCCESS")))
+
+    def committed(self) -> int:
+        """Number of the last whole batch; the forest is written last."""
+        return max((n for n, _ in self._batches("forest")), default=0)
+
+    def _read(self, name: str, last: int) -> DataFrame | None:
+        paths = [p for n, p in self._batches(name) if n <= last]
+        return self.spark.read.parquet(*(paths[-1:] if name == "forest" else paths)) if paths else None
+
+    def _rooted(self, df: DataFrame, column: str, last: int) -> DataFrame:
+        """`df` with the present root in `column`."""
+        forest = self._read("forest", last)
+        if forest is None:
+            return df
+        now = df.join(forest.select(F.col("root").alias("_root"), "parent"), F.col(column) == F.col("_root"), "left")
+        return now.withColumn(column, F.coalesce("parent", column)).drop("_root", "parent")
+
+    def add(self, keyed: DataFrame, entry: str = "entry", key: str = "key") -> int:
+        """Take in the `(entry, key)` rows of a report and commit them; returns the number of the batch."""
+        last = self.committed()
+        pairs = cut_lineage(keyed.select(F.col(entry).alias("entry"), F.col(key).alias("key")).distinct(), "report-pairs")
+        labels, keys = self._read("labels", last), self._read("keys", last)
+        nodes, graph = pairs.withColumn("v", F.col("entry")), None
+        fresh_entries, fresh_keys = pairs.select("entry").distinct(), pairs.select("key").distinct()
+        if labels is not None and keys is not None:
+            known = self._rooted(labels.join(fresh_entries, "entry", "left_semi"), "component", last)
+            met = self._rooted(keys.join(fresh_keys, "key", "left_semi"), "root", last)
+            known, met = cut_lineage(known, "known-entries"), cut_lineage(met, "known-keys")
+            nodes = pairs.join(known, "entry", "left").withColumn("v", F.coalesce("component", "entry"))
+            graph = met.select(F.col("root").alias("v"), "key")
+            fresh_entries, fresh_keys = fresh_entries.join(known, "entry", "left_anti"), fresh_keys.join(met, "key", "left_anti")
+        graph = nodes.select("v", "key") if graph is None else nodes.select("v", "key").unionByName(graph)
+        joined = cut_lineage(shared_key_components(graph, "v", "key"), "joined")
+        at = nodes.select("entry", "key", "v").join(joined, "v")
+        batch = last + 1
+        at.join(fresh_entries, "entry", "left_semi").groupBy("entry").agg(F.min("component").alias("component")).write.mode("overwrite").parquet(f"{self.path}/labels/batch={batch}")
+        at.join(fresh_keys, "key", "left_semi").groupBy("key").agg(F.min("component").alias("root")).write.mode("overwrite").parquet(f"{self.path}/keys/batch={batch}")
+        moved = joined.where("v <> component").select(F.col("v").alias("root"), F.col("component").alias("parent"))
+        before = self._read("forest", last)
+        if before is not None:
+            under = moved.select(F.col("root").alias("_root"), F.col("parent").alias("_parent"))
+            old = before.join(under, F.col("parent") == F.col("_root"), "left").select("root", F.coalesce("_parent", "parent").alias("parent"))
+            moved = old.unionByName(moved.join(before.select("root"), "root", "left_anti"))
+        moved.write.mode("overwrite").parquet(f"{self.path}/forest/batch={batch}")
+        return batch
+
+    def components(self) -> DataFrame | None:
+        """`(entry, component)` of all reports, as a run over all of them gives it."""
+        last = self.committed()
+        labels = self._read("labels", last)
+        return None if labels is None else self._rooted(labels, "component", last).select("entry", "component")
