@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import commits, identity, merging
+from ..session import shared_path
 from .core import register
 from .views import Views
 
@@ -76,6 +77,15 @@ def _(v: Views) -> DataFrame:
     return identity.shared_key_components(v.repo_keys)
 
 
+@register("jn12_incremental_components", COMPONENTS)
+def _(v: Views) -> DataFrame:
+    """Three reports one by one; an entry's keys come in different reports, so that later ones join earlier components."""
+    store = identity.ComponentStore(v.spark, shared_path(v.spark, "components"))
+    for n in range(3):
+        store.add(v.repo_keys.where(F.pmod(F.xxhash64("entry", "key"), F.lit(3)) == n))
+    return store.components()
+
+
 def _candidates(v: Views) -> DataFrame:
     """Customers as candidate checkouts: some share a history key, the rest only their folder."""
     c = F.col("c_custkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import activity, distribution, merging, requests, tools
+from ..operators import activity, distribution, merging, requests, sketches, tools
 from ..plans import usage
 from ..session import cut_lineage
 from .core import register
@@ -272,3 +272,24 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     summary, sample = _source_metrics(v)
     return distribution.merge_summaries(summary, sample, ["row_key"])
+
+
+@register("ag11_merged_sketches", """
+  SELECT metric, percentile, n, true AS within FROM (SELECT metric, count(*) AS n FROM v_metrics GROUP BY metric), (VALUES ('p05'), ('p50'), ('p75'), ('p95')) p(percentile)""", ["v_metrics"])
+def _(v: Views) -> DataFrame:
+    """Percentiles of merged sketches of three sources, held against the ranks of all values."""
+    wanted = {"p05": 0.05, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    values = cut_lineage(v.metrics.select("metric", "row_key", "value"), "metric-values")
+    stored = sketches.quantile_sketches(values.withColumn("source", F.pmod(F.xxhash64("row_key"), F.lit(3))), by=["source", "metric"])
+    merged = sketches.percentiles_of(sketches.merge_quantiles(stored, ["metric"]), wanted, ["metric"])
+    long = cut_lineage(merged.select("metric", "n", "rank_error", F.inline(F.array(*[F.struct(F.lit(k).alias("percentile"), F.lit(p).alias("p"), F.col(k).alias("at")) for k, p in wanted.items()]))), "sketch-percentiles")
+    both = values.join(long, "metric").groupBy("metric", "percentile", "n", "rank_error", "p").agg((F.count_if(F.col("value") < F.col("at")) / F.col("n")).alias("below"), (F.count_if(F.col("value") <= F.col("at")) / F.col("n")).alias("upto"))
+    return both.select("metric", "percentile", "n", ((F.col("below") - F.col("rank_error") <= F.col("p")) & (F.col("p") <= F.col("upto") + F.col("rank_error"))).alias("within"))
+
+
+@register("mg10_united_distinct", "SELECT tier, count(DISTINCT session_id) AS sessions, count(DISTINCT model) AS models FROM v_dedup GROUP BY tier", ["v_dedup"])
+def _(v: Views) -> DataFrame:
+    """Sessions and models of three sources that overlap, counted once each."""
+    stored = v.request_sources.groupBy("source", "tier").agg(sketches.distinct_sketch("session_id").alias("sessions"), sketches.distinct_sketch("model").alias("models"))
+    united = sketches.merge_distinct(cut_lineage(stored, "distinct"), ["sessions", "models"], ["tier"])
+    return united.select("tier", *[sketches.distinct_count(c).cast("bigint").alias(c) for c in ("sessions", "models")])

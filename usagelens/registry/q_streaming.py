@@ -192,3 +192,16 @@ def _(v: Views) -> DataFrame:
         jobs.run_available(paired, jobs.batch_writer(out), shared_path(v.spark, "stream-state"))
     pairs = jobs.read_batches(v.spark, out).where("kind = 'pair'")
     return pairs.select("user_id", F.col("call").cast("bigint").alias("call_event"), F.col("result").cast("bigint").alias("result_event"))
+
+
+@register("st03_late_rows", """
+  WITH parts AS (SELECT *, event_id % 3 AS part, date_trunc('hour', ts) AS start FROM v_events),
+  closed AS (SELECT max(ts) FILTER (WHERE part = 0) - INTERVAL 1 DAY AS first, max(ts) FILTER (WHERE part < 2) - INTERVAL 1 DAY AS second FROM parts)
+  SELECT start, count(*) AS events, sum(k)::BIGINT AS tokens,
+    count(*) FILTER (WHERE start + INTERVAL 1 HOUR <= CASE part WHEN 1 THEN first WHEN 2 THEN second END) AS late_rows FROM parts, closed GROUP BY 1""", ["v_events"], texts=["start"])
+def _(v: Views) -> DataFrame:
+    """Three batches over the same days: rows of the later two find most windows closed, and are counted and added."""
+    rows = v.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "k")
+    windows = jobs.LateAwareWindows(shared_path(v.spark, "windows"), {"events": F.count(F.lit(1)), "tokens": F.sum("k")})
+    jobs.run_available(_in_batches(v, rows, F.col("event_id") % 3, 3), windows.write, shared_path(v.spark, "stream-state"))
+    return windows.totals(v.spark).withColumn("start", F.col("start").cast("timestamp_ntz"))

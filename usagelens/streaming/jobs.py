@@ -127,6 +127,44 @@ def windowed_totals(stream: DataFrame, measures: dict[str, Column], ts: str = "t
     return grouped.select(F.col("window.start").alias("start"), *by, *measures)
 
 
+class LateAwareWindows:
+    """Tumbling windows that late rows still reach, and that say how many came late.
+
+    A window is closed once it ends `late_by` before the newest time of earlier batches. Rows of closed windows are not
+    dropped: they go to a side table as they are, and their sums are added to the closed windows. Every batch writes net
+    sums in a folder of its own, so a repeated batch replaces them, and totals equal those of a batch run over all rows.
+    `measures` are sums or counts, which add up over batches. Rows without a time are in no window.
+    """
+
+    def __init__(self, path: str, measures: dict[str, Column], ts: str = "ts", width: str = "1 hour", late_by: str = "1 day", by: Sequence[str] = ()) -> None:
+        self.path, self.measures, self.ts, self.width, self.late_by, self.by = path.rstrip("/"), measures, ts, width, late_by, list(by)
+
+    def _newest(self, spark: SparkSession, batch_id: int) -> Column:
+        """Newest time of the batches before this one: a row per batch is read."""
+        if batch_id == 0:
+            return F.lit(None).cast("timestamp")
+        seen = spark.read.option("basePath", f"{self.path}/seen").schema("newest timestamp, batch_id long").parquet(f"{self.path}/seen")
+        return F.lit(seen.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]).cast("timestamp")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        dated = batch.where(F.col(self.ts).isNotNull()).withColumn("_window", F.window(self.ts, self.width))
+        closed = F.col("_window.end") <= self._newest(spark, batch_id) - F.expr(f"INTERVAL {self.late_by}")
+        rows = dated.withColumn("_late", F.coalesce(closed, F.lit(False)))
+        sums = rows.groupBy(F.col("_window.start").alias("start"), *self.by).agg(*[c.alias(n) for n, c in self.measures.items()], F.count_if("_late").alias("late_rows"))
+        sums.write.mode("overwrite").parquet(f"{self.path}/sums/batch_id={batch_id}")
+        rows.where("_late").drop("_window", "_late").write.mode("overwrite").parquet(f"{self.path}/late/batch_id={batch_id}")
+        dated.agg(F.max(F.col(self.ts).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(f"{self.path}/seen/batch_id={batch_id}")
+
+    def totals(self, spark: SparkSession) -> DataFrame:
+        """`(start, by..., measures..., late_rows)` over all batches."""
+        return read_batches(spark, f"{self.path}/sums").groupBy("start", *self.by).agg(*[F.sum(c).alias(c) for c in (*self.measures, "late_rows")])
+
+    def late_rows(self, spark: SparkSession, schema: str | None = None) -> DataFrame:
+        """The late rows themselves, with their batch."""
+        return read_batches(spark, f"{self.path}/late", schema)
+
+
 # -- pairing ------------------------------------------------------------------------------
 
 
