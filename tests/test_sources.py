@@ -217,8 +217,16 @@ def test_plans_end_to_end(spark, parsed):
     merged = activity_plan.merge_activity_tables(saved)
     assert sum(r["working"] for r in rows(merged["hours"])) == 2 * sum(r["working"] for r in hours.values())
     kept = requests.keep_largest(transcripts.request_rows(parsed))
-    report = usage.usage_tables(kept, resamples=20)
+    definitions = spark.createDataFrame([("w1", "{}", 5, "x"), ("w2", "{}", 7, "y")], "file_path string, fields string, script_bytes bigint, script_preview string")
+    report = usage.usage_tables(kept, resamples=20, prices=prices, lines=parsed, definitions=definitions)
     assert rows(report["totals"])[0]["requests"] == 7 and report["intervals"].count() == 6
+    cost, shares = rows(report["cost"])[0], rows(report["shares"])[0]
+    assert cost["requests"] == 7 and cost["cost"] > 0 and abs(sum(shares[c] for c in ("input_pct", "output_pct", "cache_write_pct", "cache_read_pct")) - 100) < 1e-9
+    assert {r["metric"] for r in rows(report["standing"])} >= {"spend", "requests"} and rows(report["workflows"])[0]["script_bytes"] == 12
+    saved = {k: report[k].withColumn("report_id", F.explode(F.array(F.lit("a"), F.lit("b")))) for k in ("totals", "models", "agents", "scan", "definitions")}
+    merged = usage.merge_usage_tables(saved, prices=prices)
+    assert abs(rows(merged["cost"])[0]["cost"] - 2 * cost["cost"]) < 1e-12 and rows(merged["profile"])[0]["cost_per_request"] == rows(report["profile"])[0]["cost_per_request"]
+    assert rows(merged["scan"])[0]["lines_read"] == 2 * rows(report["scan"])[0]["lines_read"] and rows(merged["workflows"])[0]["definitions"] == 2
 
 
 def test_long_strings_and_repeated_keys(spark):

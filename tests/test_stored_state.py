@@ -61,3 +61,16 @@ def test_distinct_counts_of_overlapping_reports(spark):
     stored = large.groupBy("source").agg(sketches.distinct_sketch("session").alias("sessions"))
     n = sketches.merge_distinct(stored, ["sessions"]).select(sketches.distinct_count("sessions").alias("n")).first()["n"]
     assert abs(n - 150_000) < 0.02 * 150_000
+
+
+def test_folded_repositories_keep_their_attributes(spark):
+    from usagelens.operators import merging
+
+    rows = [("a1", "a1", 5, 9, 0, 1, 1, 1, 0, "2024-01-02", "2024-02-01", "", None, ["r2"], "/x"), ("a2", "a1", 7, 8, 1, 1, 1, 1, 0, "2024-01-01", "2024-01-05", "tool", "git@h:tool", ["r1", "r2"], "/y"),
+            ("b", "b", 1, 1, 0, 0, 0, 0, 0, None, None, "solo", None, None, "/z")]
+    names = ["entry", "component", *merging.REPO_COUNTS, "first_commit_at", "last_commit_at", "name", "remote", "root_commits", "path"]
+    schema = "entry string, component string, " + ", ".join(f"{c} bigint" for c in merging.REPO_COUNTS) + ", first_commit_at string, last_commit_at string, name string, remote string, root_commits array<string>, path string"
+    assert len(names) == len(rows[0])
+    got = {r["component"]: r for r in merging.fold_repos(spark.createDataFrame(rows, schema)).collect()}
+    assert (got["a1"]["attributed_commits"], got["a1"]["name"], got["a1"]["remote"], got["a1"]["root_commits"], got["a1"]["path"], got["a1"]["aliases"]) == (7, "tool", "git@h:tool", ["r1", "r2"], "/x", ["/y"])
+    assert (got["b"]["name"], got["b"]["root_commits"], got["b"]["aliases"]) == ("solo", [], [])

@@ -169,14 +169,24 @@ def label_repos(repos: DataFrame, keyed: DataFrame, entry: str = "entry") -> Dat
 def fold_repos(labelled: DataFrame, component: str = "component") -> DataFrame:
     """One row per repository: the larger view of each figure wins, dates widen, the share is derived again.
 
-    Figures describe the repository and not the machine that read it, so copies are never added up.
+    Figures describe the repository and not the machine that read it, so copies are never added up. Where the entries
+    have them, the name and remote of the first entry that has one (in order of `entry`) stand for all, and root commits
+    and paths are united, sorted; paths beside the first are aliases.
     """
+    has = set(labelled.columns)
+    order = "entry" if "entry" in has else component
+    first = [F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.col(order))).alias(c) for c in ("name", "remote") if c in has]
+    roots = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("root_commits")))).alias("root_commits")] if "root_commits" in has else []
+    paths = [F.array_sort(F.collect_set("path")).alias("_paths"), F.min_by("path", order).alias("path")] if "path" in has else []
     folded = labelled.groupBy(component).agg(
         *[F.max(c).alias(c) for c in REPO_COUNTS],
         F.min("first_commit_at").alias("first_commit_at"),
         F.max("last_commit_at").alias("last_commit_at"),
         F.count(F.lit(1)).alias("entries"),
+        *first, *roots, *paths,
     )
+    if paths:
+        folded = folded.withColumn("aliases", F.array_remove("_paths", F.col("path"))).drop("_paths")
     return derive_commit_figures(folded)
 
 

@@ -11,7 +11,7 @@ from ..functions.tokens import TOKENS, TokenColumns, total_tokens
 from ..operators import comparing, distribution, findings, merging, pricing, requests, significance, tools
 from ..operators.ranks import value_counts
 from ..session import cut_lineage
-from ..sources import reports
+from ..sources import reports, sidecars
 
 
 def usage_tables(
@@ -22,9 +22,15 @@ def usage_tables(
     tokens: TokenColumns = TOKENS,
     resamples: int = distribution.RESAMPLES,
     sample_size: int = distribution.SAMPLE_SIZE,
+    prices: DataFrame | None = None,
+    lines: DataFrame | None = None,
+    definitions: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The tables of one window of deduplicated requests.
 
+    With `prices` also what they cost, the profile of a request and where the window stands; with the parsed `lines`
+    the counters of the scan; with workflow `definitions` these and their totals.
+
     The deduplicated rows and the metric values are written once: every table below reads one of them, and
     none of them repeats the deduplication shuffle. `counts` holds every distinct value of a distribution with
     its number: merges and tests of saved reports are exact by it; `samples` is the compact alternative. The attachment table is kept whole; top lists are cut
@@ -55,9 +61,24 @@ def usage_tables(
             F.count(F.lit(1)).alias("count"), F.sum("bytes").alias("total_bytes")
         )
         tables["attachments"] = by_kind
+    tables["shares"] = merging.merge_totals(cube, tokens=tokens)
+    if prices is not None:
+        tables |= _priced(cut_lineage(tables["models"], "models"), prices, [], tokens)
+    if lines is not None:
+        tables["scan"] = requests.scan_quality(lines)
+    if definitions is not None:
+        tables |= {"definitions": definitions, "workflows": sidecars.workflow_totals(definitions)}
     return tables
 
 
+def _priced(models: DataFrame, prices: DataFrame, by: list[str], tokens: TokenColumns = TOKENS) -> dict[str, DataFrame]:
+    """What model totals cost, the profile of a request, and where the window stands; all derived, so a merge derives them again."""
+    # whether the split of cache writes is exact is decided for all reports of the totals together
+    priced = pricing.price_models(models, prices, tokens=tokens)
+    profile = comparing.per_request_profile(priced, by, tokens)
+    return {"priced": priced, "cost": pricing.cost_totals(priced, by), "profile": profile, "standing": findings.standing(profile, by or None)}
+
+
 def split_windows(rows: DataFrame, cut: Column, ts: str = "ts", side: str = "side") -> DataFrame:
     """Dated rows labelled `baseline` up to the cut and `compare` after it.
 
@@ -132,10 +153,11 @@ def compare_totals(
     }
 
 
-def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) -> dict[str, DataFrame]:
+def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = (), prices: DataFrame | None = None) -> dict[str, DataFrame]:
     """Saved tables of several reports (with `report_id`) merged into one window, or one per `by` group.
 
-    Counters are summed, shares, averages and profiles derived again. Distributions are exact where the reports hold
+    Counters are summed, shares and averages derived again, with `prices` also cost, profile and standing; workflow
+    definitions are listed together, equal ones once. Distributions are exact where the reports hold
     their counts, with intervals; without them they are merged by weighted sample.
     """
     by = list(by)
@@ -161,6 +183,16 @@ def merge_usage_tables(tables: dict[str, DataFrame], by: Sequence[str] = ()) ->
         merged["compactions"] = merging.merge_compactions(tables["compactions"], by)
     if "tool_payload" in tables:
         merged["tool_payload"] = merging.merge_tool_payload(tables["tool_payload"], by=by)
+    if "totals" in tables:
+        merged["shares"] = merged["totals"]
+    if prices is not None:
+        merged |= _priced(cut_lineage(merged["models"], "merged-models"), prices, by)
+    if "scan" in tables:
+        counters = [c for c, kind in tables["scan"].dtypes if kind == "bigint" and c not in (*by, "report_id")]
+        merged["scan"] = merging.merge_counters(tables["scan"], counters, by)
+    if "definitions" in tables:
+        merged["definitions"] = tables["definitions"].drop("report_id").distinct()
+        merged["workflows"] = sidecars.workflow_totals(merged["definitions"])
     return merged
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..plans import usage
 from ..session import cut_lineage
 from .core import register
 from .q_compare import COST, DECOMPOSITION_SQL, FACT_VIEWS, FACTS
-from .sql_views import TOKEN_SUMS
+from .sql_views import TOKEN_SUMS, priced
 from .views import Views
 
 
@@ -293,3 +295,27 @@ def _(v: Views) -> DataFrame:
     stored = v.request_sources.groupBy("source", "tier").agg(sketches.distinct_sketch("session_id").alias("sessions"), sketches.distinct_sketch("model").alias("models"))
     united = sketches.merge_distinct(cut_lineage(stored, "distinct"), ["sessions", "models"], ["tier"])
     return united.select("tier", *[sketches.distinct_count(c).cast("bigint").alias(c) for c in ("sessions", "models")])
+
+
+@register("mg05_merged_cost_and_scan", f"""
+  WITH p AS ({priced("v_model_totals")}), l AS (SELECT * FROM v_lines)
+  SELECT 'cost' AS figure, sum(cost) AS value FROM p UNION ALL SELECT 'unpriced_requests', coalesce(sum(requests) FILTER (WHERE NOT priced), 0)::DOUBLE FROM p
+  UNION ALL SELECT 'tokens_per_request', sum(total_tokens)::DOUBLE / sum(requests) FROM p
+  UNION ALL SELECT 'standing_spend', sum(cost) FROM p
+  UNION ALL SELECT 'input_pct', sum(input_tokens)::DOUBLE / sum(total_tokens) * 100 FROM p
+  UNION ALL SELECT 'lines_read', count(*)::DOUBLE FROM l UNION ALL SELECT 'corrupt_lines', count(*) FILTER (WHERE kind = 'corrupt')::DOUBLE FROM l""",
+          ["v_model_totals", "v_prices", "v_lines"], doubles=["value"])
+def _(v: Views) -> DataFrame:
+    """Saved totals and scans of three machines: cost, profile, standing, shares and scan counters of the merged window."""
+    rows = v.request_sources.withColumnRenamed("source", "report_id")
+    tables = {
+        "models": requests.totals_by_key(rows, "model", "model", ["report_id"]), "agents": requests.totals_by_agent_type(rows, by=["report_id"]),
+        "totals": requests.request_totals(rows, ["report_id"]),
+        "scan": requests.scan_quality(v.parsed.withColumn("report_id", F.pmod(F.xxhash64("file_path"), F.lit(3))), by=["report_id"]),
+    }
+    merged = usage.merge_usage_tables({n: cut_lineage(df, "saved") for n, df in tables.items()}, prices=v.prices)
+    one = lambda name, column, figure: merged[name].select(F.lit(figure).alias("figure"), F.col(column).cast("double").alias("value"))
+    spend = merged["standing"].where("metric = 'spend'").select(F.lit("standing_spend").alias("figure"), F.col("value").cast("double").alias("value"))
+    return reduce(DataFrame.unionByName, [
+        one("cost", "cost", "cost"), one("cost", "unpriced_requests", "unpriced_requests"), one("profile", "tokens_per_request", "tokens_per_request"), spend,
+        one("shares", "input_pct", "input_pct"), one("scan", "lines_read", "lines_read"), one("scan", "corrupt_lines", "corrupt_lines")])
