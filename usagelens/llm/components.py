@@ -14,6 +14,10 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+#: Edges in a file, about.
+PART_ROWS = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
@@ -33,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours point to the smallest of them
         near = _nearest(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut_lineage(small, "components")
+        # a round has no more edges than twice those of the one before: no more files than these need
+        now = cut_lineage(small.coalesce(max(1, -(-2 * state[0] // PART_ROWS))), "components")
         before, state = state, _state(now)
         if state == before:
             break

@@ -39,7 +39,7 @@ from .simhash import SEED, links, majority, shingle_hashes
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 4
 ALL_PAIRS = 8
-AT_ONCE, ROWS_AT_ONCE = 1_024, 500
+AT_ONCE, ROWS_AT_ONCE, PART_ROWS = 1_024, 500, 50_000
 SLACK = 1e-9  # what rounding may take from a bound
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 
@@ -168,10 +168,13 @@ def prefix_pairs(nodes: DataFrame, at_least: float) -> DataFrame:
 def near_groups(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY, errors: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, node, root (of its component) and component_id (smallest key in the component)."""
     rows = cut_lineage(_sketches(docs.select(F.col(key).alias("key"), utf8(text).alias("data")), shingle), "near-rows")
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "near-nodes")
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    # tables of a row or so per document: no more files than their rows need, whatever the width of the shuffles
+    light = lambda df, label: cut_lineage(df.coalesce(parts), label)
+    nodes = light(rows.groupBy("node").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]), "near-nodes")
 
     # fingerprints: nodes of one fingerprint with one of them, and the forest over fingerprints
-    firsts = cut_lineage(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "near-firsts")
+    firsts = light(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "near-firsts")
     same = nodes.join(firsts, "fp").where((F.col("node") != F.col("first.node")) & _sized(F.col("n"), F.col("first.n"), at_least))
     linked = cut_lineage(links(firsts.select("fp"), errors), "near-trie")
     side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
@@ -185,11 +188,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY,
     tried = reduce(DataFrame.unionByName, [
         same.select(*_pair(F.col("node"), F.col("first.node"))), linked.select(*_pair(F.col("a_first.node"), F.col("b_first.node"))), stars.select(*_pair(F.col("node"), F.col("head.node"))),
     ]).distinct()
-    tried = cut_lineage(tried, "near-pairs")
+    tried = light(tried, "near-pairs")
 
     wanted = members.select("node").unionByName(tried.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sets = _sets_of(docs, nodes.select("node", "key").join(wanted, "node"), shingle, text, key)
-    joined = cut_lineage(components(_alike(tried, sets, at_least)), "near-joined").withColumnRenamed("node", "u")
+    joined = light(components(_alike(tried, sets, at_least)), "near-joined").withColumnRenamed("node", "u")
     rooted = lambda df: df.join(joined, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("root", "node")).drop("u")
 
     # values whose nodes are still in several components
@@ -203,14 +206,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY,
     crowd = apart.where(F.col("many") > ALL_PAIRS).select("node", "root").distinct()
     if crowd.limit(1).count():
         across = across.unionByName(prefix_pairs(cut_lineage(crowd.join(sets, "node"), "near-crowd"), at_least))
-    more = _alike(cut_lineage(across.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs"), sets, at_least)
+    more = _alike(light(across.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs"), sets, at_least)
     # components of components
     of = lambda c: joined.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
     between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
     again = components(between).select(F.col("node").alias("v"), F.col("root").alias("top"))
 
     root = rooted(nodes.select("node", "key")).join(again, F.col("root") == F.col("v"), "left").select("node", F.coalesce("top", "root").alias("root"), "key")
-    root = cut_lineage(root, "near-roots")
+    root = light(root, "near-roots")
     smallest = root.groupBy("root").agg(F.min("key").alias("component_id"))
     named = root.select(F.col("node").alias("_node"), "root").join(smallest, "root")
     return rows.join(named, F.col("node") == F.col("_node")).select(F.col("key").alias(key), "node", "root", "component_id")
@@ -223,8 +226,10 @@ def deduplicate(docs: DataFrame, shingle: int = 5, at_least: float = SIMILARITY,
     """
     row = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     grouped = near_groups(docs, shingle, at_least, errors, text, key)
-    first = cut_lineage(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first"), F.col("node").alias("_node"), F.col("root").alias("_root")), "near-first")
-    stay = cut_lineage(first.groupBy("_first", "_root").agg(F.count(F.lit(1)).alias("_n")), "near-stay")
+    grouped = cut_lineage(grouped, "near-grouped")
+    parts = max(1, -(-grouped.count() // PART_ROWS))
+    first = cut_lineage(grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first"), F.col("node").alias("_node"), F.col("root").alias("_root")).coalesce(parts), "near-first")
+    stay = cut_lineage(first.groupBy("_first", "_root").agg(F.count(F.lit(1)).alias("_n")).coalesce(parts), "near-stay")
     # the list of those that stay grows with the documents: it is dealt out by key at every size, never broadcast
     kept = row.join(stay.hint("merge"), F.col("_key").eqNullSafe(F.col("_first")))
     repeated = stay.where("_n > 1 or _first is null").limit(1).count() or stay.groupBy("_first").count().where("count > 1").limit(1).count()
