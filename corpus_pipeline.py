@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and all but the last return the
 columns of documents. `run` writes each stage's result to the shared folder and reads it again.
+
+Null and empty texts are no toxic texts, near copies of each other (one stays), no leaks, of size 0 and of 16 bytes.
+Null ids and sources are kept as they are; repeated rows are one for near-dedup, and rows like others for the rest.
+Long texts are read whole, other columns are kept up to the last stage, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
