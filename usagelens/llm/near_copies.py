@@ -39,7 +39,7 @@ from .simhash import SEED, links, majority, shingle_hashes
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 4
 ALL_PAIRS = 8
-AT_ONCE, ROWS_AT_ONCE, PART_ROWS = 1_024, 500, 50_000
+AT_ONCE, ROWS_AT_ONCE, PART_ROWS = 1_024, 500, 10_000
 SLACK = 1e-9  # what rounding may take from a bound
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 
@@ -157,9 +157,10 @@ def prefix_pairs(nodes: DataFrame, at_least: float) -> DataFrame:
     roots = first.groupBy("s", "root").agg(F.max("left").alias("left"), F.min("n").alias("n"))
     p, q = roots.alias("p"), roots.alias("q")
     met = p.join(q, (F.col("p.s") == F.col("q.s")) & (F.col("p.root") < F.col("q.root")) & enough(F.col("p.left"), F.col("q.left"), F.col("p.n"), F.col("q.n")))
-    met = met.select(F.col("p.s").alias("s"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"))
+    met = met.select(F.col("p.s").alias("s"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"), F.col("q.left").alias("left_rb"), F.col("q.n").alias("n_rb"))
     side = lambda c: first.select(F.col("s").alias(f"s{c}"), F.col("root").alias(f"of_{c}"), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
-    pairs = met.join(side("a"), (F.col("s") == F.col("sa")) & (F.col("ra") == F.col("of_a")))
+    # a node goes on only if the other component can have enough for it
+    pairs = met.join(side("a"), (F.col("s") == F.col("sa")) & (F.col("ra") == F.col("of_a")) & enough(F.col("left_a"), F.col("left_rb"), F.col("n_a"), F.col("n_rb")))
     fits = _sized(F.col("n_a"), F.col("n_b"), at_least) & enough(F.col("left_a"), F.col("left_b"), F.col("n_a"), F.col("n_b"))
     pairs = pairs.join(side("b"), (F.col("s") == F.col("sb")) & (F.col("rb") == F.col("of_b")) & fits)
     return pairs.select(*_pair(F.col("node_a"), F.col("node_b"))).distinct()
