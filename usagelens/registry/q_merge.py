@@ -97,9 +97,10 @@ def _saved_reports(v: Views) -> dict[str, DataFrame]:
         "side": F.when(F.col("user_id") % 3 == 0, "compare").otherwise("baseline"), "report_id": F.col("user_id") % 5,
     })
     by = ["report_id", "side"]
+    cube, counted = cut_lineage(requests.usage_cube(rows, by), "cube"), F.col("requests")
     tables = {
-        "models": requests.totals_by_key(rows, "model", "model", by),
-        "agents": requests.totals_by_agent_type(rows, by=by),
+        "models": requests.totals_by_key(cube, "model", "model", by, requests=counted),
+        "agents": requests.totals_by_agent_type(cube, by=by, requests=counted),
         "tool_payload": tools.tool_payload_table(payload, by),
         "compactions": tools.compaction_summary(compactions, by),
     }
@@ -308,9 +309,12 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     """Saved totals and scans of three machines: cost, profile, standing, shares and scan counters of the merged window."""
     rows = v.request_sources.withColumnRenamed("source", "report_id")
+    # one pass over the deduplicated rows; the totals of a report come from it
+    cube, counted = cut_lineage(requests.usage_cube(rows, ["report_id"]), "cube"), F.col("requests")
     tables = {
-        "models": requests.totals_by_key(rows, "model", "model", ["report_id"]), "agents": requests.totals_by_agent_type(rows, by=["report_id"]),
-        "totals": requests.request_totals(rows, ["report_id"]),
+        "models": requests.totals_by_key(cube, "model", "model", ["report_id"], requests=counted),
+        "agents": requests.totals_by_agent_type(cube, by=["report_id"], requests=counted),
+        "totals": requests.request_totals(cube, ["report_id"], requests=counted),
         "scan": requests.scan_quality(v.parsed.withColumn("report_id", F.pmod(F.xxhash64("file_path"), F.lit(3))), by=["report_id"]),
     }
     merged = usage.merge_usage_tables({n: cut_lineage(df, "saved") for n, df in tables.items()}, prices=v.prices)
