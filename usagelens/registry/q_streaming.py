@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import requests
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
 from ..sources import growing, transcripts
 from ..streaming import jobs, state
 from .core import register
@@ -156,11 +156,20 @@ def _(v: Views) -> DataFrame:
 
 
 def _in_batches(v: Views, df: DataFrame, part: Column, parts: int) -> DataFrame:
-    """A stream of `df` in `parts` micro-batches, in the order of `part` (0 to parts - 1)."""
+    """A stream of `df` in `parts` micro-batches, in the order of `part` (0 to parts - 1).
+
+    Rows are made once. A batch is that many files, written by that many tasks: a reader deals its rows out in turn, so
+    none of the files is empty where one reader has as many rows as there are files.
+    """
     path = shared_path(v.spark, "batches")
+    rows = cut_lineage(df.withColumn("_batch", part), "batch-rows")
+    sizes = {r["_batch"]: r["count"] for r in rows.groupBy("_batch").count().collect()}  # one row per batch
+    of_reader = min(sizes.get(i, 0) for i in range(parts)) // max(1, rows.rdd.getNumPartitions())
+    files = max(1, min(of_reader, int(v.spark.conf.get("spark.sql.shuffle.partitions"))))
     for i in range(parts):  # files are taken oldest first
-        df.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        batch = rows.where(F.col("_batch") == i).drop("_batch")
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @register("st02_keyed_state", f"SELECT message_id, model, total_tokens FROM ({BEST_LINES.replace(LINE_TOKENS, LINE_TOKENS + ' WHERE line_ts IS NOT NULL')})", ["v_lines"])
