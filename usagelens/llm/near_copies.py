@@ -14,8 +14,11 @@ Every pair is held against the sets of shingles before it links, in Spark. Pairs
    any size by as many pairs as they have nodes.
 2. What a value holds together and step 1 left in several components. Up to ALL_PAIRS nodes: all their pairs. More: an
    exact similarity join by prefixes. Shingles are ordered from the rarest; two sets of the similarity share one among
-   their first n - ceil(s n) + 1, and at the first they share enough must be left of both. Only pairs across components
-   that pass are tried, so that no link between different texts is lost and no group is held against itself.
+   their first n - ceil(s n) + 1, and at the first they share enough must be left of both. Where two components meet, the
+   nodes of the one with fewer there go on to the other. A node has a bitmap in which each of its shingles flips a bit: two
+   bitmaps differ in no more bits than the sets in shingles, so a pair that differs in more than the similarity allows is
+   none. Only pairs across components that pass are tried, so that no link between different texts is lost and no group
+   is held against itself.
 
 Nulls: a null text has no words; null keys are documents like others (a component without any key has a null id).
 Repeated rows are one node; long texts are read whole; an empty table gives no rows. Other columns are kept, with any name.
@@ -39,6 +42,7 @@ from .simhash import SEED, links, majority, shingle_hashes
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 4
 ALL_PAIRS = 8
+BITMAP_WORDS = 16  # of 64 bits each
 AT_ONCE, ROWS_AT_ONCE, PART_ROWS = 1_024, 500, 10_000
 SLACK = 1e-9  # what rounding may take from a bound
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -144,24 +148,38 @@ def _alike(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
     return cut_lineage(held.select("a", "b"), "near-edges")
 
 
+def _bitmap(column: str) -> Column:
+    """Aggregate: BITMAP_WORDS longs in which each value has flipped one bit."""
+    bit = F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))")
+    word = F.shiftright(column, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    return F.array(*[F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")) for i in range(BITMAP_WORDS)])
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITMAP_WORDS)])
+
+
 def prefix_pairs(nodes: DataFrame, at_least: float) -> DataFrame:
     """(node, root, shingles) to the pairs (a, b) of different roots that can have the similarity; none that has it is left out."""
     each = nodes.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    ordered = each.join(often, "s").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("order"))
+    ordered = each.join(often, "s").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("order"), _bitmap("s").alias("bits"))
     length = F.col("n") - F.ceil(F.col("n") * at_least - SLACK) + 1
-    first = ordered.select("node", "root", "n", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "x"))
-    first = cut_lineage(first.where("x.f > 1").select("node", "root", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("at")).alias("left")), "near-prefixes")
+    first = ordered.select("node", "root", "n", "bits", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("at", "x"))
+    first = cut_lineage(first.where("x.f > 1").select("node", "root", "n", "bits", F.col("x.s").alias("s"), (F.col("n") - F.col("at")).alias("left")), "near-prefixes")
     enough = lambda a, b, m, n: F.least(a, b) >= (m + n) * (at_least / (1 + at_least)) - SLACK
-    # components that share a shingle, with the most that any of their nodes has left there
-    roots = first.groupBy("s", "root").agg(F.max("left").alias("left"), F.min("n").alias("n"))
+    # components that share a shingle, with the most that any of their nodes has left there; a is the one with fewer nodes
+    roots = first.groupBy("s", "root").agg(F.max("left").alias("left"), F.min("n").alias("n"), F.count(F.lit(1)).alias("m"))
     p, q = roots.alias("p"), roots.alias("q")
     met = p.join(q, (F.col("p.s") == F.col("q.s")) & (F.col("p.root") < F.col("q.root")) & enough(F.col("p.left"), F.col("q.left"), F.col("p.n"), F.col("q.n")))
-    met = met.select(F.col("p.s").alias("s"), F.col("p.root").alias("ra"), F.col("q.root").alias("rb"), F.col("q.left").alias("left_rb"), F.col("q.n").alias("n_rb"))
-    side = lambda c: first.select(F.col("s").alias(f"s{c}"), F.col("root").alias(f"of_{c}"), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}"), F.col("left").alias(f"left_{c}"))
+    other = lambda c: F.when(F.col("p.m") <= F.col("q.m"), F.col(f"q.{c}")).otherwise(F.col(f"p.{c}"))
+    fewer = F.when(F.col("p.m") <= F.col("q.m"), F.col("p.root")).otherwise(F.col("q.root"))
+    met = met.select(F.col("p.s").alias("s"), fewer.alias("ra"), other("root").alias("rb"), other("left").alias("left_rb"), other("n").alias("n_rb"))
+    side = lambda c: first.select(F.col("s").alias(f"s{c}"), F.col("root").alias(f"of_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "left", "bits")])
     # a node goes on only if the other component can have enough for it
     pairs = met.join(side("a"), (F.col("s") == F.col("sa")) & (F.col("ra") == F.col("of_a")) & enough(F.col("left_a"), F.col("left_rb"), F.col("n_a"), F.col("n_rb")))
     fits = _sized(F.col("n_a"), F.col("n_b"), at_least) & enough(F.col("left_a"), F.col("left_b"), F.col("n_a"), F.col("n_b"))
+    fits = fits & (_bits_apart("bits_a", "bits_b") <= (F.col("n_a") + F.col("n_b")) * ((1 - at_least) / (1 + at_least)) + SLACK)
     pairs = pairs.join(side("b"), (F.col("s") == F.col("sb")) & (F.col("rb") == F.col("of_b")) & fits)
     return pairs.select(*_pair(F.col("node_a"), F.col("node_b"))).distinct()
 
